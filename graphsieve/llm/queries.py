@@ -6,9 +6,34 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphsieve.llm import packing, token_store
-from graphsieve.llm.common import table, work_path
+from graphsieve.llm import bpe, gif, packing, token_store
+from graphsieve.llm.common import table, work_path, written
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = written(gif.store(table(spark, sf_dir, "documents")), "gif")
+    back = gif.load(stored)
+    data = F.col("data")
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(data).cast("long").alias("payload_bytes"),
+        F.sha2(data, 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(data, -32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.concat(F.lit("frames="), F.col("n_frames")), F.concat(F.lit("cs="), F.col("total_cs")), F.concat(F.lit("grey="), F.concat_ws(",", F.col("grey").cast("array<string>")))).alias("feature"),
+        "n_frames",
+        "total_cs",
+    )
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +47,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_gif_media": op3_gif_media,
     "op5_token_store": op5_token_store,
     "op8_packing": op8_packing,
 }
