@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphsieve.llm import bpe, gif, packing, token_store
-from graphsieve.llm.common import table, work_path, written
+from graphsieve.llm import bpe, gif, lm, packing, token_store
+from graphsieve.llm.common import fold, table, work_path, written
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +46,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_gif_media": op3_gif_media,
     "op5_token_store": op5_token_store,
     "op8_packing": op8_packing,
+    "op10_ppm": op10_ppm,
 }
 ORACLE_SQL: dict[str, str] = {}
