@@ -8,6 +8,7 @@ a lot; a bounded dictionary keeps the ids of those already seen, and the library
 from __future__ import annotations
 
 import re
+from struct import pack
 
 import numpy as np
 
@@ -45,14 +46,19 @@ class Ids(dict):
         self.tokenizer.encode_special_tokens = True
         self.model, self.most = self.tokenizer.model, most
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters, self.words = byte_letters(), {}
 
     def word(self, text: str) -> bytes:
         """Ids of a text that is one match of the pattern."""
         found = self.words.get(text)
         if found is None:
-            spelt = text.encode().decode("latin-1").translate(self.letters)
-            found = np.array([x.id for x in self.model.tokenize(spelt)], self.dtype).tobytes()
+            if text.isascii() and text.isprintable():
+                spelt = text.replace(" ", self.letters[32])
+            else:
+                spelt = text.encode().decode("latin-1").translate(self.letters)
+            ids = [x.id for x in self.model.tokenize(spelt)]
+            found = pack(f"<{len(ids)}{self.code}", *ids)
             self.words[text] = found
         return found
 
