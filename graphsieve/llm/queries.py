@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphsieve.llm import bpe, gif, lm, packing, token_store
+from graphsieve.llm import bpe, gif, lm, packing, quality, token_store
 from graphsieve.llm.common import fold, table, work_path, written
 
 
@@ -36,6 +36,10 @@ def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "token-store")
     token_store.save(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -53,6 +57,7 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_gif_media": op3_gif_media,
+    "op4_quality": op4_quality,
     "op5_token_store": op5_token_store,
     "op8_packing": op8_packing,
     "op10_ppm": op10_ppm,
