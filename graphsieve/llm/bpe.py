@@ -29,12 +29,11 @@ LONG = 256
 
 
 class Bpe:
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
+    def __init__(self, path: str, pattern: str, most: int = 120_000):
         """``path``: lines of a base64 token and its rank. About ``most`` pieces and twice as many words stay encoded."""
         import regex
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.ranks = read_ranks(path)
         self.tokens = {v: k for k, v in self.ranks.items()}
         self.pattern, self.most = regex.compile(pattern), most
         self.plain = pattern == BYTE_PATTERN
@@ -195,7 +194,17 @@ class Bpe:
         return [b"".join(map(word, first)) + b"".join(map(self.known.__getitem__, rest)) for first, rest in zip(firsts, cut, strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return to_bytes(self.tokens, ids)
+
+
+def to_bytes(tokens: dict[int, bytes], ids: bytes) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Tokens and ranks, from lines of a base64 token and its rank."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
 #: The pattern for which a single space between other characters always begins a match.
@@ -215,20 +224,20 @@ def encode(docs: DataFrame, path: str, pattern: str = BYTE_PATTERN, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(path, pattern)
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=2 << 20):
             ids = bpe.encode_batch(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str = BYTE_PATTERN) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of ``encode`` with ``data``, the bytes that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = bpe_of(path, pattern)
-        for batch in slices(batches, "ids", most=16 << 20):
-            data = [bpe.decode(x) for x in batch.column("ids").to_pylist()]
+        tokens = {v: k for k, v in read_ranks(path).items()}
+        for batch in slices(batches, "ids", most=8 << 20):
+            data = [to_bytes(tokens, x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(data, pa.binary())], ["doc_id", "ids", "data"])
 
     return encoded.mapInArrow(run, "doc_id long, ids binary, data binary")
