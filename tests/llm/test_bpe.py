@@ -22,8 +22,12 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Code points that are unassigned here may be letters in a newer Unicode version, on one side alone.
+ASSIGNED = st.characters(exclude_categories=("Cs", "Cn"))
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("aentsi'sZ9 .,\n\té漢²"), max_size=60) | st.text(max_size=30), max_size=4))
+@given(st.lists(st.text(alphabet=st.sampled_from("aentsi'sZ9 .,\n\té漢²"), max_size=60) | st.text(ASSIGNED, max_size=30), max_size=4))
 def test_like_the_library(library, batch):
     own = bpe.bpe_of(PATH, public_tokenizers.PATTERN)
     for text, ids in zip(batch, own.encode_batch(batch), strict=True):
