@@ -1,20 +1,55 @@
-"""Corpus pipeline: quality, toxicity, near duplicates, packing; each stage reads what its predecessor kept."""
+"""Corpus pipeline: quality, toxicity, near duplicates, packing; each stage reads what its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+``run`` writes each stage's rows to the shared folder and reads them again, so a lost executor costs no
+earlier stage, and every stage is computed once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphsieve.llm.common import table, written
+from graphsieve.llm import jaccard_join, packing, quality, toxicity
+from graphsieve.llm.common import fold, table, written
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the quality classifier rejects."""
+    return quality.good_only(docs)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what scores as toxic; the network learns from the labelled rows of two folds among the documents at hand."""
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return toxicity.clean_only(docs, net)
+
+
+def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near duplicates: five words a shingle, similarity 0.8 or more."""
+    return jaccard_join.one_of_each(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents left, in sequences of at most 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_quality),
+    ("toxicity", not_toxic),
+    ("near_duplicates", no_near_duplicates),
+    ("packing", packed),
+]
 
 #: Trained models, Jaccard links over all texts and a tokenizer: not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
