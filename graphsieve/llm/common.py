@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,8 +15,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless their Python finds it by PYTHONPATH or the working folder."""
+    root, application = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
+    if application in _shipped or str(root) in [os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":")]]:
+        return
+    _shipped.add(application)
+    base = f"{tempfile.mkdtemp(prefix='graphsieve-')}/graphsieve"
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, root.joinpath("graphsieve").name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, as Spark reads it (local or remote path)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
