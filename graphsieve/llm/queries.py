@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphsieve.llm import bpe, gif, jaccard_join, lm, packing, quality, token_store, toxicity
+from graphsieve.llm import ann, bpe, gif, html_cut, jaccard_join, lm, packing, quality, token_store, toxicity
 from graphsieve.llm.common import fold, table, work_path, written
 
 
@@ -53,6 +53,14 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path)
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op7_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
@@ -71,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_gif_media": op3_gif_media,
     "op4_quality": op4_quality,
     "op5_token_store": op5_token_store,
+    "op6_permutation_index": op6_permutation_index,
+    "op7_html_cut": op7_html_cut,
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_ppm": op10_ppm,
