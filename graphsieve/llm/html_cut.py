@@ -37,7 +37,7 @@ OUTSIDE = frozenset("nav footer aside form menu button fieldset dialog".split())
 NOISE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer foot header masthead cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login comment comments reply replies disqus discussion respond share sharing social related recommended recommend toolbar pagination pager copyright legal disclaimer skip search complementary contentinfo".split())
 CORE = frozenset("article main".split())
 #: The classifier's weights, in the order of ``facts``, and its bias.
-WEIGHTS = {"core": 3.0, "outside": -8.0, "noise": -8.0, "head_tag": -2.0, "links": -3.0, "long": 2.2, "very_long": 1.0, "short": -0.7, "heading": 0.4, "sentence": 0.5}
+WEIGHTS = {"core": 3.0, "outside": -8.0, "noise": -8.0, "head_tag": -2.0, "links": -3.0, "long": 2.2, "very_long": 1.0, "short": -0.7, "heading": 1.0, "sentence": 0.5}
 BIAS = -0.6
 #: Smoothness: of neighbours under the same parent, less for each step between their parents; and of the next but one.
 TIE, FADE, SECOND = 0.9, 0.5, 0.3
