@@ -1 +1 @@
-"""graphsieve."""
+"""Registered queries and the SQL that checks them."""
