@@ -454,9 +454,10 @@ _groups = fusion.aom_groups([*SHARES])
 _short = {"price": "p", "quantity": "q", "revenue": "v", "size": "s"}
 
 
-@query(base(1) + WIDE + " SELECT node_id, round((" + " + ".join(f"greatest({', '.join(_short[p] for p in g)})" for g in _groups) + f") / {len(_groups)}, 6) AS fused FROM w")
+@query(base(1) + WIDE + " SELECT node_id, round((" + " + ".join(f"greatest({', '.join(_short[p] for p in g)})" for g in _groups) + f") / {len(_groups)}, 9) AS fused FROM w")
 def fuse_aom(spark, d):
-    return rounded(fusion.fuse(part_scores(spark, d), SHARES, "aom"))
+    # ranks over so many nodes and groups end in a 5 at the seventh place: rounded further down
+    return fusion.fuse(part_scores(spark, d), SHARES, "aom").select("node_id", F.round("fused", 9).alias("fused"))
 
 
 @query(base(1) + " SELECT node_id, round(sum((score - lo) / (hi - lo + 1e-10) * 0.25), 6) AS fused FROM scores JOIN (SELECT paradigm, min(score) AS lo, max(score) AS hi FROM scores GROUP BY 1) USING (paradigm) GROUP BY 1")
