@@ -75,7 +75,8 @@ def ks_statistic(df: DataFrame, value: str, flag: str, by: list[str] | None = No
     steps = df.groupBy(*by, value).agg(F.sum(hit).alias("a"), F.sum(1 - hit).alias("b"))
     run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*by)
-    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(whole) - F.sum("b").over(run) / F.sum("b").over(whole))
+    share = lambda c: F.try_divide(F.sum(c).over(run), F.sum(c).over(whole))  # null where a side is missing
+    gap = F.abs(share("a") - share("b"))
     out = steps.select(*by, gap.alias("gap"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
     out = out.groupBy(*by).agg(F.max("gap").alias("ks"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     z2 = F.pow("ks", F.lit(2)) * F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))

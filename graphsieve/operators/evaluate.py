@@ -21,11 +21,11 @@ def auroc(rows: DataFrame, by: list[str], value: str = "score") -> DataFrame:
 
 
 def average_precision(rows: DataFrame, by: list[str], value: str = "score") -> DataFrame:
-    """by, ap: the sum over distinct thresholds of recall gained times precision there."""
+    """by, ap: the sum over distinct thresholds of recall gained times precision there; null without anomalies."""
     steps = rows.groupBy(*by, value).agg(F.sum("y").alias("tp"), F.count("*").alias("k"))
     down = Window.partitionBy(*by).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gained = steps.withColumn("pr", F.sum("tp").over(down) / F.sum("k").over(down))
-    return gained.groupBy(*by).agg((F.sum(F.col("tp") * F.col("pr")) / F.sum("tp")).alias("ap"))
+    return gained.groupBy(*by).agg(F.try_divide(F.sum(F.col("tp") * F.col("pr")), F.sum("tp")).alias("ap"))
 
 
 def recall_at(rows: DataFrame, by: list[str], k: int, value: str = "score") -> DataFrame:

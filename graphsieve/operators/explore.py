@@ -186,7 +186,7 @@ def check_artifact(name: str, graph: Graph, scores: DataFrame, k: int = 50) -> d
         value = community_bias(scores, graph.communities, k).first()["fraction"]
         found, severity = value > limit, value
     elif name == "feature_sparsity":
-        zero = graph.nodes.select("node_id", (F.size(F.filter("features", lambda x: x == 0)) / F.size("features")).alias("z"))
+        zero = graph.nodes.select("node_id", (F.size(F.filter("features", lambda x: x == 0)) / F.greatest(F.size("features"), F.lit(1))).alias("z"))
         value = best.join(zero, "node_id").agg(F.avg("z")).first()[0] - zero.agg(F.avg("z")).first()[0]
         found, severity = value > limit * 0.1, value
     elif name == "reconstruction_capacity":
@@ -268,7 +268,7 @@ def node_view(scores: DataFrame, ids: DataFrame) -> DataFrame:
 def case_file(graph: Graph, scores: DataFrame, ids: DataFrame) -> DataFrame:
     """node_id, degree, community, neighbours, norm, sparsity and a column for each paradigm's score."""
     near = graph.symmetric.join(ids.select(F.col("node_id").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("neighbours"))
-    some = graph.nodes.join(ids, "node_id", "left_semi").select("node_id", norm("features").alias("norm"), (F.size(F.filter("features", lambda x: x == 0)) / F.size("features")).alias("sparsity"))
+    some = graph.nodes.join(ids, "node_id", "left_semi").select("node_id", norm("features").alias("norm"), (F.size(F.filter("features", lambda x: x == 0)) / F.greatest(F.size("features"), F.lit(1))).alias("sparsity"))
     wide = scores.join(ids, "node_id", "left_semi").groupBy("node_id").pivot("paradigm").agg(F.first("score"))
     return some.join(graph.degrees, "node_id").join(graph.communities, "node_id").join(near, "node_id", "left").fillna(0, ["neighbours"]).join(wide, "node_id", "left")
 

@@ -558,7 +558,7 @@ _conditions = ", ".join(f"('{p.name}', {repr(k) if k else 'NULL'}, {repr(op) if
 def applicability(spark, d):
     g = parts(spark, d, 1)
     n, m = F.count("*").cast("double"), g.edges.agg(F.count("*").alias("m"))
-    zero = F.avg(F.size(F.filter("features", lambda x: x == 0)) / F.size("features"))
+    zero = F.avg(F.size(F.filter("features", lambda x: x == 0)) / F.greatest(F.size("features"), F.lit(1)))
     one = g.nodes.agg(n.alias("num_nodes"), zero.alias("feature_sparsity"), F.first(F.size("features")).cast("double").alias("feature_dim")).crossJoin(F.broadcast(m))  # one row each
     one = one.withColumn("avg_degree", F.col("m") / F.col("num_nodes"))
     names = ["num_nodes", "feature_dim", "avg_degree", "feature_sparsity"]
