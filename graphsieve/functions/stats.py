@@ -38,9 +38,10 @@ def strict_percentile(value: str, by: list[str]) -> Column:
 
 def safe_corr(a: str | Column, b: str | Column) -> Column:
     """Pearson's r; 0 where a side is flat or r is undefined. An aggregate."""
-    flat = (F.stddev_pop(a) < FLAT) | (F.stddev_pop(b) < FLAT)
-    r = F.corr(a, b)
-    return F.when(flat | r.isNull() | F.isnan(r), F.lit(0.0)).otherwise(r)
+    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
+    # not F.corr, which raises where a side is constant
+    r = F.try_divide(F.covar_pop(a, b), sa * sb)
+    return F.when((sa < FLAT) | (sb < FLAT) | r.isNull() | F.isnan(r), F.lit(0.0)).otherwise(r)
 
 
 def min_max(df: DataFrame, value: str = "score", by: list[str] | None = None) -> DataFrame:
