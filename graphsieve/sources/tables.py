@@ -14,12 +14,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, or one temporary folder for a session that has none, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="graphsieve-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        application = spark.sparkContext.applicationId
+        found = _own_folders.setdefault(application, "") or tempfile.mkdtemp(prefix="graphsieve-")
+        _own_folders[application] = found
     return found.rstrip("/")
 
 
