@@ -357,7 +357,7 @@ def tail_gap(spark, d):
 
 
 @query("""WITH r AS (SELECT lang, n_chars AS v, (source = 'src0')::INT AS f FROM documents), s AS (SELECT lang, v, sum(f) AS a, sum(1 - f) AS b FROM r GROUP BY 1, 2),
- g AS (SELECT lang, abs(sum(a) OVER w / sum(a) OVER t - sum(b) OVER w / sum(b) OVER t) AS gap FROM s WINDOW w AS (PARTITION BY lang ORDER BY v), t AS (PARTITION BY lang))
+ g AS (SELECT lang, abs(sum(a) OVER w / nullif(sum(a) OVER t, 0) - sum(b) OVER w / nullif(sum(b) OVER t, 0)) AS gap FROM s WINDOW w AS (PARTITION BY lang ORDER BY v), t AS (PARTITION BY lang))
  SELECT lang, round(max(gap), 6) AS ks FROM g GROUP BY 1""")
 def ks(spark, d):
     rows = table(spark, d, "documents").select("lang", "n_chars", (F.col("source") == "src0").alias("f"))
