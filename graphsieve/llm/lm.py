@@ -11,13 +11,16 @@ Above the trie stands what the text itself has shown so far: before the word num
 words predict the next one by their shares with weight ADAPT * i / (i + D), and the trie with the rest. So a text
 that repeats itself, or keeps to one language's common words, gets shorter as it goes on.
 
-Because contexts stay within a word, a word's code length is worked out once for each block of documents,
-however often it occurs. Corpus counts cover every training document: they are partly summed per task,
-then shuffled by word. The trie is counted from that table. A context-symbol pair enters the model if it
-occurred at least as often as the least frequent of the MOST_NODES most frequent; being a threshold on
-counts, this keeps the suffix of every kept context, and bounds what is broadcast by 16 bytes a node.
+Because contexts stay within a word, a word's code length is worked out once, however often it occurs.
+Corpus counts cover every training document: they are partly summed per task, then shuffled by word.
 
-Word counts for scoring: each block's distinct words are joined with the counts and come back to the
+The trie is never in one place, and no context is left out of it. Words, those of held-out texts too, are cut into
+chunks; a chunk's distinct situations (longest context and symbol) are shuffled by their three last context
+symbols, so all longer contexts with that ending meet, and each such part of the trie is counted and its situations are
+coded there. Contexts of two symbols at most, whose number the alphabet bounds, are broadcast. The code
+lengths come back to the chunk, where they add up to the words'.
+
+Word counts for scoring: each block's distinct words are joined with counts and code lengths and come back to the
 block, so no task holds more than one block's words. Null texts count as empty: one end token.
 """
 
@@ -36,7 +39,10 @@ from pyspark.sql import functions as F
 from graphsieve.llm.common import slices, texts, written
 
 ORDER = 6
-MOST_NODES = 1 << 20
+#: Contexts up to this order are broadcast, the others are dealt by so many of their last symbols and one more.
+LOW = 2
+#: Bytes of words in a chunk; situations whose part of the trie is built at once, if no ending has more.
+CHUNK, PART = 2 << 20, 1 << 18
 #: Symbols that are no bytes of words stand for the start, the end of a word, and the end of the text.
 START, WORD_END, TEXT_END = 9, 32, 10
 #: 256 bytes without the six white-space ones, and the two ends.
@@ -88,6 +94,33 @@ def count_nodes(words: list[bytes], counts: np.ndarray, ends: int = 0) -> tuple[
     return code, np.bincount(where, np.concatenate(sums), len(code)).astype(np.int64)
 
 
+def situations(flat: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each of the positions ``at`` its longest context and its symbol as one code."""
+    out, depth = np.empty(len(at), np.int64), np.minimum(place[at], ORDER)
+    for order in range(1, ORDER + 1):
+        use = depth == order
+        out[use] = context_codes(flat, order)[at[use]] << 8 | flat[at[use]]
+    return out
+
+
+def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and their sums."""
+    found, where = np.unique(code, return_inverse=True)
+    sums = np.zeros(len(found), np.int64)
+    np.add.at(sums, where, n)
+    return found, sums
+
+
+def nodes_of(code: np.ndarray, n: np.ndarray, orders: range) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these orders, with their counts, that situations occurring ``n`` times make."""
+    code, n = code[n > 0], n[n > 0]
+    got = []
+    for order in orders:
+        use = code >> ORDER_SHIFT >= order
+        got.append(summed(code[use] & ((np.int64(1) << (8 * order + 8)) - 1) | np.int64(order) << ORDER_SHIFT, n[use]))
+    return np.concatenate([c for c, _ in got]), np.concatenate([k for _, k in got])
+
+
 #: Steps of T and D by which escapes are counted.
 T_STEPS, D_STEPS = 32, 12
 CELLS = (ORDER + 1) * 2 * T_STEPS * D_STEPS
@@ -147,19 +180,23 @@ class Trie:
         return escapes, visits
 
     def positions(self, flat: np.ndarray, place: np.ndarray, at: np.ndarray, tally: tuple | None = None) -> np.ndarray:
-        """Log10 probabilities; with ``tally`` (escapes, visits, weights) each symbol counts once less, and escapes are counted."""
-        out = np.zeros(len(at))
-        todo = np.arange(len(at))
-        longer = np.full(len(at), -1)  # the context escaped from
-        held = np.zeros(len(at), np.int64)  # whether that one has the symbol, its only time being left out
+        """Log10 probabilities of the symbols at these places."""
+        return self.coded(situations(flat, place, at), tally)
+
+    def coded(self, code: np.ndarray, tally: tuple | None = None) -> np.ndarray:
+        """Log10 probabilities of situations; with ``tally`` (escapes, visits, weights) each symbol counts once less, and escapes are counted."""
+        out = np.zeros(len(code))
+        todo = np.arange(len(code))
+        longer = np.full(len(code), -1)  # the context escaped from
+        held = np.zeros(len(code), np.int64)  # whether that one has the symbol, its only time being left out
         less = int(tally is not None)
+        depth, symbol = code >> ORDER_SHIFT, code & 255
         for order in range(ORDER, -1, -1):
-            deep = place[at[todo]] >= order
-            here = todo[deep]
-            context = context_codes(flat, order)[at[here]]
+            here = todo[depth[todo] >= order]
+            context = code[here] >> 8 & ((np.int64(1) << (8 * order)) - 1) | np.int64(order) << (ORDER_SHIFT - 8)
             node = find(self.contexts, context)
             here, context, node = here[node >= 0], context[node >= 0], node[node >= 0]
-            found = find(self.codes, context << 8 | flat[at[here]])
+            found = find(self.codes, context << 8 | symbol[here])
             times = np.where(found >= 0, self.counts[found], 0) if len(self.counts) else np.zeros(len(here), np.int64)
             came = longer[here]
             total, kinds = np.where(came >= 0, self.rest_total[came], self.total[node]), np.where(came >= 0, self.rest_kinds[came], self.kinds[node])
@@ -231,7 +268,7 @@ def with_fold(docs: DataFrame, held_out, id_col: str, text_col: str) -> DataFram
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c over the rows that are not held out; each task sums its own first, in pieces of bounded size."""
+    """word, c over the rows that are not held out, with 0 for words of the others alone; each task sums its own first, in pieces of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -243,7 +280,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in slices(batches):
             for text, out_of in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-                if not out_of:
+                if out_of:
+                    for w in words_of(text):
+                        held.setdefault(w, 0)
+                else:
                     held.update(words_of(text))
             if len(held) > 400_000:
                 yield from out()
@@ -253,8 +293,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(counts: DataFrame, ends: int, most: int = MOST_NODES) -> Trie:
-    """The trie from the table of word counts and the number of texts."""
+def train(counts: DataFrame, ends: int, most: int) -> Trie:
+    """A trie of at most ``most`` nodes, the most frequent, in one place, from the table of word counts and the number of texts; ``score`` doesn't use it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -303,13 +343,154 @@ def train(counts: DataFrame, ends: int, most: int = MOST_NODES) -> Trie:
     return trie
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", most_nodes: int = MOST_NODES) -> DataFrame:
+def in_chunks(counts: DataFrame) -> DataFrame:
+    """The words with the number of their chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k, size = TaskContext.get().partitionId(), 0, 0
+        for batch in slices(batches, "word", most=CHUNK, rows=1 << 16):
+            if size + batch.column("word").nbytes > CHUNK:
+                k, size = k + 1, 0
+            size += batch.column("word").nbytes
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part << 32 | k))], ["word", "c", "chunk"])
+
+    return counts.mapInArrow(run, "word binary, c long, chunk long")
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 8-byte numbers, byte by byte: what is alike lies together and compresses."""
+    return np.stack(columns, 1).view(np.uint8).T.tobytes()
+
+
+def unpacked(data: bytes, columns: int) -> np.ndarray:
+    """The columns as rows of int64."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8 * columns, -1).T).view(np.int64)
+
+
+def dealt(words: DataFrame) -> DataFrame:
+    """key, chunk, data: each chunk's situations and how often they occur, a row for each ending; equal endings together and in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            flat, word, place = symbols_of([w for b in held for w in b.column("word").to_pylist()])
+            c = np.concatenate([b.column("c").to_numpy() for b in held])
+            at = np.flatnonzero(place > 0)
+            code, n = summed(situations(flat, place, at), c[word[at]])
+            key = (code >> 8 & ((1 << (8 * LOW + 8)) - 1)).astype(np.int32)
+            order = np.argsort(key, kind="stable")
+            key, code, n = key[order], code[order], n[order]
+            keys, first = np.unique(key, return_index=True)
+            edges = [*first.tolist(), len(key)]
+            for at in range(0, len(keys), 4096):
+                some = [packed(code[a:b], n[a:b]) for a, b in zip(edges[at : at + 4096], edges[at + 1 : at + 4097], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 4096]), pa.array(np.full(len(some), chunk)), pa.array(some, pa.binary())], ["key", "chunk", "data"])
+
+        for batch in batches:
+            of = batch.column("chunk").to_numpy()
+            edges = np.flatnonzero(np.diff(of, prepend=-1)) if len(of) else []
+            for a, b in zip(edges, [*edges[1:], len(of)], strict=True):
+                if of[a] != chunk:
+                    if held:
+                        yield from out()
+                    chunk, held = int(of[a]), []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from out()
+
+    return words.mapInArrow(run, "key int, chunk long, data binary").repartition("key").sortWithinPartitions("key")
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks, where each one's situations begin (and the end), code and n of whole endings, some PART situations at once."""
+    chunks, held, size, last = [], [], 0, None
+
+    def out() -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        code, n = np.ascontiguousarray(np.concatenate(held).T)
+        return chunks, np.cumsum([0, *map(len, held)]), code, n
+
+    for batch in batches:
+        for key, chunk, data in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "data")), strict=True):
+            if key != last and size >= PART:
+                yield out()
+                chunks, held, size = [], [], 0
+            last = key
+            chunks.append(chunk)
+            held.append(unpacked(data, 2))
+            size += len(held[-1])
+    if held:
+        yield out()
+
+
+def with_lengths(words: DataFrame, ends: int) -> tuple[DataFrame, float]:
+    """word, c, ppm (log10 probability) of all words, by a trie of all contexts of the counted ones; and the text end's log10."""
+    spark = words.sparkSession
+
+    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "word", most=CHUNK, rows=1 << 16):
+            flat, word, place = symbols_of(batch.column("word").to_pylist())
+            at = np.flatnonzero(place > 0)
+            code, n = nodes_of(situations(flat, place, at), batch.column("c").to_numpy()[word[at]], range(LOW + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+
+    # strings of three symbols at most: as many as the alphabet has, however large the corpus
+    got = words.mapInArrow(lower, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    more, times = count_nodes([], np.zeros(0, np.int64), ends)
+    low = summed(np.concatenate([got.column("code").to_numpy(), more]), np.concatenate([got.column("n").to_numpy(), times]))
+    low_shared = spark.sparkContext.broadcast(low)
+    rows = dealt(words)
+
+    def part_of_trie(code: np.ndarray, n: np.ndarray) -> Trie:
+        nodes = nodes_of(code, n, range(LOW + 1, ORDER + 1))
+        return Trie.build(*(np.concatenate(c) for c in zip(low_shared.value, nodes, strict=True)))
+
+    def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        escapes, visits = np.zeros(CELLS), np.zeros(CELLS)
+        for _, _, code, n in parts(batches):
+            code, n = summed(code, n)
+            part_of_trie(code, n).coded(code[n > 0], (escapes, visits, n[n > 0]))
+        some = np.flatnonzero(visits)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(escapes[some]), pa.array(visits[some])], ["cell", "e", "v"])
+
+    escapes, visits = np.zeros(CELLS), np.zeros(CELLS)
+    for r in rows.mapInArrow(leave_out, "cell long, e double, v double").groupBy("cell").agg(F.sum("e").alias("e"), F.sum("v").alias("v")).collect():  # CELLS rows at most
+        escapes[r["cell"]], visits[r["cell"]] = r["e"], r["v"]
+
+    def code_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunks, edges, code, n in parts(batches):
+            own, sums = summed(code, n)
+            trie = part_of_trie(own, sums)
+            trie.escapes, trie.visits = escapes, visits
+            log10 = trie.coded(own)[find(own, code)].view(np.int64)
+            some = [packed(code[a:b], log10[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(some, pa.binary())], ["chunk", "data"])
+
+    def add_up(words_part: pa.Table, lengths: pa.Table) -> pa.Table:
+        both = np.concatenate([np.zeros((0, 2), np.int64), *(unpacked(data, 2) for data in lengths.column("data").to_pylist())])
+        both = both[np.argsort(both[:, 0])]
+        code, log10 = both[:, 0].copy(), both[:, 1].copy().view(np.float64)
+        own = words_part.column("word").to_pylist()
+        ppm = [np.zeros(0)]
+        for first in range(0, len(own), 1 << 16):
+            some = own[first : first + (1 << 16)]
+            flat, word, place = symbols_of(some)
+            at = np.flatnonzero(place > 0)
+            ppm.append(np.bincount(word[at], log10[find(code, situations(flat, place, at))], len(some)))
+        return pa.table({"word": words_part.column("word"), "c": words_part.column("c"), "ppm": pa.array(np.concatenate(ppm))})
+
+    lengths = rows.mapInArrow(code_lengths, "chunk long, data binary")
+    end = Trie.build(*low)
+    end.escapes, end.visits = escapes, visits
+    return words.groupBy("chunk").cogroup(lengths.groupBy("chunk")).applyInArrow(add_up, "word binary, c long, ppm double"), end.text_end()
+
+
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row.
 
     ``held_out`` is a boolean Column over ``doc_id`` and ``text``; the model learns from the other rows. ``base_score`` is
     the smoothed unigram log10 probability of words and end, ``score`` that of the PPM model.
     """
-    spark = docs.sparkSession
     source = with_fold(docs, held_out, id_col, text_col)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,11 +501,11 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
 
     # blocks must stay what they are when a task runs again, so they are written down
     blocks = written(source.mapInArrow(number, "doc_id long, text string, held_out boolean, block long"), "lm-blocks")
-    counts = written(word_counts(blocks), "lm-counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    counts = written(in_chunks(word_counts(blocks)), "lm-counts")
+    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     ends = blocks.where(~F.col("held_out")).count()
     n_train, n_kinds = total + ends, kinds + bool(ends)
-    trie = spark.sparkContext.broadcast(train(counts, ends, most_nodes))
+    known_words, end = with_lengths(counts, ends)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, set()
@@ -346,15 +527,11 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             yield from out()
 
     def sums(docs_part: pa.Table, words_part: pa.Table) -> pa.Table:
-        # a word without training counts doesn't come back from the join
-        counted = dict(zip(words_part.column("word").to_pylist(), words_part.column("c").to_pylist(), strict=True))
         split = [words_of(t) for t in docs_part.column("text").to_pylist()]
-        words = [*{w for own in split for w in own}]
-        index = {w: i for i, w in enumerate(words)}
-        c = np.fromiter((counted.get(w, 0) for w in words), np.int64, len(words))
-        ppm = np.concatenate([trie.value.log10(words[at : at + (1 << 16)]) for at in range(0, len(words), 1 << 16)] or [np.zeros(0)])
+        index = {w: i for i, w in enumerate(words_part.column("word").to_pylist())}
+        c, ppm = words_part.column("c").to_numpy(), words_part.column("ppm").to_numpy()
         base = np.log10(c + 0.5)
-        below, end = np.log10(n_train + 0.5 * (n_kinds + 1)), trie.value.text_end()
+        below = np.log10(n_train + 0.5 * (n_kinds + 1))
         rows = []
         for own in split:
             at = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
@@ -364,6 +541,6 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"doc_id": docs_part.column("doc_id"), "held_out": docs_part.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n_train] * len(n), pa.int64()), "base_score": pa.array(based, pa.float64()), "score": pa.array(scored, pa.float64())})
 
     block_words = blocks.select("block", "text").mapInArrow(distinct, "word binary, block long")
-    looked_up = block_words.join(counts, "word").select("block", "word", "c")
+    looked_up = block_words.join(known_words, "word").select("block", "word", "c", "ppm")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(looked_up.groupBy("block")).applyInArrow(sums, schema)

@@ -148,3 +148,21 @@ def test_no_text(spark, rows):
         got = lm.score(docs, held).collect()
         assert len(got) == len(rows)
         assert all(r.n_tokens == 1 and math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+
+
+def test_no_context_is_left_out(spark):
+    rng = np.random.default_rng(7)
+    drawn = [["".join(rng.choice(list("abcdefghijklmnop"), 9)) for _ in range(6000)] for _ in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(words), "w", 1, 2) for i, words in enumerate(drawn)], SCHEMA)
+    got = {r.doc_id: r.score for r in lm.score(docs.repartition(4), F.col("doc_id") % 5 == 1).collect()}
+    counts = Counter(w.encode() for i, words in enumerate(drawn) if i % 5 != 1 for w in words)
+    words, times = [*counts], np.array([*counts.values()])
+    code, n = lm.count_nodes(words, times, sum(i % 5 != 1 for i in range(len(drawn))))
+    assert len(code) > 1 << 20
+    trie = lm.Trie.build(code, n)
+    trie.escapes, trie.visits = trie.left_out(words, times)
+    for i in (0, 1, 29):
+        own = [w.encode() for w in drawn[i]]
+        index = {w: k for k, w in enumerate(dict.fromkeys(own))}
+        want = lm.adapted(np.array([index[w] for w in own]), trie.log10([*index])[[index[w] for w in own]], trie.text_end())
+        assert np.isclose(got[i], want, rtol=1e-9)
