@@ -252,7 +252,7 @@ def spectral(spark, d):
 def _neural(name):
     def run(spark, d):
         g = user_graph(spark, d)
-        return rounded(neural.NEURAL[name](Graph(keep(g.nodes, "n"), keep(g.edges, "e")), **({} if name == "linear_residual" else {"epochs": 20})))
+        return rounded(neural.NEURAL[name](Graph(keep(g.nodes, "n"), keep(g.edges, "e"))))
 
     run.__name__ = f"neural_{name}"
     return run
@@ -265,7 +265,7 @@ for _name in neural.NEURAL:
 @query()
 def composed_method(spark, d):
     g = user_graph(spark, d)
-    return rounded(neural.train_method(Graph(keep(g.nodes, "n"), keep(g.edges, "e")), neural.RECIPES["gad_nr"] | {"epochs": 20}))
+    return rounded(neural.train_method(Graph(keep(g.nodes, "n"), keep(g.edges, "e")), neural.RECIPES["gad_nr"]))
 
 
 # --- features ------------------------------------------------------------------------------------------------------

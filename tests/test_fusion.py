@@ -1,5 +1,7 @@
 """The gate's branches, fusion modes, evaluation, catalog rules, session and streams."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from graphsieve import catalog
 from graphsieve.graph import Graph
 from graphsieve.operators import evaluate, explore, fusion, neural
 from graphsieve.operators.nets import Tensor
+from graphsieve.plans import queries as plans
 from graphsieve.session import EvidenceLog, Session
 from graphsieve.streaming import events
 
@@ -193,3 +196,17 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode("append" if name == "slots" else "complete").trigger(availableNow=True).start()
         q.awaitTermination(60)
         assert spark.table(name).count() > 0
+
+
+def test_queries_train_in_full(spark, monkeypatch):
+    assert {n: inspect.signature(f).parameters["epochs"].default for n, f in neural.NEURAL.items() if n != "linear_residual"} == dict.fromkeys(set(neural.NEURAL) - {"linear_residual"}, 100)
+    assert inspect.signature(neural.subgraph_contrast).parameters["rounds"].default == 256
+    given = {}
+    for name in neural.NEURAL:
+        monkeypatch.setitem(neural.NEURAL, name, lambda g, name=name, **options: given.update({name: options}))
+    monkeypatch.setattr(neural, "train_method", lambda g, spec: given.update(composed_method=neural.checked(spec)["epochs"]))
+    for name in ("user_graph", "keep", "Graph", "rounded"):
+        monkeypatch.setattr(plans, name, lambda *a: type("G", (), {"nodes": None, "edges": None}))
+    for name in [*(f"neural_{n}" for n in neural.NEURAL), "composed_method"]:
+        plans.QUERIES[name](spark, "")
+    assert given == dict.fromkeys(neural.NEURAL, {}) | {"composed_method": 100}
