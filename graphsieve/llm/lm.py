@@ -3,8 +3,8 @@
 A text is the sequence of its words and one end. The model codes each word's bytes and a word end; the
 context of a byte is at most ORDER bytes before it within the word, and a start mark. In a context, a
 symbol that followed it ``c`` times in training has probability c / (T + D), with T the sum and D the number
-of symbols that followed; the others get D / (T + D) together (escape method C) and are coded in the
-next shorter context, where the symbols of the longer one are excluded from all counts; below the empty
+of symbols that followed; the others get D / (T + D) together (escape method C, to which the escapes counted by leaving one
+out, in situations of like T and D, are added) and are coded in the next shorter context, where the symbols of the longer one are excluded from all counts; below the empty
 context all symbols not seen at all are alike. Code lengths add up to the log10 probability of the text.
 
 Above the trie stands what the text itself has shown so far: before the word number i (from 0), of D kinds, the text's own
