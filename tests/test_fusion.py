@@ -210,3 +210,29 @@ def test_queries_train_in_full(spark, monkeypatch):
     for name in [*(f"neural_{n}" for n in neural.NEURAL), "composed_method"]:
         plans.QUERIES[name](spark, "")
     assert given == dict.fromkeys(neural.NEURAL, {}) | {"composed_method": 100}
+
+
+def dense_residual(x, src, dst, rounds, alpha, beta, gamma):
+    n = len(x)
+    a, eye = np.zeros((n, n)), np.eye(n)
+    a[src, dst] = a[dst, src] = 1
+    np.fill_diagonal(a, 0)
+    laplace, gram, d_r, d_w = np.diag(a.sum(1)) - a, x @ x.T, np.ones(n), np.ones(n)
+    r = np.linalg.solve((1 + beta) * eye + gamma * laplace, x)
+    for _ in range(rounds):
+        w = np.linalg.solve(gram + alpha * np.diag(d_w), gram - x @ r.T)
+        d_w = 1 / (2 * np.maximum(np.sqrt((w**2).sum(1)), 1e-8))
+        r = np.linalg.solve(eye + beta * np.diag(d_r) + gamma * laplace, x - w.T @ x)
+        d_r = 1 / (2 * np.maximum(np.sqrt((r**2).sum(1)), 1e-8))
+    return np.sqrt((r**2).sum(1))
+
+
+def test_linear_residual_without_square_matrices(spark):
+    rng = np.random.default_rng(2)
+    for n, d, m in ((60, 8, 150), (200, 30, 700), (40, 3, 0)):
+        x, src, dst = rng.normal(size=(n, d)), rng.integers(0, n, m), rng.integers(0, n, m)
+        got = neural.residual_norms(neural.Local(np.arange(n), x, src, dst), 20, 0.01, 0.01, 0.01)
+        assert np.allclose(got, dense_residual(x, src, dst, 20, 0.01, 0.01, 0.01), rtol=1e-5, atol=1e-7)
+    nodes = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(3200, 4)).tolist())], "node_id long, features array<double>")
+    edges = spark.createDataFrame([(i, (i * 7 + 1) % 3200) for i in range(3200)], "src long, dst long")
+    assert neural.linear_residual(Graph(nodes, edges)).count() == 3200
