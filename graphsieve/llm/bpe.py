@@ -13,6 +13,8 @@ into words by the vocabulary's pattern. Null and empty texts have no ids.
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,12 +22,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphsieve.llm.common import slices, texts
-from graphsieve.llm.tokens import MATCHES, PLAIN, pieces
 
 #: No pair here.
 NONE = np.int64(1) << 62
-#: Words of more bytes than this are encoded one at a time.
+#: Words of more bytes than this are encoded one at a time, in some 60 bytes of memory for each of theirs, and are not kept.
 LONG = 256
+#: White space other than the plain space and the newline, in the widest reading.
+ODD_SPACE = re.compile(r"[^\S \n]")
+SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Pieces of plain characters, which the standard library's expressions can take apart as the tokenizer does.
+PLAIN = re.compile("[\\n -~À-ÖØ-öø-ÿ]*")
+#: The byte-level pattern for those characters alone.
+MATCHES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
+
+
+def pieces(text: str) -> list[str]:
+    """The text cut before each space that starts a match: all but the first piece lack that space.
+
+    A space between two characters that are not white space always starts a new match of the byte-level pattern.
+    """
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or ODD_SPACE.search(text):
+        return SAFE_SPACE.split(text)
+    return text.split(" ")
 
 
 class Bpe:
@@ -118,8 +136,8 @@ class Bpe:
         while level > 1:
             tree[level // 2 : level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
             level //= 2
-        tree, token = tree.tolist(), token.tolist()
-        following, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1" * n)
+        tree, token = array("q", tree.tobytes()), array("q", token.tobytes())
+        following, before, live = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), bytearray(b"\1" * n)
 
         def put(at: int, a: int, b: int) -> None:
             rank = self.ranks.get(self.tokens[a] + self.tokens[b]) if b >= 0 else None
@@ -191,7 +209,11 @@ class Bpe:
         word = self.words.__getitem__
         for p, ws in parts.items():
             self.known[p] = b"".join(map(word, ws))
-        return [b"".join(map(word, first)) + b"".join(map(self.known.__getitem__, rest)) for first, rest in zip(firsts, cut, strict=True)]
+        out = [b"".join(map(word, first)) + b"".join(map(self.known.__getitem__, rest)) for first, rest in zip(firsts, cut, strict=True)]
+        for kept in (self.known, self.words):  # what is long goes again
+            for x in [x for x in (parts if kept is self.known else missing) if len(x) > LONG]:
+                del kept[x]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return to_bytes(self.tokens, ids)

@@ -9,13 +9,14 @@ A shard is one row of a Parquet table; its ``payload`` is this format (little en
     offsets      where each document's symbols begin, and the end, unsigned 32-bit
     symbols      the compressed sequence
 
-Symbols below the vocabulary size are ids, the others rules. Re-Pair works in rounds: each counts all
-neighbouring pairs, gives every pair that occurs often enough a rule, replaces all of its occurrences
-(the left one where two overlap), and goes on with the shorter sequence. A pair never spans two
+Symbols below the vocabulary size are ids, the others rules. Re-Pair works in rounds: each counts the
+neighbouring pairs and replaces those that occur LEAST times or more by rules, the more frequent one first where two overlap,
+until no pair occurs so often. A pair never spans two
 documents, so document ``i`` is symbols[offsets[i]:offsets[i + 1]] and can be read without the others;
 the rules' lengths lead to a position inside it.
 
-Null and empty texts hold the end id alone. Rows with equal ids are ordered by their text. Null ids come first.
+Null and empty texts hold the end id alone. Null ids come first. Rows with equal ids are ordered by a hash of their text and
+by where they were read, so that one id's many rows, copies too, fall into several partitions.
 """
 
 from __future__ import annotations
@@ -33,55 +34,93 @@ from graphsieve.llm.common import slices, texts
 from graphsieve.llm.tokens import ids_of
 
 MAGIC = b"RPG1"
-#: Buckets in which pairs are counted; a pair that shares a bucket with a more recent one waits for the next round.
-BUCKETS = 1 << 20
+#: How often a pair must occur in a shard to become a rule, which takes 12 bytes; 2 leaves no pair that repeats.
+LEAST = 8
+#: Marks a document's last symbol while rules are sought.
+END = np.uint32(1 << 31)
 SHARD_SCHEMA = "part int, shard int, first_doc long, n_docs long, n_tokens long, doc_ids array<long>, payload binary"
 
 
-def repair(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int = 5, least: int = 12, most_rules: int = 15_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, their document-end marks, and left, right and length of the rules."""
-    seq, left, right = ids.astype(np.uint32), [], []
-    lengths = [np.ones(vocabulary, np.uint32)]
-    symbols = vocabulary
-    for _ in range(rounds):
-        if len(seq) < 2 or symbols - vocabulary >= most_rules:
-            break
-        a, b = seq[:-1], seq[1:]
-        slot = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519))) >> np.uint32(32 - 20)
-        usable = ~last[:-1]
-        who = np.zeros(BUCKETS, np.int64)
-        at = np.flatnonzero(usable)
-        who[slot[at]] = at  # the last pair of a bucket speaks for it
-        rep = who[slot]
-        same = usable & (a[rep] == a) & (b[rep] == b)
-        counts = np.bincount(slot[same], minlength=BUCKETS)
-        good = np.flatnonzero(counts >= least)
-        if len(good) > most_rules - (symbols - vocabulary):
-            good = good[np.argsort(-counts[good], kind="stable")[: most_rules - (symbols - vocabulary)]]
-        if not len(good):
+def repair(ids: np.ndarray, last: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, their document-end marks, and left, right and length of the rules; no pair that occurs ``least`` times is left.
+
+    ``seq[i]`` and ``seq[i + 1]`` are pair ``i``. It is looked at again only while it may become a rule (``alive``): a pair of old
+    symbols never gains an occurrence, so one that is too rare stays so.
+    """
+    seq, symbols = ids.astype(np.uint32), vocabulary
+    seq[last] |= END
+    lengths = np.ones(vocabulary, np.uint32)
+    made = rules = np.zeros(0, np.uint64)  # rules as left << 32 | right, as they were made; sorted
+    names = np.zeros(0, np.uint32)  # the symbols of ``rules``
+    alive = ~last
+    while len(at := np.flatnonzero(alive)):
+        bits, low = symbols.bit_length(), len(at).bit_length()
+        if 4 * len(at) > len(seq):
+            pair = (seq[:-1].astype(np.uint64) << np.uint64(bits) | seq[1:] & ~END).take(at)
+        else:
+            pair = seq.take(at).astype(np.uint64) << np.uint64(bits) | seq.take(at + 1) & ~END
+        if 2 * bits + low <= 64:
+            pair <<= np.uint64(low)
+            pair |= np.arange(len(at), dtype=np.uint64)
+            pair.sort()
+            pos = (pair & np.uint64((1 << low) - 1)).view(np.int64)
+            pair >>= np.uint64(low)
+        else:
+            pos = np.argsort(pair, kind="stable")
+            pair = pair[pos]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        size, pair = np.diff(np.append(first, len(pos))), pair[first]
+        name = pair >> np.uint64(bits) << np.uint64(32) | pair & np.uint64((1 << bits) - 1)
+        known = np.minimum(np.searchsorted(rules, name), max(0, len(rules) - 1))
+        has = rules[known] == name if len(rules) else np.zeros(len(name), bool)
+        good = (size >= least) | has
+        pos = at.take(pos[np.repeat(good, size)])
+        name, size, has, known = name[good], size[good], has[good], known[good]
+        kind = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        alive = np.zeros(len(seq), bool)
+        alive[pos] = True
+        # of overlapping occurrences of one pair, in a run of one symbol, every other counts, from the left
+        if (own := name >> np.uint64(32) == name & np.uint64(0xFFFFFFFF)).any():
+            some = np.flatnonzero(own[kind])
+            place = np.arange(len(some))
+            touching = np.concatenate([[False], (np.diff(pos[some]) == 1) & (np.diff(kind[some]) == 0)])
+            skipped = some[(place - np.maximum.accumulate(np.where(touching, 0, place))) % 2 == 1]
+            size = size - np.bincount(kind[skipped], minlength=len(size))
+            rare = (size < least) & ~has
+            alive[pos[some[rare[kind[some]]]]] = False
+            counted = ~rare[kind]
+            counted[skipped] = False
+            pos, kind = pos[counted], kind[counted]
+        if not len(pos):
             break
-        rule = np.full(BUCKETS, -1, np.int64)
-        rule[good] = np.arange(len(good)) + symbols
-        new = np.where(same, rule[slot], -1)
-        hit = new >= 0
-        # of a run of overlapping hits every other one counts, from its left end
-        at = np.flatnonzero(hit)
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = np.diff(at) > 1
-        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - begin) % 2 == 0]
-        left.append(a[who[good]].copy())
-        right.append(b[who[good]].copy())
-        known = np.concatenate(lengths)
-        lengths.append(known[left[-1]] + known[right[-1]])
-        symbols += len(good)
-        seq[at] = new[at]
-        last[at] = last[at + 1]
+        # the most frequent pairs go first: an occurrence is replaced if no overlapping one has more
+        rank = (size << 24) + (np.arange(len(size)) * 11400719 & 0xFFFFFF)
+        weight = np.zeros(len(seq) + 2, np.int64)
+        own = rank.take(kind)
+        weight[pos + 1] = own
+        chosen = np.flatnonzero((own > weight.take(pos)) & (own >= weight.take(pos + 2)))
+        pos, kind = pos.take(chosen), kind.take(chosen)
+        new = np.flatnonzero(~has & (np.bincount(kind, minlength=len(size)) >= least))
+        symbol = np.zeros(len(size), np.uint32)
+        if len(names):
+            symbol[has] = names[known[has]]
+        symbol[new] = np.arange(symbols, symbols + len(new))
+        made = np.append(made, name[new])
+        lengths = np.append(lengths, lengths[name[new] >> np.uint64(32)] + lengths[name[new] & np.uint64(0xFFFFFFFF)])
+        order = np.argsort(rules := np.append(rules, name[new]))
+        rules, names, symbols = rules[order], np.append(names, symbol[new])[order], symbols + len(new)
+        put = symbol.take(kind)
+        pos, put = pos[put > 0], put[put > 0]
+        put |= seq[pos + 1] & END
+        seq[pos] = put
+        alive[pos] = put < END
+        before = pos[pos > 0] - 1
+        alive[before] = seq[before] < END
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-    none = np.zeros(0, np.uint32)
-    return seq, last, np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([none, *lengths[1:]])
+        keep[pos + 1] = False
+        keep = np.flatnonzero(keep)
+        seq, alive = seq.take(keep), alive.take(keep)
+    return seq & ~END, seq >= END, (made >> np.uint64(32)).astype(np.uint32), (made & np.uint64(0xFFFFFFFF)).astype(np.uint32), lengths[vocabulary:]
 
 
 def to_payload(parts: list[np.ndarray], vocabulary: int) -> bytes:
@@ -168,7 +207,9 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int =
         if parts:
             yield shard()
 
-    return texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA)
+    keyed = texts(docs, id_col, text_col).withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = ["doc_id", "h", "row"]
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, SHARD_SCHEMA)
 
 
 def save(docs: DataFrame, path: str, tokenizer: str, **options) -> None:

@@ -38,7 +38,7 @@ def crc(values):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab'sZ9 .,\n\t\r\x0b\x1c\x85\xa0é漢² ª"), max_size=30) | st.text(max_size=30))
 def test_pieces_encode_like_the_library(text):
-    known = ids_of(PATH, 50)
+    known = ids_of(PATH)
     assert np.frombuffer(known.encode(text), known.dtype).tolist() == expected(known, text)
 
 
@@ -99,6 +99,52 @@ def test_token_store(spark, ids):
     assert token_store.read(spark, empty).count() == 0
 
 
+def test_plain_texts_take_the_rank_encoder(ids):
+    assert ids.fast is not None
+    words = ["the", "thonly", "ingble", "Überfluß", "niño,", "it's", "12.5", "Привет", "αβγ", "“so”", "—", "…", "€5", "x" * 30, "\n", "\n\n", "  "]
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 80)))) for _ in range(300)] + ["a" * 50_000, " " * 50_000, "b " * 30_000]
+    assert sum(ids.plain(t) for t in texts) >= 300
+    for text in texts:
+        assert np.frombuffer(ids.encode(text), ids.dtype).tolist() == expected(ids, text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=60), min_size=1, max_size=6), st.integers(2, 5))
+def test_repair_leaves_no_frequent_pair(docs, least):
+    ids = np.concatenate([np.array(d, "<u2") for d in docs])
+    last = np.zeros(len(ids), bool)
+    last[np.cumsum([*map(len, docs)]) - 1] = True
+    seq, ends, left, right, lengths = token_store.repair(ids, last, 10, least)
+    expand = lambda x: [x] if x < 10 else expand(int(left[x - 10])) + expand(int(right[x - 10]))
+    got, doc = [[]], 0
+    for x, end in zip(seq.tolist(), ends.tolist(), strict=True):
+        got[-1] += expand(x)
+        if end:
+            got.append([])
+    assert got[:-1] == docs and [len(expand(10 + i)) for i in range(len(left))] == lengths.tolist()
+    assert len(set(zip(left.tolist(), right.tolist(), strict=True))) == len(left)
+    times, at = defaultdict(int), 0
+    while at < len(seq) - 1:  # a run of one symbol counts every other pair
+        if not ends[at]:
+            times[seq[at], seq[at + 1]] += 1
+        run = at + 1
+        while seq[at] == seq[run] and not ends[at] and run < len(seq) - 1 and seq[run + 1] == seq[at] and not ends[run]:
+            times[seq[at], seq[at]] += (run - at) % 2 == 0
+            run += 1
+        at = run
+    assert all(n < least for n in times.values())
+
+
+def test_one_id_for_many_rows(spark):
+    rows = [(7, f"text number {i % 50} of many") for i in range(400)] + [(None, "same")] * 100 + [(9, "z")]
+    path = work_path(spark, "hot")
+    token_store.save(frame(spark, rows).repartition(3), path, PATH)
+    got = sorted(token_store.read(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 100 + [7] * 400 + [9]
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False))
+
+
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(7)
     phrase = rng.integers(0, 50000, 40)
