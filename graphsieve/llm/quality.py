@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from graphsieve.llm.common import slices
 
-#: Rows on which the linear scorer is trained, about; the sample is drawn by a hash of the row.
+#: Distinct texts on which the linear scorer is trained, about, drawn by a hash of the text: copies weigh once.
 SAMPLE = 20_000
 #: Hashed features; the linear model has a weight for each.
 BUCKETS = 1 << 12
@@ -46,34 +46,35 @@ def shape(word: str) -> str:
 
 
 class Words(dict):
-    """Word to its feature times eight, and marks: bits for no letter or digit, three equal marks at the end, and ``!!`` there."""
+    """Word to its feature times eight, and marks: bits for no letter or digit, three equal marks at the end, and ``!!`` there.
+
+    A task has its own; long words are not kept, and only so many of the others.
+    """
 
     def __missing__(self, word: str) -> int:
         bare = not any(c.isalnum() for c in word)
         tail = word[-3:]
         marked = len(word) > 3 and tail[0] == tail[1] == tail[2] and not tail[0].isalnum()
         found = zlib.crc32(shape(word).encode()) % (BUCKETS - 1) << 3 | bare | marked << 1 | word.endswith("!!") << 2
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = found
+        if len(word) <= 64:
+            if len(self) > 150_000:
+                self.clear()
+            self[word] = found
         return found
 
 
-_words = Words()
-
-
 def vote(value: float, good: float, bad: float) -> int:
     """Bad from ``bad`` on, good up to ``good``, else none."""
     return BAD if value >= bad else GOOD if value <= good else NONE
 
 
-def look(text: str) -> tuple[int, np.ndarray, np.ndarray]:
+def look(text: str, known: Words) -> tuple[int, np.ndarray, np.ndarray]:
     """The votes as a number to base three, and the features with their weights."""
     words = text.split()
     n = len(words)
     if not n:
         return 3 ** len(LABELLERS) - 1, np.zeros(0, np.int32), np.zeros(0, np.float32)
-    seen = Counter(map(_words.__getitem__, words))
+    seen = Counter(map(known.__getitem__, words))
     features: Counter = Counter()
     for k, c in seen.items():
         features[k >> 3] += c
@@ -174,8 +175,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            patterns = [look(t or "")[0] for t in batch.column("text").to_pylist()]
+        known = Words()
+        for batch in slices(batches):
+            patterns = [look(t or "", known)[0] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.int32())], ["pattern"])
 
     patterns = source.select("text").mapInArrow(votes, "pattern int").groupBy("pattern").count().toArrow()  # 3**8 rows at most
@@ -185,28 +187,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     total = int(counts.sum())
     scale = 1 << 30
-    drawn = source.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < int(min(1, sample / max(1, total)) * scale)).select("text").limit(2 * sample)
+    # at most about ``sample`` distinct texts, as a hash deals them
+    drawn = source.select("text").where(F.pmod(F.xxhash64("text"), F.lit(scale)) < int(min(1, sample / max(1, total)) * scale)).distinct()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = [look(t or "") for t in batch.column("text").to_pylist()]
+        known = Words()
+        for batch in slices(batches):
+            seen = [look(t or "", known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in seen], pa.int32()), pa.array([s[1] for s in seen], pa.list_(pa.int32())), pa.array([s[2] for s in seen], pa.list_(pa.float32()))], ["pattern", "at", "weight"])
 
     got = drawn.mapInArrow(features, "pattern int, at array<int>, weight array<float>").toArrow()
     rows = [(np.array(a, np.int32), np.array(w, np.float32)) for a, w in zip(got.column("at").to_pylist(), got.column("weight").to_pylist(), strict=True)]
     weights, bias = fit_linear(rows, np.array([1 - bad[p] for p in got.column("pattern").to_pylist()]))
 
-    def judge(text: str | None) -> tuple[float, float, bool]:
-        pattern, at, weight = look(text or "")
+    def judge(text: str | None, known: Words) -> tuple[float, float, bool]:
+        pattern, at, weight = look(text or "", known)
         if not len(at):
             return EMPTY_SCORE, 1 - bad[pattern], True
         value = float(1 / (1 + np.exp(-np.clip(weights[at] @ weight + bias, -30, 30))))
         return value, 1 - bad[pattern], value >= KEEP
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in slices(batches, text_col if keep_columns else "text"):
             texts = batch.column(batch.schema.get_field_index(text_col if keep_columns else "text")).to_pylist()
-            score, posterior, kept = zip(*map(judge, texts), strict=True)
+            score, posterior, kept = zip(*(judge(t, known) for t in texts), strict=True)
             own = [pa.array(score, pa.float64()), pa.array(posterior, pa.float64()), pa.array(kept, pa.bool_())]
             held = [batch.columns, batch.schema.names] if keep_columns else [[batch.column("doc_id")], ["doc_id"]]
             yield pa.RecordBatch.from_arrays([*held[0], *own], [*held[1], *names])
@@ -220,7 +225,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return chosen.mapInArrow(apply, ", ".join([*kinds, f"{names[0]} double", f"{names[1]} double", f"{names[2]} boolean"]))
 
 
-def good_only(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def good_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that the scorer keeps, with their columns."""
-    scored = score(docs, docs.columns[0], text_col, keep_columns=True, **options)
+    scored = score(docs, id_col, text_col, keep_columns=True, **options)
     return scored.where(F.col(scored.columns[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))

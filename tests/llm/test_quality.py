@@ -52,9 +52,26 @@ def test_classifier(spark):
 
 def test_new_documents_with_the_scorer_alone():
     train, fresh = corpus(3, 900), corpus(4, 300)
-    seen = [quality.look(t) for _, t in train]
+    seen = [quality.look(t, quality.Words()) for _, t in train]
     patterns, counts = np.unique([s[0] for s in seen], return_counts=True)
     good = 1 - quality.LabelModel(patterns, counts).posterior(np.array([s[0] for s in seen]))
     weights, bias = quality.fit_linear([s[1:] for s in seen], good)
-    kept = [weights[at] @ w + bias > 0 for _, at, w in (quality.look(t) for _, t in fresh)]
+    kept = [weights[at] @ w + bias > 0 for _, at, w in (quality.look(t, quality.Words()) for _, t in fresh)]
     assert np.mean([k == (i % 6 != 0) for k, (i, _) in zip(kept, fresh, strict=True)]) > 0.98
+
+
+def test_scores_by_brute_force_and_copies_weigh_once(spark):
+    """Votes counted, expectation-maximisation and the linear scorer, all in one place, against the query's columns."""
+    rows = corpus(9, 400)
+    copies = [(9000 + i, rows[0][1]) for i in range(300)]
+    docs = spark.createDataFrame([*rows, *copies], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.score(docs.repartition(4), sample=10_000).collect()}
+    seen = {i: quality.look(t, quality.Words()) for i, t in rows + copies}
+    patterns, counts = np.unique([s[0] for s in seen.values()], return_counts=True)
+    model = quality.LabelModel(patterns, counts)
+    bad = {i: model.posterior(np.array([s[0]]))[0] for i, s in seen.items()}
+    texts = {t: i for i, t in rows}
+    weights, bias = quality.fit_linear([seen[i][1:] for i in texts.values()], np.array([1 - bad[i] for i in texts.values()]))
+    for i, (_, at, w) in seen.items():
+        assert np.isclose(got[i].score, 1 / (1 + np.exp(-np.clip(weights[at] @ w + bias, -30, 30))), atol=1e-6)
+        assert np.isclose(got[i].posterior, 1 - bad[i], atol=1e-9) and got[i].keep == (got[i].score >= quality.KEEP)
