@@ -3,24 +3,27 @@
 A word enters as a hashed word vector beside the mean of its hashed character n-gram vectors (3 to 5
 characters, with marks at its ends), so inflected or unseen forms still have an input. A gated recurrent
 unit reads a window of WINDOW words in each direction; attention weighs its states; a linear unit scores the
-window. Windows overlap by a quarter, all of a text's windows are scored, and the highest one is the text's.
+window. A window begins every STRIDE words, so neighbours overlap by WINDOW - STRIDE; all of a text's windows are
+scored, and the highest one is the text's. A word of any length is read CHUNK characters at a time.
 
-Only texts are inputs. Training is on a bounded sample of labelled documents (DOCUMENTS toxic ones at most,
-drawn by a hash, and WINDOWS windows of each). A label tells only that some window of a toxic document
+Only texts are inputs. Training is on a bounded sample of labelled documents: at most DOCUMENTS distinct toxic texts
+and three times as many others, drawn by a hash of the text among the documents at hand, so that copies weigh once;
+all windows of their whole texts count. A label tells only that some window of a toxic document
 is toxic. So the vectors' first component starts as the log odds of the word or n-gram among toxic and other
 documents of the sample; of a toxic document those windows count that stand out, first by these odds, then by
 the network itself, and of the others all windows. A fifth of the sample is not learnt from; the
 logit is shifted so that 0.7 lies between its two classes. Training runs in one task, as its sample is bounded.
 
 Null and empty texts have one window without words, which gets what the network says of no words.
-Documents that no label mentions are scored like the others; labels that contradict each other count as toxic.
+Documents that no label mentions are scored like the others; labels that contradict each other, on an id or on
+copies of a text, count as toxic. Without labels of both kinds every text gets the same score.
 """
 
 from __future__ import annotations
 
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,13 +36,15 @@ from graphsieve.llm.common import slices, texts
 WINDOW, STRIDE = 32, 24
 HIDDEN, ATTENTION, WORD_DIM, CHAR_DIM = 8, 8, 4, 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 18, 1 << 16
-#: At most so many toxic documents, three times as many others, and so many windows of a toxic and of another document.
-DOCUMENTS, WINDOWS, OTHER_WINDOWS = 1500, 25, 10
+#: The bound of the training sample: so many distinct toxic texts and three times as many others.
+DOCUMENTS = 1200
 #: How often a word's own vector is left out in training, so that its characters must do.
 LEFT_OUT = 0.3
 THRESHOLD = 0.7
-#: Words whose inputs a worker keeps.
-KEPT_WORDS = 300_000
+#: What a task keeps of the words it has seen: their number, and their characters.
+KEPT_WORDS, KEPT_CHARS = 150_000, 4 << 20
+#: Characters whose n-grams are worked out at once.
+CHUNK = 1 << 16
 EDGES = "\"'.,;:!?()[]{}<>|*#$%&-_/\\«»„“”’…"
 
 
@@ -47,23 +52,48 @@ def clean(word: str) -> str:
     return word.strip(EDGES) or word
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words' character n-grams end to end, and the word of each."""
-    lengths = np.array([len(w) + 2 for w in words])
-    codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    word = np.repeat(np.arange(len(words)), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
-    found, owner = [], []
-    for n in (3, 4, 5):
-        at = np.flatnonzero(left >= n)
-        hashed = np.full(len(at), n, np.uint32)
-        for i in range(n):
-            hashed = (hashed ^ codes[at + i]) * np.uint32(0x85EBCA6B)
-            hashed ^= hashed >> np.uint32(15)
-        found.append(hashed % np.uint32(CHAR_BUCKETS))
-        owner.append(word[at])
-    order = np.argsort(np.concatenate(owner), kind="stable")
-    return np.concatenate(found)[order].astype(np.int64), np.concatenate(owner)[order]
+def chunks(words: list[str]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """The marked words in runs of about CHUNK characters: word numbers, strings, and how many n-grams of each length begin in a string.
+
+    A longer word is cut; its pieces overlap by the four characters that n-grams reach beyond a piece.
+    """
+    number, held, starts, size = [], [], [], 0
+    for i, word in enumerate(words):
+        marked = f"^{word}$"
+        for at in range(0, len(marked), CHUNK):
+            piece = marked[at : at + CHUNK + 4]
+            number.append(i)
+            held.append(piece)
+            starts.append(min(CHUNK, len(marked) - at))
+            size += len(piece)
+            if size >= CHUNK:
+                yield np.array(number), held, np.array(starts)
+                number, held, starts, size = [], [], [], 0
+    if held:
+        yield np.array(number), held, np.array(starts)
+
+
+def grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the words' character n-grams, chunk by chunk, and the word of each, ascending."""
+    for number, held, starts in chunks(words):
+        lengths = np.array([len(x) for x in held])
+        codes = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        place = np.arange(len(codes)) - first
+        inside, left = place < np.repeat(starts, lengths), np.repeat(lengths, lengths) - place
+        word = np.repeat(number, lengths)
+        found, owner = [], []
+        for n in (3, 4, 5):
+            at = np.flatnonzero(inside & (left >= n))
+            hashed = np.full(len(at), n, np.uint32)
+            for i in range(n):
+                hashed = (hashed ^ codes[at + i]) * np.uint32(0x85EBCA6B)
+                hashed ^= hashed >> np.uint32(15)
+            found.append((hashed % np.uint32(CHAR_BUCKETS)).astype(np.int32))
+            owner.append(word[at])
+        owner = np.concatenate(owner)
+        order = np.argsort(owner, kind="stable")
+        yield np.concatenate(found)[order], owner[order]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -89,10 +119,14 @@ class Lexicon:
             self.plain.append(clean(word))
         return at
 
-    def arrays(self, start: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word buckets, gram buckets end to end, and the word of each, counted from ``start``."""
-        words = self.plain[start:]
-        return np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_BUCKETS for w in words]), *grams(words)
+    def buckets(self, start: int = 0) -> np.ndarray:
+        """The words' own buckets, from word ``start`` on."""
+        return np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_BUCKETS for w in self.plain[start:]])
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word buckets, gram buckets end to end, and the word of each."""
+        found = [*grams(self.plain)]
+        return self.buckets(), np.concatenate([g for g, _ in found]), np.concatenate([o for _, o in found]).astype(np.int32)
 
 
 class Network:
@@ -122,10 +156,19 @@ class Network:
     def inputs(self, lexicon_arrays: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """The input vector of each word."""
         bucket, gram, owner = lexicon_arrays
-        n = len(bucket)
-        times = np.bincount(owner, minlength=n)
-        chars = np.stack([np.bincount(owner, self.p["gram"][gram, d], n) for d in range(CHAR_DIM)], 1) / times[:, None]
-        return np.concatenate([self.p["word"][bucket], chars], 1).astype(np.float32)
+        return self.joined(bucket, [(gram[at : at + (1 << 20)], owner[at : at + (1 << 20)]) for at in range(0, len(gram), 1 << 20)])
+
+    def joined(self, bucket: np.ndarray, spelt: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Own vectors of words beside the means of their n-grams', which come in parts (gram buckets and, ascending, the word of each)."""
+        sums, times = np.zeros((len(bucket), CHAR_DIM)), np.zeros(len(bucket))
+        for gram, owner in spelt:
+            if len(owner):
+                low, high = owner[0], owner[-1] + 1
+                at, n = owner - low, high - low
+                times[low:high] += np.bincount(at, minlength=n)
+                for d in range(CHAR_DIM):
+                    sums[low:high, d] += np.bincount(at, self.p["gram"][gram, d], n)
+        return np.concatenate([self.p["word"][bucket], sums / np.maximum(times, 1)[:, None]], 1).astype(np.float32)
 
     def gates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each word gives to the forward and the backward gates."""
@@ -253,29 +296,46 @@ def add_up(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.stack([np.bincount(where, value[:, d], len(rows)) for d in range(value.shape[1])], 1).astype(np.float32)
 
 
-def log_odds(bucket: np.ndarray, document: np.ndarray, toxic: np.ndarray, n: int) -> np.ndarray:
-    """For each bucket the smoothed log odds of its documents among the toxic and the other ones, a third of them."""
-    pairs = np.unique(document.astype(np.int64) * n + bucket)
-    kind, of = toxic[pairs // n], pairs % n
-    yes, no = np.bincount(of[kind], minlength=n), np.bincount(of[~kind], minlength=n)
-    present = np.unique(document)
+def log_odds(seen: Iterable[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, present: np.ndarray, n: int) -> np.ndarray:
+    """For each bucket the smoothed log odds of its documents among the toxic and the other ones, a third of them.
+
+    ``seen``: buckets and the document of each, in parts that no document spans.
+    """
+    yes, no = np.zeros(n), np.zeros(n)
+    for bucket, document in seen:
+        pairs = np.unique(document.astype(np.int64) * n + bucket)
+        kind, of = toxic[pairs // n], pairs % n
+        yes += np.bincount(of[kind], minlength=n)
+        no += np.bincount(of[~kind], minlength=n)
     out = np.log((yes + 0.5) / (toxic[present].sum() + 1)) - np.log((no + 0.5) / ((~toxic[present]).sum() + 1))
     # what only one document has says little
     return np.where(yes + no > 1, np.clip(out / 3, -2, 2), 0).astype(np.float32)
 
 
-def train(windows: list[list[str]], doc: np.ndarray, toxic: np.ndarray, passes: int = 4, rate: float = 0.01, seed: int = 7) -> Network:
-    """A network from windows (lists of words), the document of each, and each document's label."""
+def windows_of(texts: Iterable[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the texts as rows of the lexicon's words, and the text of each."""
+    rows, of = [np.zeros((0, WINDOW), np.int32)], [np.zeros(0, np.int64)]
+    for i, text in enumerate(texts):
+        at = [lexicon.row(w) for w in text.lower().split()]
+        flat = np.zeros(spans(len(at))[-1] + WINDOW, np.int32)
+        flat[: len(at)] = at
+        rows.append(np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[::STRIDE].copy())
+        of.append(np.full(len(rows[-1]), i))
+    return np.concatenate(rows), np.concatenate(of)
+
+
+def train(texts: Iterable[str], toxic: np.ndarray, passes: int = 4, rate: float = 0.01, seed: int = 7) -> Network:
+    """A network from whole texts and their labels."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    if not len(windows) or toxic.all() or not toxic.any():
+    if toxic.all() or not toxic.any():
         net.p["out"][:] = 0
         net.p["bias"][:] = 4 if len(toxic) and toxic.all() else -4
         return net
     lexicon = Lexicon()
-    rows = np.zeros((len(windows), WINDOW), np.int64)
-    for i, words in enumerate(windows):
-        rows[i, : len(words)] = [lexicon.row(w) for w in words]
+    rows, doc = windows_of(texts, lexicon)
+    lexicon.words.clear()
     bucket, gram, owner = lexicon.arrays()
+    lexicon.plain.clear()
     counts = np.bincount(owner, minlength=len(bucket))
     first = np.cumsum(counts) - counts
     label = toxic[doc].astype(np.float32)
@@ -292,10 +352,19 @@ def train(windows: list[list[str]], doc: np.ndarray, toxic: np.ndarray, passes:
         n = counts[words]
         return np.repeat(first[words] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(words)), n)
 
-    pairs = np.unique(np.repeat(doc[learnt], WINDOW) * np.int64(len(bucket)) + rows[learnt].ravel())
-    word, of = pairs % len(bucket), pairs // len(bucket)
-    spelt, whose = gram_rows(word)
-    odds = {"word": log_odds(bucket[word], of, toxic, WORD_BUCKETS), "gram": log_odds(gram[spelt], of[whose], toxic, CHAR_BUCKETS)}
+    def seen(spelling: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Buckets of the learnt documents' words, or of their n-grams, some windows at a time."""
+        for some in np.split(learnt, np.flatnonzero(np.diff(doc[learnt] // 16)) + 1):
+            pairs = np.unique(np.repeat(doc[some], WINDOW) * np.int64(len(bucket)) + rows[some].ravel())
+            word, of = pairs % len(bucket), pairs // len(bucket)
+            if spelling:
+                spelt, whose = gram_rows(word)
+                yield gram[spelt], of[whose]
+            else:
+                yield bucket[word], of
+
+    present = np.unique(doc[learnt])
+    odds = {"word": log_odds(seen(False), toxic, present, WORD_BUCKETS), "gram": log_odds(seen(True), toxic, present, CHAR_BUCKETS)}
     for name, value in odds.items():
         net.p[name][:, 0] += value
     batch = int(np.clip(len(learnt) // 80, 16, 256))
@@ -358,15 +427,17 @@ class Scorer:
     def clear(self) -> None:
         self.lexicon = Lexicon()
         f, b = self.net.gates(np.zeros((1, WORD_DIM + CHAR_DIM), np.float32))
-        self.forward, self.backward, self.known = f, b, 1
+        self.forward, self.backward, self.known, self.chars = f, b, 1, 0
 
     def learn(self) -> None:
         """Gate inputs for the words that are new."""
         n = len(self.lexicon.plain)
         if n > self.known:
-            f, b = self.net.gates(self.net.inputs(self.lexicon.arrays(self.known)))
+            words = self.lexicon.plain[self.known :]
+            self.chars += sum(map(len, words))
+            f, b = self.net.gates(self.net.joined(self.lexicon.buckets(self.known), grams(words)))
             if n > len(self.forward):
-                grow = max(n, 2 * len(self.forward)) - len(self.forward)
+                grow = n + n // 4 - len(self.forward)
                 self.forward = np.concatenate([self.forward, np.zeros((grow, 3 * HIDDEN), np.float32)])
                 self.backward = np.concatenate([self.backward, np.zeros((grow, 3 * HIDDEN), np.float32)])
             self.forward[self.known : n], self.backward[self.known : n] = f, b
@@ -374,7 +445,7 @@ class Scorer:
             self.known = n
 
     def scores(self, batch: list[str]) -> np.ndarray:
-        if len(self.lexicon.words) > KEPT_WORDS:
+        if len(self.lexicon.words) > KEPT_WORDS or self.chars > KEPT_CHARS:
             self.clear()
         known, row = self.lexicon.words, self.lexicon.row
         parts, owner = [], []
@@ -397,42 +468,32 @@ class Scorer:
         return sigmoid(top + self.net.shift + np.log(THRESHOLD / (1 - THRESHOLD)))
 
 
-def sample_windows(docs: DataFrame, labels: DataFrame, learn: Column, documents: int = DOCUMENTS, windows: int = WINDOWS, other_windows: int = OTHER_WINDOWS) -> DataFrame:
-    """doc_id, is_toxic, held (windows of words): bounded as the constants say."""
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, documents: int = DOCUMENTS) -> DataFrame:
+    """text, is_toxic, h: at most ``documents`` distinct toxic texts and three times as many others, of those labelled among ``docs`` (doc_id, text)."""
     told = labels.where(learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("is_toxic"))
-    drawn = [told.where(F.col("is_toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents * (1 if kind else 3)) for kind in (True, False)]
-    chosen = drawn[0].union(drawn[1])  # at most four times ``documents`` rows of an id and a mark
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "is_toxic")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for key, text, kind in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "is_toxic")), strict=True):
-                words = text.lower().split()
-                begins = spans(len(words))
-                most = windows if kind else other_windows
-                if len(begins) > most:
-                    begins = sorted(np.random.default_rng(zlib.crc32(text.encode())).choice(begins, most, replace=False).tolist())
-                held = [words[a : a + WINDOW] for a in begins]
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([kind]), pa.array([held], pa.list_(pa.list_(pa.string())))], ["doc_id", "is_toxic", "held"])
-
-    got = rows.mapInArrow(run, "doc_id long, is_toxic boolean, held array<array<string>>")
-    # ids may repeat among the documents: the limit makes the bound hold all the same
-    return got.orderBy("doc_id").limit(5 * documents)
+    # only ids and hashes of texts move until the sample is drawn
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    kinds = hashed.select("doc_id", "h").join(told, "doc_id").groupBy("h").agg(F.max("is_toxic").alias("is_toxic"))
+    drawn = [kinds.where(F.col("is_toxic") == kind).orderBy("h").limit(documents * (1 if kind else 3)) for kind in (True, False)]
+    chosen = drawn[0].union(drawn[1])  # at most four times ``documents`` rows of a hash and a mark
+    return hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("text").alias("text"), F.first("is_toxic").alias("is_toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, **options) -> Network:
     """A network from the labelled rows that ``learn`` (a Column over doc_id) allows. ``docs`` has doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, toxic = [], []
-        for batch in batches:
-            held += batch.column("held").to_pylist()
-            toxic += batch.column("is_toxic").to_pylist()
-        net = train([w for h in held for w in h], np.repeat(np.arange(len(held)), [len(h) for h in held]), np.array(toxic, bool))
+        table = pa.Table.from_batches(batches, SAMPLE)
+        toxic = np.array(table.column("is_toxic").to_pylist(), bool)
+        net = train((x.as_py() for x in table.column("text")), toxic)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
-    sample = sample_windows(texts(docs), labels.select("doc_id", "toxic"), learn, **options)
-    return pickle.loads(sample.coalesce(1).mapInArrow(run, "net binary").first()["net"])
+    rows = sample(texts(docs), labels.select("doc_id", "toxic"), learn, **options).repartition(1).sortWithinPartitions("h")
+    got = rows.select("text", "is_toxic").mapInArrow(run, "net binary").first()
+    return pickle.loads(got["net"]) if got else train([], np.zeros(0, bool))  # Spark drops what reads no rows
+
+
+SAMPLE = pa.schema([("text", pa.string()), ("is_toxic", pa.bool_())])
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text", name: str = "score") -> DataFrame:

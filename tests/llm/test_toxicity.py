@@ -88,3 +88,51 @@ def test_one_class_or_none(spark, kinds):
     net = tx.fit(docs, spark.createDataFrame([(i, 1, k) for i, k in enumerate(kinds)], LABELS), F.lit(True))
     assert all((r.score >= 0.7) == (kinds == [1, 1]) for r in tx.score(docs, net).collect())
     assert tx.score(docs.limit(0), net).collect() == []
+
+
+def test_sample_is_drawn_among_the_documents(spark):
+    rows, labels = corpus(6, 200)
+    copies = [(1000 + i, rows[0][1]) for i in range(50)]
+    docs = spark.createDataFrame([r for r in rows if r[0] % 2 == 0] + copies, "doc_id long, text string")
+    told = spark.createDataFrame([*labels, *((i, 1, 1) for i, _ in copies)], LABELS)
+    got = tx.sample(docs, told, F.lit(True), documents=20).collect()
+    assert len({r.text for r in got}) == len(got) and sum(r.text == rows[0][1] for r in got) <= 1
+    assert 0 < sum(r.is_toxic for r in got) <= 20 and 0 < sum(not r.is_toxic for r in got) <= 60
+    there = {t for i, t in rows if i % 2 == 0}
+    assert all(r.text in there for r in got)
+    every = tx.sample(docs, told, F.lit(True), documents=1000).collect()
+    assert len(every) == 100
+
+
+def test_grams_of_long_words_in_pieces(monkeypatch):
+    words = ["ab", "x" * 50, "".join(chr(97 + i * i % 26) for i in range(200)), "é"]
+
+    def buckets():
+        out = [[] for _ in words]
+        for gram, owner in tx.grams(words):
+            for g, o in zip(gram.tolist(), owner.tolist(), strict=True):
+                out[o].append(g)
+        return [sorted(x) for x in out]
+
+    whole = buckets()
+    assert [len(x) for x in whole] == [sum(max(0, len(w) + 2 - n + 1) for n in (3, 4, 5)) for w in words]
+    monkeypatch.setattr(tx, "CHUNK", 16)
+    assert buckets() == whole
+
+
+def test_scores_are_the_highest_of_all_windows_by_brute_force():
+    rows, labels = corpus(8, 60)
+    net = tx.train([t for _, t in rows], np.array([bool(k) for _, _, k in labels]), passes=2)
+    scorer = tx.Scorer(net)
+    texts = [t for _, t in rows] + ["", "one " * 500, "w" * 300_000]
+    got = scorer.scores(texts)
+    for text, value in zip(texts, got, strict=True):
+        words, best = text.lower().split(), -np.inf
+        for at in tx.spans(len(words)):
+            lexicon = tx.Lexicon()
+            rows_ = np.zeros((1, tx.WINDOW), np.int64)
+            some = words[at : at + tx.WINDOW]
+            rows_[0, : len(some)] = [lexicon.row(w) for w in some]
+            best = max(best, float(net.logits(rows_, *net.gates(net.inputs(lexicon.arrays())))[0]))
+        want = 1 / (1 + np.exp(-(best + net.shift + np.log(tx.THRESHOLD / (1 - tx.THRESHOLD)))))
+        assert np.isclose(value, want, atol=1e-4)
