@@ -1,19 +1,23 @@
 """N-gram Jaccard join: MinHash LSH forest, followed by exact verification.
 
 A document is the set of its runs of WORDS words (in lower case, split at white space; a shorter text is
-one run). Documents with the same set are one node, whatever their number. Each of TREES trees has
-a signature of MAX_DEPTH minimum hashes; documents are sorted by it, as in a prefix trie, and two that agree
-on a prefix are candidates. Prefixes begin at full length and are shortened until the chance
-that two documents of the wanted similarity agree in some tree reaches the wanted recall.
-
-Large groups: nodes that share a prefix are dealt into blocks of BLOCK nodes by hash, and every pair of
-blocks is a unit of work of bounded size. A pair of nodes that agrees in several trees belongs to the first
-of them alone, so each pair is looked at once, and sums over units are counts of distinct links. First
-only the prefixes are compared; shingle sets are shipped only to units where a node has a candidate.
+one run). Documents with the same set are one node, whatever their number. In each of TREES trees a node
+has a signature of MAX_DEPTH letters (16 bits of a minimum hash each). Sorted by signature, a tree is a prefix trie.
+Two nodes are candidates if they share a prefix in some tree. Prefixes are matched at full length first and then
+a letter less each round. The signatures of a round's candidates tell how alike they are, and so with which chance pairs like these
+share a prefix of that length in some tree; rounds end when that chance is at least the wanted recall for
+the least alike candidates found, or when the prefix is so short that it is for the wanted similarity itself.
+
+Large groups: nodes that share a prefix are dealt into blocks of BLOCK nodes by hash (fewer, if their sets are large), and every
+pair of blocks is a unit of work of bounded size, so a node of a group of n is shipped n / BLOCK times: counting all links
+within a group takes its square of comparisons, in products of matrices. A pair belongs to the first round that finds it and there to the first
+tree, so each pair is looked at once, and sums over units are counts of distinct links. In the rounds
+only signatures are compared; shingle sets are then shipped only to units where a node has a candidate.
 A unit compares shingle sets exactly (64-bit hashes of shingles, intersections by matrix products), and returns
 a row for each node with its number of links and its component within the unit: never a row for each pair.
 Components then grow together by the alternating large-star and small-star steps, each written to the
-shared folder.
+shared folder. A step joins each node's least neighbour to its edges: one component's root has as many edges there as the component
+has units and nodes, which is skew that Spark splits where a join's side is large (adaptive skew joins), not here.
 
 Null and empty texts have no shingles; they are copies of each other. Repeated rows are copies. An empty
 table gives an empty result. Further columns are ignored.
@@ -27,14 +31,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphsieve.llm.common import slices, texts, written
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 TREES, MAX_DEPTH = 10, 6
-BLOCK = 256
+#: Most nodes of a block, about, and most shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Steps of estimated similarity, of the whole, in which candidates are counted.
+STEPS = TREES * MAX_DEPTH
 _rng = np.random.default_rng(20240)
 #: Odd factors and summands of the hash functions, a row for each tree.
 FACTORS = _rng.integers(1 << 62, (1 << 63) - 1, (TREES, MAX_DEPTH), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,39 +80,39 @@ def node_of(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def prefixes(sets: list[np.ndarray], depth: int) -> np.ndarray:
-    """A row for each set: the hash of its signature's prefix in each tree."""
+def letters(sets: list[np.ndarray]) -> np.ndarray:
+    """Signatures: for each set, tree and depth 16 bits of a minimum hash."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.full((len(sets), TREES), 0, np.uint64)
+    out = np.empty((len(sets), TREES, MAX_DEPTH), "<u2")
     for tree in range(TREES):
-        for k in range(depth):
+        for k in range(MAX_DEPTH):
             low = np.minimum.reduceat(flat * FACTORS[tree, k] + SUMMANDS[tree, k], starts)
-            out[:, tree] = (out[:, tree] ^ low) * np.uint64(0xC2B2AE3D27D4EB4F)
-            out[:, tree] ^= out[:, tree] >> np.uint64(31)
-    return out.view(np.int64)
+            out[:, tree, k] = (low * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(48)
+    return out
 
 
-def signatures(docs: DataFrame, depth: int, n_words: int) -> DataFrame:
-    """doc_id, node, keys (a prefix for each tree; null where there are no shingles)."""
+def signatures(docs: DataFrame, n_words: int) -> DataFrame:
+    """doc_id, h, node, size (of the set), sig (letters of all trees; null where there are no shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=4 << 20):
             sets = [shingles(t, n_words) for t in batch.column("text").to_pylist()]
             full = [s for s in sets if len(s)]
-            rows = iter(prefixes(full, depth).tolist() if full else ())
-            keys = [next(rows) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([node_of(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+            rows = iter(letters(full) if full else ())
+            signed = [next(rows).tobytes() if len(s) else None for s in sets]
+            own = [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([*map(len, sets)], pa.int32()), pa.array(signed, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("h"), *own], ["doc_id", "h", "node", "size", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, node binary, keys array<long>")
+    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, node binary, size int, sig binary")
 
 
 def units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Runs of rows with the same tree, key, i and j; the rows come sorted by these."""
+    """Runs of rows with the same depth, tree, key, i and j; the rows come sorted by these."""
     held, last = [], None
     for batch in batches:
         for row in batch.to_pylist():
-            key = row["tree"], row["key"], row["i"], row["j"]
+            key = row["depth"], row["tree"], row["key"], row["i"], row["j"]
             if key != last and held:
                 yield held
                 held = []
@@ -115,42 +122,69 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def candidates(unit: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within a unit: of different blocks (or all pairs of its one block), whose first common tree is this one."""
-    tree, i, j = unit[0]["tree"], unit[0]["i"], unit[0]["j"]
-    keys = np.array([r["keys"] for r in unit], np.int64)
-    block = np.array([r["block"] for r in unit])
+def codes(sigs: np.ndarray, depth: int) -> np.ndarray:
+    """For each node and tree a number that stands for its prefix of this length."""
+    out = np.empty(sigs.shape[:2], np.int64)
+    for tree in range(TREES):
+        prefix = np.ascontiguousarray(sigs[:, tree, :depth]).view(f"V{2 * depth}").ravel()
+        out[:, tree] = np.unique(prefix, return_inverse=True)[1]
+    return out
+
+
+def candidates(unit: list[dict], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs within a unit, and how many letters they share.
+
+    Pairs of different blocks (or all pairs of its one block) that share no longer prefix in any tree and this one in no
+    earlier tree, and whose sets' sizes allow the similarity.
+    """
+    depth, tree, i, j = (unit[0][k] for k in ("depth", "tree", "i", "j"))
+    sigs = np.frombuffer(b"".join(r["sig"] for r in unit), "<u2").reshape(len(unit), TREES, MAX_DEPTH)
+    size, block = np.array([r["size"] for r in unit]), np.array([r["block"] for r in unit])
     if i == j:
         a, b = np.triu_indices(len(unit), 1)
     else:
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-    for before in range(tree):
-        other = keys[a, before] != keys[b, before]
-        a, b = a[other], b[other]
-    return a, b
-
+    fits = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+    a, b = a[fits], b[fits]
+    code = codes(sigs, depth)
+    longer = codes(sigs, depth + 1) if depth < MAX_DEPTH else None
+    for t in range(TREES):
+        new = np.ones(len(a), bool)
+        if t < tree:
+            new &= code[a, t] != code[b, t]
+        if longer is not None:
+            new &= longer[a, t] != longer[b, t]
+        a, b = a[new], b[new]
+    flat = sigs.reshape(len(unit), -1)
+    shared = np.concatenate([np.zeros(0, np.int64), *((flat[a[at : at + 4096]] == flat[b[at : at + 4096]]).sum(1) for at in range(0, len(a), 4096))])
+    return a, b, shared
+
+
+def with_candidates(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of units that take part in some candidate pair; then a row without node for each number of shared letters (in ``i``) with how many pairs share so many (in ``copies``)."""
+        seen = np.zeros(STEPS + 1, np.int64)
+        for unit in units(batches):
+            a, b, shared = candidates(unit, similarity)
+            if len(a):
+                seen += np.bincount(shared, minlength=STEPS + 1)
+                yield pa.RecordBatch.from_pylist([unit[k] for k in np.union1d(a, b).tolist()], schema=MEMBER)
+        yield pa.RecordBatch.from_pylist([{"i": k, "copies": int(seen[k])} for k in np.flatnonzero(seen).tolist()], schema=MEMBER)
 
-def with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of units that take part in some candidate pair."""
-    for unit in units(batches):
-        a, b = candidates(unit)
-        if len(a):
-            yield pa.RecordBatch.from_pylist([unit[k] for k in np.union1d(a, b).tolist()], schema=MEMBER)
+    return run
 
 
-MEMBER_SCHEMA = "tree int, key long, i int, j int, block int, node binary, copies long, keys array<long>"
-MEMBER = pa.schema([("tree", pa.int32()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("node", pa.binary()), ("copies", pa.int64()), ("keys", pa.list_(pa.int64()))])
+MEMBER_SCHEMA = "depth int, tree int, key binary, i int, j int, block int, node binary, copies long, size int, sig binary"
+MEMBER = pa.schema([("depth", pa.int32()), ("tree", pa.int32()), ("key", pa.binary()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("node", pa.binary()), ("copies", pa.int64()), ("size", pa.int32()), ("sig", pa.binary())])
+UNIT = ["depth", "tree", "key", "i", "j"]
 
 
 def linked(unit: list[dict], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """The candidate pairs whose Jaccard similarity is large enough, worked out exactly."""
-    a, b = candidates(unit)
+    a, b, _ = candidates(unit, similarity)
     sets = [np.frombuffer(r["shingles"], np.uint64) for r in unit]
     sizes = np.array([len(s) for s in sets])
-    # the smaller set can't be smaller than that part of the larger
-    fits = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9
-    a, b = a[fits], b[fits]
     if not len(a):
         return a, b
     if len(a) <= 4 * len(unit):
@@ -229,31 +263,48 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(lone)
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, n_words: int = WORDS) -> DataFrame:
-    """A row for each row: doc_id, class_id, n_links, n_texts, n_copies.
+def round_of(trie: DataFrame, depth: int) -> DataFrame:
+    """MEMBER rows of the units in which nodes share a prefix of this length, but not all of them one letter more."""
+    keyed = trie.withColumn("key", F.expr(f"substring(sig, tree * {2 * MAX_DEPTH} + 1, {2 * depth})"))
+    letter = F.expr(f"substring(sig, tree * {2 * MAX_DEPTH} + {2 * depth + 1}, 2)")
+    more = F.min(letter) != F.max(letter) if depth < MAX_DEPTH else F.lit(True)
+    groups = keyed.groupBy("tree", "key").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("all"), more.alias("new")).where("n > 1 and new").select("tree", "key", "n", "all")
+    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)))
+    members = keyed.join(groups, ["tree", "key"]).withColumn("blocks", blocks.cast("int"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return members.select(F.lit(depth).alias("depth"), "tree", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "size", "sig")
 
-    ``class_id``: the least id in its class, the documents that links and copies connect. ``n_links``: how many other
-    documents are at least ``similarity`` alike, copies counted; ``n_texts``: how many other sets of
-    shingles; ``n_copies``: documents with this set, itself included. Null ids are listed, but name a class only
-    where no other id does.
-    """
-    source = texts(docs, id_col, text_col)
-    signed = written(signatures(source, prefix_depth(recall, TREES, similarity), n_words), "nj-signed")
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "nj-nodes")
 
-    keyed = nodes.where("keys is not null").select("node", "copies", "keys", F.posexplode("keys").alias("tree", "key"))
-    groups = keyed.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(groups, ["tree", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    members = members.select("tree", "key", "block", "node", "copies", "keys", other.alias("other"))
-    members = members.select("tree", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "keys")
-    unit = ["tree", "key", "i", "j"]
-    asked = written(members.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(with_candidates, MEMBER_SCHEMA), "nj-asked")
+def classes(docs: DataFrame, similarity: float, recall: float, n_words: int) -> tuple[DataFrame, DataFrame]:
+    """From doc_id and text: the rows' nodes (doc_id, h, node), and for each node its class (root), least row, copies and links.
+
+    A row is known by its id and a hash of its text; rows that agree in both are copies.
+    """
+    signed = written(signatures(docs, n_words), "nj-signed")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    nodes = written(signed.groupBy("node").agg(F.min(row).alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")), "nj-nodes")
+
+    # the forest, from the shortest prefix that may be wanted on: nodes that are alone there have no candidates
+    shortest = prefix_depth(recall, TREES, similarity)
+    keyed = nodes.where("sig is not null").select("node", "copies", "size", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    prefix = F.expr(f"substring(sig, tree * {2 * MAX_DEPTH} + 1, {2 * shortest})")
+    groups = keyed.groupBy("tree", prefix.alias("prefix")).agg(F.count("*").alias("n")).where("n > 1").select("tree", "prefix")
+    trie = keyed.withColumn("prefix", prefix).join(groups, ["tree", "prefix"]).drop("prefix")
+    trie = written(trie.sortWithinPartitions("tree", F.expr(f"substring(sig, tree * {2 * MAX_DEPTH} + 1, {2 * MAX_DEPTH})")), "nj-trie")
+    asked = None
+    for depth in range(MAX_DEPTH, shortest - 1, -1):
+        found = written(round_of(trie, depth).repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(with_candidates(similarity), MEMBER_SCHEMA), "nj-asked")
+        asked = found if asked is None else asked.union(found)
+        alike = asked.where("node is null and i is not null").groupBy("i").agg(F.sum("copies").alias("n")).collect()  # STEPS + 1 rows at most
+        near = [r.i / STEPS for r in alike if r.i / STEPS >= similarity]
+        if near and recall_at(depth, TREES, min(near)) >= recall:
+            break
+    asked = asked.where("node is not null")
 
     # shingle sets of the nodes asked for, made anew from one document of each
-    wanted = asked.select("node").distinct().join(nodes.select("node", "least"), "node").select("least").distinct()
-    some = source.join(wanted, source["doc_id"].eqNullSafe(wanted["least"]), "left_semi")
+    wanted = asked.select("node").distinct().join(nodes.select("node", "least"), "node").select(F.col("least.doc_id").alias("one"), F.col("least.h").alias("h")).distinct()
+    some = docs.withColumn("h", F.xxhash64("text")).alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.one and d.h = w.h"), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=4 << 20):
@@ -261,31 +312,50 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
 
     held = some.select("text").mapInArrow(sets, "node binary, shingles binary").dropDuplicates(["node"])
-    full = asked.join(held, "node").repartition(*unit).sortWithinPartitions(*unit)
+    full = asked.join(held, "node").repartition(*UNIT).sortWithinPartitions(*UNIT)
     found = written(full.mapInArrow(verify(similarity), "node binary, root binary, n_texts long, n_docs long"), "nj-links")
 
     links = found.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "nj-components")
-    classes = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("class_id"))
-    told = nodes.join(roots, "node", "left").join(classes, "root", "left").join(links, "node", "left")
-    told = told.select("node", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.col("copies").alias("n_copies"))
-    return signed.select("doc_id", "node").join(told, "node").select("doc_id", "class_id", "n_links", "n_texts", "n_copies")
+    told = nodes.join(roots, "node", "left").join(links, "node", "left")
+    return signed.select("doc_id", "h", "node"), told.select("node", F.coalesce("root", "node").alias("root"), "least", "copies", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, n_words: int = WORDS) -> DataFrame:
+    """A row for each row: doc_id, class_id, n_links, n_texts, n_copies.
+
+    ``class_id``: the least id in its class, the documents that links and copies connect. ``n_links``: how many other
+    documents are at least ``similarity`` alike, copies counted; ``n_texts``: how many other sets of
+    shingles; ``n_copies``: documents with this set, itself included. Null ids are listed, but name a class only
+    where no other id does.
+    """
+    rows, nodes = classes(texts(docs, id_col, text_col), similarity, recall, n_words)
+    least = nodes.groupBy("root").agg(F.min("least").alias("first"))
+    told = nodes.join(least, "root").select("node", F.col("first.doc_id").alias("class_id"), (F.col("n_docs") + F.col("copies") - 1).alias("n_links"), "n_texts", F.col("copies").alias("n_copies"))
+    return rows.join(told, "node").select("doc_id", "class_id", "n_links", "n_texts", "n_copies")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class the one with the least id stays; of rows that share id and class, one.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, n_words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the row with the least id stays, and among equal ids the one with the least hash of its text.
 
-    Rows with null ids form no class of their own with others: the class is theirs only if no id names it.
+    Null ids come last. Ids may repeat, within a class or across classes: each class keeps one row. Of rows with the same id and
+    text the one with the least hash of the other columns stays.
     """
-    classes = join(docs, id_col, text_col, **options)
-    kept = classes.where("doc_id <=> class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    alias = docs.alias("d")
-    rows = alias.join(kept, F.col(f"d.`{id_col}`").eqNullSafe(F.col("kept_id")), "left_semi")
-    if id_col not in docs.columns:
-        raise ValueError(f"no column {id_col}")
-    # several rows may carry a kept id; they are at most the rows of that id
-    order = Window.partitionBy(F.col(f"`{id_col}`")).orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != id_col))
-    mark = "row_in_id"
-    while mark in docs.columns:
-        mark += "_"
-    return rows.withColumn(mark, F.row_number().over(order)).where(F.col(mark) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, nodes = classes(texts(docs, id_col, text_col), similarity, recall, n_words)
+    kept = nodes.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.h").alias("kept_h"))
+    kept = written(kept, "nj-kept")
+    repeated = rows.groupBy(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h")).agg(F.count("*").alias("n")).where("n > 1")
+    same = F.expr("k.kept_id <=> r.kept_id and k.kept_h = r.kept_h")
+    lead = "row"
+    while any(c.startswith(lead) for c in docs.columns):
+        lead += "_"
+    keyed = docs.select(docs[id_col].cast("long").alias(f"{lead}id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias(f"{lead}h"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias(f"{lead}all"))
+
+    def of(keys: DataFrame) -> DataFrame:
+        return keyed.join(keys, keyed[f"{lead}id"].eqNullSafe(keys["kept_id"]) & (keyed[f"{lead}h"] == keys["kept_h"]), "left_semi")
+
+    alone = of(kept.alias("k").join(repeated.alias("r"), same, "left_anti")).select(F.col(f"{lead}all"))
+    others = [c for c in docs.columns if c not in (id_col, text_col) and "map<" not in dict(docs.dtypes)[c]]
+    order = F.xxhash64(*(F.col(f"{lead}all")[c] for c in others)) if others else F.lit(0)
+    several = of(kept.alias("k").join(repeated.alias("r"), same, "left_semi")).groupBy(f"{lead}id", f"{lead}h").agg(F.min_by(f"{lead}all", order).alias(f"{lead}all")).select(f"{lead}all")
+    return alone.union(several).select(*(F.col(f"{lead}all")[c].alias(c) for c in docs.columns))

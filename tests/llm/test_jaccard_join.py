@@ -62,13 +62,56 @@ def test_one_of_each(spark):
     docs = spark.createDataFrame([(i, t, "n", 1, "t") for i, t in rows], SCHEMA)
     kept = jj.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and None in ids
+    got = [(r.doc_id, r.text) for r in kept.collect()]
     whole = {i for i, c, _ in all_pairs(corpus()) if i == c}
-    assert whole - {7} <= set(ids)
+    assert {i for i, _ in got if i is not None} == whole | {7} and len(got) == len(whole | {7}) + 1 + (7 in whole)
+    assert (None, "a null id of its own here") in got and (7, "same id, other text than before") in got
     assert jj.join(docs.limit(0)).collect() == [] and jj.one_of_each(docs.limit(0)).collect() == []
 
 
+def test_one_of_each_keeps_every_class_where_ids_repeat(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(5, a), (5, b), (3, a), (None, c), (None, d), (None, d), (5, b)]
+    docs = spark.createDataFrame([(i, t, f"n{k}", k, "t") for k, (i, t) in enumerate(rows)], SCHEMA)
+    kept = jj.one_of_each(docs).collect()
+    assert sorted((r.text, r.doc_id) for r in kept if r.doc_id) == [(a, 3), (b, 5)]
+    assert sorted(r.text for r in kept if r.doc_id is None) == [c, d]
+    assert all((r.node, r.n) == (f"n{r.n}", r.n) and rows[r.n] == (r.doc_id, r.text) for r in kept)
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8, 0.9])
+def test_recall_at_several_similarities(spark, similarity):
+    """Pairs of texts at known distances, by brute force."""
+    rng = np.random.default_rng(23)
+    rows = []
+    for i in range(150):
+        words = [f"w{rng.integers(1 << 30)}" for _ in range(100)]
+        other = words.copy()
+        for at in rng.choice(100, int(rng.integers(0, 5)), replace=False):
+            other[at] = f"e{rng.integers(1 << 30)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    docs = spark.createDataFrame([(i, t, "n", 1, "t") for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jj.join(docs, similarity=similarity).collect()}
+    want = {i: (c, n) for i, c, n in all_pairs(rows, similarity)}
+    linked = [i for i, (_, n) in want.items() if n]
+    assert all(got[i][1] <= want[i][1] for i in want)
+    assert len(linked) > 50 and sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+
+
+def test_rounds_end_early_where_candidates_are_all_alike(spark, monkeypatch):
+    depths = []
+    true_round = jj.round_of
+    monkeypatch.setattr(jj, "round_of", lambda trie, depth: depths.append(depth) or true_round(trie, depth))
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "n", 1, "t") for i, t in rows], SCHEMA)
+    assert {r.n_links for r in jj.join(docs).collect()} == {19}
+    assert depths == [jj.MAX_DEPTH]
+    depths.clear()
+    assert jj.join(spark.createDataFrame([(i, t, "n", 1, "t") for i, t in corpus()], SCHEMA)).count() == len(corpus())
+    assert depths == list(range(jj.MAX_DEPTH, jj.prefix_depth() - 1, -1))
+
+
 def test_depth_is_shortened_for_recall():
     assert jj.recall_at(jj.prefix_depth()) >= jj.RECALL > jj.recall_at(jj.prefix_depth() + 1)
     assert jj.prefix_depth(0.5) > jj.prefix_depth(0.999)
