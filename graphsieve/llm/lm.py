@@ -1,56 +1,59 @@
 """LM scoring: prediction by partial matching (PPM) over bytes, with escapes and symbol exclusion.
 
-A text is the sequence of its words and one end. The model codes each word's bytes and a word end; the
-context of a byte is at most ORDER bytes before it within the word, and a start mark. In a context, a
-symbol that followed it ``c`` times in training has probability c / (T + D), with T the sum and D the number
-of symbols that followed; the others get D / (T + D) together (escape method C, to which the escapes counted by leaving one
-out, in situations of like T and D, are added) and are coded in the next shorter context, where the symbols of the longer one are excluded from all counts; below the empty
-context all symbols not seen at all are alike. Code lengths add up to the log10 probability of the text.
-
-Above the trie stands what the text itself has shown so far: before the word number i (from 0), of D kinds, the text's own
-words predict the next one by their shares with weight ADAPT * i / (i + D), and the trie with the rest. So a text
-that repeats itself, or keeps to one language's common words, gets shorter as it goes on.
-
-Because contexts stay within a word, a word's code length is worked out once, however often it occurs.
-Corpus counts cover every training document: they are partly summed per task, then shuffled by word.
-
-The trie is never in one place, and no context is left out of it. Words, those of held-out texts too, are cut into
-chunks; a chunk's distinct situations (longest context and symbol) are shuffled by their three last context
-symbols, so all longer contexts with that ending meet, and each such part of the trie is counted and its situations are
-coded there. Contexts of two symbols at most, whose number the alphabet bounds, are broadcast. The code
-lengths come back to the chunk, where they add up to the words'.
-
-Word counts for scoring: each block's distinct words are joined with counts and code lengths and come back to the
-block, so no task holds more than one block's words. Null texts count as empty: one end token.
+A text is its words, in lower case (A-Z), with a space after each, and an end. The context of a symbol is the ORDER symbols
+before it, across words; start marks stand before the text. In a context, a
+symbol that followed it ``c`` times in training has probability (1 - e) c / T, with T the sum of the symbols that followed; the others
+get the escape probability e together and are coded in the next shorter context, where the symbols of the longer one are
+excluded from all counts; below the empty context all symbols not seen at all are alike. Escapes are counted when each
+occurrence in training is coded by all the others (one left out), in contexts of like T and number of symbols D; method C,
+D / (T + D), is their prior. Code lengths add up to the log10 probability of the text.
+
+Nothing is left out of the trie, and it is never in one place. A situation is a context of full length with its symbol; every
+shorter context's counts are sums over situations that end alike. Situations are dealt into buckets by their contexts' last
+three symbols, so all longer contexts with that ending meet. Contexts of two symbols at most, whose number the
+alphabet bounds, are broadcast. Three steps, each a table or a shuffle:
+
+1. Tasks count the situations and words of the training texts they read and send sums to buckets; each bucket is written down.
+2. Documents are dealt into blocks by a hash. A block asks each bucket for its distinct situations and words, once,
+   however often they occur in it; the bucket reads its part of the trie, codes what the blocks ask and answers in the order asked.
+3. The answers meet the block's documents, where they add up to the texts' code lengths and base scores.
+
+Rows that agree in id and text lie in one block. Null texts count as empty: one end token. Without training texts all
+symbols are alike. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphsieve.llm.common import slices, texts, written
 
-ORDER = 6
+ORDER = 5
 #: Contexts up to this order are broadcast, the others are dealt by so many of their last symbols and one more.
 LOW = 2
-#: Bytes of words in a chunk; situations whose part of the trie is built at once, if no ending has more.
-CHUNK, PART = 2 << 20, 1 << 18
 #: Symbols that are no bytes of words stand for the start, the end of a word, and the end of the text.
 START, WORD_END, TEXT_END = 9, 32, 10
 #: 256 bytes without the six white-space ones, and the two ends.
 ALPHABET = 252
+#: A node is order << ORDER_SHIFT | context << 8 | symbol; a situation has the highest order and its bucket above that.
 ORDER_SHIFT = 8 * (ORDER + 1)
-BLOCK = 8 << 20
-#: The greatest weight of the text's own words.
-ADAPT = 0.5
+BUCKET_SHIFT = ORDER_SHIFT + 4
+#: Buckets of situations and of words.
+BUCKETS, WORD_BUCKETS = 256, 512
+#: Bytes of text in a block, about; symbols that are worked on at once; situations and words that a task sums before it sends them; situations coded at once.
+BLOCK, STEP, HELD, PART = 6 << 20, 1 << 20, 1 << 21, 1 << 18
+SITUATIONS, WORDS = 0, 1
+#: Steps of T and D by which escapes are counted.
+T_STEPS, D_STEPS = 32, 12
+CELLS = (ORDER + 1) * 2 * T_STEPS * D_STEPS
 
 
 def words_of(text: str) -> list[bytes]:
@@ -58,74 +61,64 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def symbols_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words' symbols (start, bytes, word end) end to end; the word of each; its place in the word."""
-    lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    flat = np.frombuffer(b"".join([b"\t" + w + b" " for w in words]), np.uint8).astype(np.int64)
-    word = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return flat, word, place
-
-
-def context_codes(flat: np.ndarray, order: int) -> np.ndarray:
-    """For each position, the ``order`` symbols before it as one number, marked with the order. Only valid where so many precede in the word."""
-    code = np.zeros(len(flat), np.int64)
-    for back in range(order, 0, -1):
-        shifted = np.concatenate([np.zeros(back, np.int64), flat[:-back]]) if back <= len(flat) else np.zeros(len(flat), np.int64)
-        code = code << 8 | shifted
-    return code | np.int64(order) << (ORDER_SHIFT - 8)
-
-
-def count_nodes(words: list[bytes], counts: np.ndarray, ends: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (context << 8 | symbol) and how often each occurred; ``ends`` texts ended."""
-    flat, word, place = symbols_of(words)
-    weight = counts[word] if len(words) else np.zeros(0, np.int64)
-    codes, sums = [], []
-    for order in range(ORDER + 1):
-        use = place >= max(order, 1)
-        found, where = np.unique((context_codes(flat, order) << 8 | flat)[use], return_inverse=True)
-        codes.append(found)
-        sums.append(np.bincount(where, weight[use], len(found)).astype(np.int64))
-    if ends:
-        # the text's end comes where a word could begin: after a start mark, or in the empty context
-        codes.append(np.array([TEXT_END, (np.int64(1) << (ORDER_SHIFT - 8) | START) << 8 | TEXT_END]))
-        sums.append(np.array([ends, ends]))
-    code, where = np.unique(np.concatenate(codes), return_inverse=True)
-    return code, np.bincount(where, np.concatenate(sums), len(code)).astype(np.int64)
-
-
-def situations(flat: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each of the positions ``at`` its longest context and its symbol as one code."""
-    out, depth = np.empty(len(at), np.int64), np.minimum(place[at], ORDER)
-    for order in range(1, ORDER + 1):
-        use = depth == order
-        out[use] = context_codes(flat, order)[at[use]] << 8 | flat[at[use]]
-    return out
+def symbols_of(texts_words: Iterable[list[bytes]]) -> np.ndarray:
+    """All texts' symbols end to end: start marks, words and their ends, text end."""
+    start = bytes([START]) * ORDER
+    return np.frombuffer(b"".join(start + b" ".join(words) + (b" \n" if words else b"\n") for words in texts_words), np.uint8)
+
+
+def situations(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where symbols are coded, and the situation there: bucket, order, context, symbol."""
+    wide = flat.astype(np.int64)
+    code = wide.copy()
+    for back in range(1, ORDER + 1):
+        code[back:] |= wide[:-back] << (8 * back)
+    at = np.flatnonzero(flat != START)
+    code = code[at]
+    ending = (code >> 8) & ((1 << (8 * (LOW + 1))) - 1)
+    bucket = ((ending * 2654435761) >> 20) % BUCKETS
+    return at, bucket << BUCKET_SHIFT | ORDER << ORDER_SHIFT | code
+
+
+def coded_runs(flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in ``flat``, the symbols of whole texts, and their situations, some STEP at once."""
+    for begin in range(0, len(flat), STEP):
+        first = max(0, begin - ORDER)
+        at, code = situations(flat[first : begin + STEP])
+        use = at + first >= begin
+        yield at[use] + first, code[use]
+
+
+def tally(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and how often each occurs."""
+    code = np.sort(code)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(code)), bool), code[1:] != code[:-1]]))
+    return code[first], np.diff(np.append(first, len(code)))
 
 
 def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes, ascending, and their sums."""
-    found, where = np.unique(code, return_inverse=True)
-    sums = np.zeros(len(found), np.int64)
-    np.add.at(sums, where, n)
-    return found, sums
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(code)), bool), code[1:] != code[:-1]]))
+    return code[first], np.add.reduceat(n[order], first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+
+
+def distinct(flat: np.ndarray) -> np.ndarray:
+    """The distinct situations of some texts, ascending."""
+    found = np.zeros(0, np.int64)
+    for _, code in coded_runs(flat):
+        found = np.union1d(found, tally(code)[0])
+    return found
 
 
 def nodes_of(code: np.ndarray, n: np.ndarray, orders: range) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of these orders, with their counts, that situations occurring ``n`` times make."""
     code, n = code[n > 0], n[n > 0]
-    got = []
-    for order in orders:
-        use = code >> ORDER_SHIFT >= order
-        got.append(summed(code[use] & ((np.int64(1) << (8 * order + 8)) - 1) | np.int64(order) << ORDER_SHIFT, n[use]))
+    got = [summed(code & ((np.int64(1) << (8 * order + 8)) - 1) | np.int64(order) << ORDER_SHIFT, n) for order in orders]
     return np.concatenate([c for c, _ in got]), np.concatenate([k for _, k in got])
 
 
-#: Steps of T and D by which escapes are counted.
-T_STEPS, D_STEPS = 32, 12
-CELLS = (ORDER + 1) * 2 * T_STEPS * D_STEPS
-
-
 def cells(order: int, came: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Which count of escapes a situation belongs to."""
     t = np.where(total < 8, total, 5 + np.floor(np.log2(np.maximum(total, 1))).astype(np.int64))
@@ -135,9 +128,9 @@ def cells(order: int, came: np.ndarray, total: np.ndarray, kinds: np.ndarray) ->
 
 @dataclass
 class Trie:
-    codes: np.ndarray  # context << 8 | symbol, ascending
+    codes: np.ndarray  # nodes, ascending
     counts: np.ndarray
-    contexts: np.ndarray  # ascending
+    contexts: np.ndarray  # nodes without their symbols, ascending
     total: np.ndarray  # T of each context
     kinds: np.ndarray  # D
     rest_total: np.ndarray  # T of the next shorter context without this one's symbols
@@ -161,28 +154,6 @@ class Trie:
         has = up >= 0
         return Trie(codes, counts, contexts, total, kinds, np.where(has, total[up] - inside, 0), np.where(has, kinds[up] - also, 0), np.zeros(CELLS), np.zeros(CELLS))
 
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """Log10 probability of each word, its end included."""
-        flat, word, place = symbols_of(words)
-        at = np.flatnonzero(place > 0)
-        return np.bincount(word[at], self.positions(flat, place, at), len(words))
-
-    def text_end(self) -> float:
-        """Log10 probability of the end where a word could begin."""
-        return float(self.positions(np.array([START, TEXT_END]), np.array([0, 1]), np.array([1]))[0])
-
-    def left_out(self, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Escapes and visits by cell when each occurrence of each word is coded by all the others."""
-        flat, word, place = symbols_of(words)
-        at = np.flatnonzero(place > 0)
-        escapes, visits = np.zeros(CELLS), np.zeros(CELLS)
-        self.positions(flat, place, at, (escapes, visits, counts[word[at]]))
-        return escapes, visits
-
-    def positions(self, flat: np.ndarray, place: np.ndarray, at: np.ndarray, tally: tuple | None = None) -> np.ndarray:
-        """Log10 probabilities of the symbols at these places."""
-        return self.coded(situations(flat, place, at), tally)
-
     def coded(self, code: np.ndarray, tally: tuple | None = None) -> np.ndarray:
         """Log10 probabilities of situations; with ``tally`` (escapes, visits, weights) each symbol counts once less, and escapes are counted."""
         out = np.zeros(len(code))
@@ -190,9 +161,9 @@ class Trie:
         longer = np.full(len(code), -1)  # the context escaped from
         held = np.zeros(len(code), np.int64)  # whether that one has the symbol, its only time being left out
         less = int(tally is not None)
-        depth, symbol = code >> ORDER_SHIFT, code & 255
+        symbol = code & 255
         for order in range(ORDER, -1, -1):
-            here = todo[depth[todo] >= order]
+            here = todo
             context = code[here] >> 8 & ((np.int64(1) << (8 * order)) - 1) | np.int64(order) << (ORDER_SHIFT - 8)
             node = find(self.contexts, context)
             here, context, node = here[node >= 0], context[node >= 0], node[node >= 0]
@@ -244,245 +215,237 @@ def find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == wanted, at, -1)
 
 
-def adapted(at: np.ndarray, trie_log10: np.ndarray, end: float) -> float:
-    """Log10 probability of a text: its words as numbers, the trie's log10 for each token, and for the end."""
-    n = len(at)
-    order = np.argsort(at, kind="stable")
-    begins = np.ones(n, bool)
-    begins[1:] = at[order][1:] != at[order][:-1]
-    place = np.arange(n)
-    times = np.empty(n, np.int64)  # how often the word has occurred before
-    times[order] = place - np.maximum.accumulate(np.where(begins, place, 0))
-    fresh = times == 0
-    kinds = np.append(0, np.cumsum(fresh))
-    i = np.arange(n + 1)
-    weight = ADAPT * i / np.maximum(i + kinds, 1)
-    with np.errstate(divide="ignore"):
-        own = np.log(weight[:-1]) + np.log(times / np.maximum(i[:-1], 1))
-    words = np.logaddexp(np.log1p(-weight[:-1]) + trie_log10 * np.log(10), own)
-    return float((words.sum() + np.log1p(-weight[-1])) / np.log(10) + end)
+def squeeze(*columns: np.ndarray, text: bytes = b"") -> bytes:
+    """Columns of one length (8-byte numbers are stored byte by byte: what is alike lies together) and a string, compressed."""
+    import zstandard
 
+    head = np.array([len(columns), len(columns[0]) if columns else 0, len(text)], "<i8").tobytes()
+    planes = [np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, text, *planes]))
 
-def with_fold(docs: DataFrame, held_out, id_col: str, text_col: str) -> DataFrame:
-    return texts(docs, id_col, text_col).withColumn("held_out", held_out)
 
+def unsqueeze(data: bytes) -> tuple[list[np.ndarray], bytes]:
+    """The columns and the string."""
+    import zstandard
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c over the rows that are not held out, with 0 for words of the others alone; each task sums its own first, in pieces of bounded size."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    columns, n, size = (int(x) for x in np.frombuffer(raw, "<i8", 3))
+    planes = np.frombuffer(raw, np.uint8)[24 + size :].reshape(columns, 8, n)
+    return [np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes], raw[24 : 24 + size]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for rows in range(0, len(held), 1 << 17):
-                keys = [*held.keys()][rows : rows + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([held[k] for k in keys], pa.int64())], ["word", "c"])
-
-        for batch in slices(batches):
-            for text, out_of in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-                if out_of:
-                    for w in words_of(text):
-                        held.setdefault(w, 0)
-                else:
-                    held.update(words_of(text))
-            if len(held) > 400_000:
-                yield from out()
-                held.clear()
-        yield from out()
+#: kind (SITUATIONS or WORDS), bucket, asks (whether a block asks), block, data
+ROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("asks", pa.bool_()), ("block", pa.int64()), ("data", pa.binary())])
+ROW_SCHEMA = "kind int, bucket int, asks boolean, block long, data binary"
+KEY = ["kind", "bucket"]
 
-    return docs.select("text", "held_out").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+def rows_of(kind: int, bucket: list[int], data: list[bytes], block: int | None = None) -> pa.RecordBatch:
+    n = len(data)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(bucket, pa.int32()), pa.array([block is not None] * n), pa.array([block] * n, pa.int64()), pa.array(data, pa.binary())], schema=ROW)
 
-def train(counts: DataFrame, ends: int, most: int) -> Trie:
-    """A trie of at most ``most`` nodes, the most frequent, in one place, from the table of word counts and the number of texts; ``score`` doesn't use it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            block = pa.Table.from_batches(rows)
-            code, n = count_nodes(block.column("word").to_pylist(), block.column("c").to_numpy())
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
-
-        for batch in slices(batches, "word", rows=1 << 16):
-            held.append(batch)
-            size += batch.column("word").nbytes
-            if size > 2 << 20:
-                yield out(held)
-                held, size = [], 0
-        if held:
-            yield out(held)
-
-    nodes = written(counts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "ppm-nodes")
-    # the least count kept, from counts of counts in steps of an eighth of a power of two (some 500 rows)
-    step = F.floor(F.log2("n") * 8).cast("int")
-    sizes = sorted(((r[0], r[1]) for r in nodes.groupBy(step.alias("s")).count().collect()), reverse=True)
-    least, kept = (sizes[0][0] + 1 if sizes else 0), 0
-    for s, n in sizes:
-        if kept + n > most - 2:
-            break
-        kept, least = kept + n, s
-    got = nodes.where(step >= least).toArrow()
-    code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
-    if ends:
-        more, times = count_nodes([], np.zeros(0, np.int64), ends)
-        code, n = np.concatenate([code, more]), np.concatenate([n, times])
-    trie = Trie.build(code, n)
-    shared = counts.sparkSession.sparkContext.broadcast(trie)  # 16 bytes for each of ``most`` nodes, and the contexts
-
-    def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        escapes, visits = np.zeros(CELLS), np.zeros(CELLS)
-        for batch in slices(batches, "word", most=1 << 19, rows=1 << 16):
-            e, v = shared.value.left_out(batch.column("word").to_pylist(), batch.column("c").to_numpy())
-            escapes, visits = escapes + e, visits + v
-        some = np.flatnonzero(visits)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(escapes[some]), pa.array(visits[some])], ["cell", "e", "v"])
+def by_bucket(code: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Buckets of ascending situations, and where each one's are."""
+    edges = np.searchsorted(code, np.arange(BUCKETS + 1) << BUCKET_SHIFT).tolist()
+    for bucket, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if b > a:
+            yield bucket, slice(a, b)
+
 
-    for r in counts.mapInArrow(leave_out, "cell long, e double, v double").groupBy("cell").agg(F.sum("e").alias("e"), F.sum("v").alias("v")).collect():  # CELLS rows at most
-        trie.escapes[r["cell"]], trie.visits[r["cell"]] = r["e"], r["v"]
-    return trie
+def words_by_bucket(words: Iterable[bytes]) -> dict[int, list[bytes]]:
+    """Words by bucket, in each as they come."""
+    out: dict[int, list[bytes]] = {}
+    for w in words:
+        out.setdefault(zlib.crc32(w) % WORD_BUCKETS, []).append(w)
+    return out
 
 
-def in_chunks(counts: DataFrame) -> DataFrame:
-    """The words with the number of their chunk."""
+def counted(docs: DataFrame) -> DataFrame:
+    """ROW_SCHEMA: what each task has counted in the texts it read (a column ``text``), summed in pieces of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, size = TaskContext.get().partitionId(), 0, 0
-        for batch in slices(batches, "word", most=CHUNK, rows=1 << 16):
-            if size + batch.column("word").nbytes > CHUNK:
-                k, size = k + 1, 0
-            size += batch.column("word").nbytes
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part << 32 | k))], ["word", "c", "chunk"])
+        words: Counter = Counter()
+        code, n, chars = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-    return counts.mapInArrow(run, "word binary, c long, chunk long")
+        def out() -> Iterator[pa.RecordBatch]:
+            parts = [*by_bucket(code)]
+            yield rows_of(SITUATIONS, [b for b, _ in parts], [squeeze(code[s], n[s]) for _, s in parts])
+            held = words_by_bucket(sorted(words))
+            yield rows_of(WORDS, [*held], [squeeze(np.array([words[w] for w in ws]), text=b"\n".join(ws)) for ws in held.values()])
+
+        for batch in slices(batches, most=4 << 20):
+            split = [words_of(t) for t in batch.column("text").to_pylist()]
+            got = [tally(c) for _, c in coded_runs(symbols_of(split))]
+            for own in split:
+                words.update(own)
+            code, n = summed(np.concatenate([code, *(c for c, _ in got)]), np.concatenate([n, *(k for _, k in got)]))
+            chars += batch.column("text").nbytes
+            if len(code) > HELD or len(words) > HELD // 8 or chars > 1 << 26:
+                yield from out()
+                words.clear()
+                code, n, chars = code[:0], n[:0], 0
+        if len(code):
+            yield from out()
 
+    return docs.mapInArrow(run, ROW_SCHEMA)
 
-def packed(*columns: np.ndarray) -> bytes:
-    """Columns of 8-byte numbers, byte by byte: what is alike lies together and compresses."""
-    return np.stack(columns, 1).view(np.uint8).T.tobytes()
 
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], Iterator[tuple[bool, int, bytes]]]]:
+    """Rows that come sorted by kind and bucket, bucket by bucket: (asks, block, data), one at a time."""
+    rows = ((k, b, a, d, x) for batch in batches for k, b, a, d, x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    ahead = next(rows, None)
 
-def unpacked(data: bytes, columns: int) -> np.ndarray:
-    """The columns as rows of int64."""
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8 * columns, -1).T).view(np.int64)
+    def own(key: tuple[int, int]) -> Iterator[tuple[bool, int, bytes]]:
+        nonlocal ahead
+        while ahead is not None and ahead[:2] == key:
+            yield ahead[2:]
+            ahead = next(rows, None)
 
+    while ahead is not None:
+        key = ahead[:2]
+        held = own(key)
+        yield key, held
+        for _ in held:  # whatever was not read
+            pass
 
-def dealt(words: DataFrame) -> DataFrame:
-    """key, chunk, data: each chunk's situations and how often they occur, a row for each ending; equal endings together and in order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held = None, []
+def merged(rows: DataFrame) -> DataFrame:
+    """ROW_SCHEMA: one row for each bucket with the sums over all tasks."""
 
-        def out() -> Iterator[pa.RecordBatch]:
-            flat, word, place = symbols_of([w for b in held for w in b.column("word").to_pylist()])
-            c = np.concatenate([b.column("c").to_numpy() for b in held])
-            at = np.flatnonzero(place > 0)
-            code, n = summed(situations(flat, place, at), c[word[at]])
-            key = (code >> 8 & ((1 << (8 * LOW + 8)) - 1)).astype(np.int32)
-            order = np.argsort(key, kind="stable")
-            key, code, n = key[order], code[order], n[order]
-            keys, first = np.unique(key, return_index=True)
-            edges = [*first.tolist(), len(key)]
-            for at in range(0, len(keys), 4096):
-                some = [packed(code[a:b], n[a:b]) for a, b in zip(edges[at : at + 4096], edges[at + 1 : at + 4097], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 4096]), pa.array(np.full(len(some), chunk)), pa.array(some, pa.binary())], ["key", "chunk", "data"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, bucket), held in grouped(batches):
+            if kind == WORDS:
+                words: Counter = Counter()
+                for _, _, data in held:
+                    (n,), text = unsqueeze(data)
+                    for w, k in zip(text.split(b"\n"), n.tolist(), strict=True):
+                        words[w] += k
+                yield rows_of(kind, [bucket], [squeeze(np.array([*words.values()]), text=b"\n".join(words))])
+                continue
+            codes, counts, size = [], [], 0
+            for _, _, data in held:
+                code, n = unsqueeze(data)[0]
+                codes.append(code)
+                counts.append(n)
+                size += len(code)
+                if size > HELD:
+                    code, n = summed(np.concatenate(codes), np.concatenate(counts))
+                    codes, counts, size = [code], [n], len(code) // 2
+            yield rows_of(kind, [bucket], [squeeze(*summed(np.concatenate(codes), np.concatenate(counts)))])
+
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, ROW_SCHEMA)
+
+
+def lower_nodes(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes up to order LOW and their counts: strings of three symbols at most, as many as the alphabet has, however large the corpus."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = batch.column("chunk").to_numpy()
-            edges = np.flatnonzero(np.diff(of, prepend=-1)) if len(of) else []
-            for a, b in zip(edges, [*edges[1:], len(of)], strict=True):
-                if of[a] != chunk:
-                    if held:
-                        yield from out()
-                    chunk, held = int(of[a]), []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from out()
+            for data in batch.column("data").to_pylist():
+                code, n = nodes_of(*unsqueeze(data)[0], range(LOW + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+
+    got = table.where(F.col("kind") == SITUATIONS).select("data").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return summed(got.column("code").to_numpy(), got.column("n").to_numpy())
+
+
+def part_of_trie(low: tuple[np.ndarray, np.ndarray], code: np.ndarray, n: np.ndarray) -> Trie:
+    nodes = nodes_of(code, n, range(LOW + 1, ORDER + 1))
+    return Trie.build(*(np.concatenate(c) for c in zip(low, nodes, strict=True)))
 
-    return words.mapInArrow(run, "key int, chunk long, data binary").repartition("key").sortWithinPartitions("key")
-
-
-def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunks, where each one's situations begin (and the end), code and n of whole endings, some PART situations at once."""
-    chunks, held, size, last = [], [], 0, None
-
-    def out() -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-        code, n = np.ascontiguousarray(np.concatenate(held).T)
-        return chunks, np.cumsum([0, *map(len, held)]), code, n
-
-    for batch in batches:
-        for key, chunk, data in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "data")), strict=True):
-            if key != last and size >= PART:
-                yield out()
-                chunks, held, size = [], [], 0
-            last = key
-            chunks.append(chunk)
-            held.append(unpacked(data, 2))
-            size += len(held[-1])
-    if held:
-        yield out()
-
-
-def with_lengths(words: DataFrame, ends: int) -> tuple[DataFrame, float]:
-    """word, c, ppm (log10 probability) of all words, by a trie of all contexts of the counted ones; and the text end's log10."""
-    spark = words.sparkSession
-
-    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "word", most=CHUNK, rows=1 << 16):
-            flat, word, place = symbols_of(batch.column("word").to_pylist())
-            at = np.flatnonzero(place > 0)
-            code, n = nodes_of(situations(flat, place, at), batch.column("c").to_numpy()[word[at]], range(LOW + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
-
-    # strings of three symbols at most: as many as the alphabet has, however large the corpus
-    got = words.mapInArrow(lower, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    more, times = count_nodes([], np.zeros(0, np.int64), ends)
-    low = summed(np.concatenate([got.column("code").to_numpy(), more]), np.concatenate([got.column("n").to_numpy(), times]))
-    low_shared = spark.sparkContext.broadcast(low)
-    rows = dealt(words)
-
-    def part_of_trie(code: np.ndarray, n: np.ndarray) -> Trie:
-        nodes = nodes_of(code, n, range(LOW + 1, ORDER + 1))
-        return Trie.build(*(np.concatenate(c) for c in zip(low_shared.value, nodes, strict=True)))
-
-    def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def escapes_of(table: DataFrame, low) -> tuple[np.ndarray, np.ndarray]:
+    """Escapes and visits by cell, each training symbol left out in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         escapes, visits = np.zeros(CELLS), np.zeros(CELLS)
-        for _, _, code, n in parts(batches):
-            code, n = summed(code, n)
-            part_of_trie(code, n).coded(code[n > 0], (escapes, visits, n[n > 0]))
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                code, n = unsqueeze(data)[0]
+                part_of_trie(low.value, code, n).coded(code, (escapes, visits, n))
         some = np.flatnonzero(visits)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(escapes[some]), pa.array(visits[some])], ["cell", "e", "v"])
 
     escapes, visits = np.zeros(CELLS), np.zeros(CELLS)
-    for r in rows.mapInArrow(leave_out, "cell long, e double, v double").groupBy("cell").agg(F.sum("e").alias("e"), F.sum("v").alias("v")).collect():  # CELLS rows at most
+    rows = table.where(F.col("kind") == SITUATIONS).select("data").mapInArrow(run, "cell long, e double, v double")
+    for r in rows.groupBy("cell").agg(F.sum("e").alias("e"), F.sum("v").alias("v")).collect():  # CELLS rows at most
         escapes[r["cell"]], visits[r["cell"]] = r["e"], r["v"]
+    return escapes, visits
+
+
+def asked(blocks: DataFrame) -> DataFrame:
+    """ROW_SCHEMA: the distinct situations and words of each block (rows of one block come together), by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, code, words = None, np.zeros(0, np.int64), set()
 
-    def code_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunks, edges, code, n in parts(batches):
-            own, sums = summed(code, n)
-            trie = part_of_trie(own, sums)
-            trie.escapes, trie.visits = escapes, visits
-            log10 = trie.coded(own)[find(own, code)].view(np.int64)
-            some = [packed(code[a:b], log10[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(some, pa.binary())], ["chunk", "data"])
-
-    def add_up(words_part: pa.Table, lengths: pa.Table) -> pa.Table:
-        both = np.concatenate([np.zeros((0, 2), np.int64), *(unpacked(data, 2) for data in lengths.column("data").to_pylist())])
-        both = both[np.argsort(both[:, 0])]
-        code, log10 = both[:, 0].copy(), both[:, 1].copy().view(np.float64)
-        own = words_part.column("word").to_pylist()
-        ppm = [np.zeros(0)]
-        for first in range(0, len(own), 1 << 16):
-            some = own[first : first + (1 << 16)]
-            flat, word, place = symbols_of(some)
-            at = np.flatnonzero(place > 0)
-            ppm.append(np.bincount(word[at], log10[find(code, situations(flat, place, at))], len(some)))
-        return pa.table({"word": words_part.column("word"), "c": words_part.column("c"), "ppm": pa.array(np.concatenate(ppm))})
-
-    lengths = rows.mapInArrow(code_lengths, "chunk long, data binary")
-    end = Trie.build(*low)
-    end.escapes, end.visits = escapes, visits
-    return words.groupBy("chunk").cogroup(lengths.groupBy("chunk")).applyInArrow(add_up, "word binary, c long, ppm double"), end.text_end()
+        def out() -> Iterator[pa.RecordBatch]:
+            parts = [*by_bucket(code)]
+            yield rows_of(SITUATIONS, [b for b, _ in parts], [squeeze(code[s]) for _, s in parts], block)
+            held = words_by_bucket(sorted(words))
+            yield rows_of(WORDS, [*held], [squeeze(text=b"\n".join(ws)) for ws in held.values()], block)
+
+        for batch in slices(batches, most=4 << 20):
+            own = batch.column("block").to_numpy()
+            for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(own)) + 1):
+                if own[part[0]] != block:
+                    if block is not None:
+                        yield from out()
+                    block, code, words = int(own[part[0]]), code[:0], set()
+                split = [words_of(t) for t in batch.column("text").slice(part[0], len(part)).to_pylist()]
+                code = np.union1d(code, distinct(symbols_of(split)))
+                words.update(*split)
+        if block is not None:
+            yield from out()
+
+    return blocks.mapInArrow(run, ROW_SCHEMA)
+
+
+def answered(rows: DataFrame, low, cell_counts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """block, kind, bucket, data: log10 probabilities (4-byte floats) or counts, in the order asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(kind: int, bucket: int, blocks: list[int], data: list[bytes]) -> pa.RecordBatch:
+            n = len(blocks)
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(data, pa.binary())], ["block", "kind", "bucket", "data"])
+
+        for (kind, bucket), held in grouped(batches):
+            trie, known, size = None, {}, 0
+            code = n = np.zeros(0, np.int64)
+            blocks, wants = [], []
+
+            def answers() -> pa.RecordBatch:
+                nonlocal trie
+                if trie is None:
+                    trie = part_of_trie(low.value, code, n)
+                    trie.escapes, trie.visits = cell_counts
+                every = np.unique(np.concatenate(wants))
+                log10 = trie.coded(every).astype("<f4")
+                return out(kind, bucket, blocks, [log10[np.searchsorted(every, w)].tobytes() for w in wants])
+
+            for asks, block, data in held:
+                columns, text = unsqueeze(data)
+                if kind == WORDS:
+                    words = text.split(b"\n")
+                    if asks:
+                        yield out(kind, bucket, [block], [squeeze(np.fromiter((known.get(w, 0) for w in words), np.int64, len(words)))])
+                    else:
+                        known = dict(zip(words, columns[0].tolist(), strict=True))
+                elif asks:
+                    blocks.append(block)
+                    wants.append(columns[0])
+                    size += len(columns[0])
+                    if size > PART:
+                        yield answers()
+                        blocks, wants, size = [], [], 0
+                else:
+                    code, n = columns
+            if wants:
+                yield answers()
+
+    order = [*KEY, "asks", "block"]
+    return rows.repartition(*KEY).sortWithinPartitions(*order).mapInArrow(run, "block long, kind int, bucket int, data binary")
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -491,56 +454,51 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     ``held_out`` is a boolean Column over ``doc_id`` and ``text``; the model learns from the other rows. ``base_score`` is
     the smoothed unigram log10 probability of words and end, ``score`` that of the PPM model.
     """
-    source = with_fold(docs, held_out, id_col, text_col)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for k, batch in enumerate(slices(batches, most=BLOCK)):
-            block = pa.array(np.full(batch.num_rows, part << 32 | k))
-            yield pa.RecordBatch.from_arrays([*batch.columns, block], ["doc_id", "text", "held_out", "block"])
-
-    # blocks must stay what they are when a task runs again, so they are written down
-    blocks = written(source.mapInArrow(number, "doc_id long, text string, held_out boolean, block long"), "lm-blocks")
-    counts = written(in_chunks(word_counts(blocks)), "lm-counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    ends = blocks.where(~F.col("held_out")).count()
-    n_train, n_kinds = total + ends, kinds + bool(ends)
-    known_words, end = with_lengths(counts, ends)
+    spark = docs.sparkSession
+    source = texts(docs, id_col, text_col).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    table = written(merged(counted(source.where(~F.col("held_out")).select("text"))), "ppm-trie")
+    size, ends = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, set()
+    def word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [unsqueeze(data)[0][0] for data in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in sums], pa.int64()), pa.array([*map(len, sums)], pa.int64())], ["n", "kinds"])
 
-        def out() -> Iterator[pa.RecordBatch]:
-            words = [*held]
-            for at in range(0, len(words), 1 << 17):
-                some = words[at : at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(np.full(len(some), block))], ["word", "block"])
-
-        for batch in slices(batches):
-            for key, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if key != block:
-                    if held:
-                        yield from out()
-                    block, held = key, set()
-                held.update(words_of(text))
-        if held:
-            yield from out()
+    total, kinds = table.where(F.col("kind") == WORDS).select("data").mapInArrow(word_sums, "n long, kinds long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    n_train, n_kinds = total + ends, kinds + bool(ends)
+    low = spark.sparkContext.broadcast(lower_nodes(table))
+    cell_counts = escapes_of(table, low)
+
+    n_blocks = max(1, -(-size // BLOCK))
+    blocks = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).repartition("block")
+    answers = answered(asked(blocks.sortWithinPartitions("block")).union(table), low, cell_counts)
 
-    def sums(docs_part: pa.Table, words_part: pa.Table) -> pa.Table:
+    def sums(docs_part: pa.Table, answers_part: pa.Table) -> pa.Table:
+        got = {(k, b): x for k, b, x in zip(*(answers_part.column(c).to_pylist() for c in ("kind", "bucket", "data")), strict=True)}
         split = [words_of(t) for t in docs_part.column("text").to_pylist()]
-        index = {w: i for i, w in enumerate(words_part.column("word").to_pylist())}
-        c, ppm = words_part.column("c").to_numpy(), words_part.column("ppm").to_numpy()
+        flat = symbols_of(split)
+        code = distinct(flat)
+        log10 = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(got[SITUATIONS, b], "<f4") for b, _ in by_bucket(code))])
+        begins = np.cumsum([0] + [sum(map(len, own)) + len(own) + 1 + ORDER for own in split])
+        scored = np.zeros(len(split))
+        for at, own in coded_runs(flat):
+            order = np.argsort(own)
+            value = np.empty(len(own))
+            value[order] = log10[np.searchsorted(code, own[order])]
+            first, last = np.searchsorted(begins, at[0], "right") - 1, np.searchsorted(begins, at[-1], "right")
+            scored[first:last] += np.bincount(np.searchsorted(begins, at, "right") - 1 - first, value, last - first)
+        words = words_by_bucket(sorted({w for own in split for w in own}))
+        index = {w: i for i, w in enumerate(w for ws in words.values() for w in ws)}
+        c = np.concatenate([np.zeros(0, np.int64), *(unsqueeze(got[WORDS, b])[0][0] for b in words)])
         base = np.log10(c + 0.5)
         below = np.log10(n_train + 0.5 * (n_kinds + 1))
         rows = []
         for own in split:
             at = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
             n = len(at) + 1
-            rows.append((n, int((c[at] > 0).sum()) + (ends > 0), float(base[at].sum() + np.log10(ends + 0.5) - n * below), adapted(at, ppm[at], end)))
-        n, known, based, scored = zip(*rows, strict=True)
+            rows.append((n, int((c[at] > 0).sum()) + (ends > 0), float(base[at].sum() + np.log10(ends + 0.5) - n * below)))
+        n, known, based = zip(*rows, strict=True)
         return pa.table({"doc_id": docs_part.column("doc_id"), "held_out": docs_part.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n_train] * len(n), pa.int64()), "base_score": pa.array(based, pa.float64()), "score": pa.array(scored, pa.float64())})
 
-    block_words = blocks.select("block", "text").mapInArrow(distinct, "word binary, block long")
-    looked_up = block_words.join(known_words, "word").select("block", "word", "c", "ppm")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(looked_up.groupBy("block")).applyInArrow(sums, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sums, schema)
