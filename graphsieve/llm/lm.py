@@ -49,7 +49,7 @@ BUCKET_SHIFT = ORDER_SHIFT + 4
 #: Buckets of situations and of words.
 BUCKETS, WORD_BUCKETS = 256, 512
 #: Bytes of text in a block, about; symbols that are worked on at once; situations and words that a task sums before it sends them; situations coded at once.
-BLOCK, STEP, HELD, PART = 6 << 20, 1 << 20, 1 << 21, 1 << 18
+BLOCK, STEP, HELD, PART = 6 << 20, 1 << 18, 1 << 21, 1 << 18
 SITUATIONS, WORDS = 0, 1
 #: Steps of T and D by which escapes are counted.
 T_STEPS, D_STEPS = 32, 12
@@ -69,14 +69,16 @@ def symbols_of(texts_words: Iterable[list[bytes]]) -> np.ndarray:
 
 def situations(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where symbols are coded, and the situation there: bucket, order, context, symbol."""
-    wide = flat.astype(np.int64)
-    code = wide.copy()
-    for back in range(1, ORDER + 1):
-        code[back:] |= wide[:-back] << (8 * back)
+    one = flat.astype(np.int64)
+    two = one.copy()
+    two[1:] |= one[:-1] << 8
+    code = two.copy()
+    for back in range(2, ORDER + 1, 2):
+        code[back:] |= two[:-back] << (8 * back)
+    code &= (1 << (8 * ORDER + 8)) - 1
     at = np.flatnonzero(flat != START)
     code = code[at]
-    ending = (code >> 8) & ((1 << (8 * (LOW + 1))) - 1)
-    bucket = ((ending * 2654435761) >> 20) % BUCKETS
+    bucket = (code >> 8 & ((1 << (8 * (LOW + 1))) - 1)) * 2654435761 >> 20 & (BUCKETS - 1)
     return at, bucket << BUCKET_SHIFT | ORDER << ORDER_SHIFT | code
 
 
@@ -104,12 +106,9 @@ def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[first], np.add.reduceat(n[order], first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
 
 
-def distinct(flat: np.ndarray) -> np.ndarray:
-    """The distinct situations of some texts, ascending."""
-    found = np.zeros(0, np.int64)
-    for _, code in coded_runs(flat):
-        found = np.union1d(found, tally(code)[0])
-    return found
+def distinct(codes: Iterable[np.ndarray]) -> np.ndarray:
+    """The distinct ones, ascending."""
+    return tally(np.concatenate([np.zeros(0, np.int64), *codes]))[0]
 
 
 def nodes_of(code: np.ndarray, n: np.ndarray, orders: range) -> tuple[np.ndarray, np.ndarray]:
@@ -266,26 +265,33 @@ def counted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        code, n, chars = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        codes, counts, size, chars = [], [], 0, 0
 
         def out() -> Iterator[pa.RecordBatch]:
+            code, n = summed(np.concatenate(codes), np.concatenate(counts))
             parts = [*by_bucket(code)]
             yield rows_of(SITUATIONS, [b for b, _ in parts], [squeeze(code[s], n[s]) for _, s in parts])
-            held = words_by_bucket(sorted(words))
+            held = words_by_bucket(words)
             yield rows_of(WORDS, [*held], [squeeze(np.array([words[w] for w in ws]), text=b"\n".join(ws)) for ws in held.values()])
 
         for batch in slices(batches, most=4 << 20):
             split = [words_of(t) for t in batch.column("text").to_pylist()]
-            got = [tally(c) for _, c in coded_runs(symbols_of(split))]
             for own in split:
                 words.update(own)
-            code, n = summed(np.concatenate([code, *(c for c, _ in got)]), np.concatenate([n, *(k for _, k in got)]))
+            for _, c in coded_runs(symbols_of(split)):
+                code, n = tally(c)
+                codes.append(code)
+                counts.append(n)
+                size += len(code)
             chars += batch.column("text").nbytes
-            if len(code) > HELD or len(words) > HELD // 8 or chars > 1 << 26:
+            if size > HELD:
+                code, n = summed(np.concatenate(codes), np.concatenate(counts))
+                codes, counts, size = [code], [n], len(code)
+            if 2 * size > HELD or len(words) > HELD // 8 or chars > 1 << 26:
                 yield from out()
                 words.clear()
-                code, n, chars = code[:0], n[:0], 0
-        if len(code):
+                codes, counts, size, chars = [], [], 0, 0
+        if codes:
             yield from out()
 
     return docs.mapInArrow(run, ROW_SCHEMA)
@@ -378,12 +384,13 @@ def asked(blocks: DataFrame) -> DataFrame:
     """ROW_SCHEMA: the distinct situations and words of each block (rows of one block come together), by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, code, words = None, np.zeros(0, np.int64), set()
+        block, codes, words = None, [], set()
 
         def out() -> Iterator[pa.RecordBatch]:
+            code = distinct(codes)
             parts = [*by_bucket(code)]
             yield rows_of(SITUATIONS, [b for b, _ in parts], [squeeze(code[s]) for _, s in parts], block)
-            held = words_by_bucket(sorted(words))
+            held = words_by_bucket(words)
             yield rows_of(WORDS, [*held], [squeeze(text=b"\n".join(ws)) for ws in held.values()], block)
 
         for batch in slices(batches, most=4 << 20):
@@ -392,9 +399,9 @@ def asked(blocks: DataFrame) -> DataFrame:
                 if own[part[0]] != block:
                     if block is not None:
                         yield from out()
-                    block, code, words = int(own[part[0]]), code[:0], set()
+                    block, codes, words = int(own[part[0]]), [], set()
                 split = [words_of(t) for t in batch.column("text").slice(part[0], len(part)).to_pylist()]
-                code = np.union1d(code, distinct(symbols_of(split)))
+                codes = [distinct([*codes, *(tally(c)[0] for _, c in coded_runs(symbols_of(split)))])]
                 words.update(*split)
         if block is not None:
             yield from out()
@@ -403,49 +410,49 @@ def asked(blocks: DataFrame) -> DataFrame:
 
 
 def answered(rows: DataFrame, low, cell_counts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """block, kind, bucket, data: log10 probabilities (4-byte floats) or counts, in the order asked."""
+    """block, kind, asked (as it came), data: log10 probabilities (4-byte floats) or counts, in the order asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(kind: int, bucket: int, blocks: list[int], data: list[bytes]) -> pa.RecordBatch:
-            n = len(blocks)
-            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(data, pa.binary())], ["block", "kind", "bucket", "data"])
+        def out(kind: int, blocks: list[int], wants: list[bytes], data: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([kind] * len(blocks), pa.int32()), pa.array(wants, pa.binary()), pa.array(data, pa.binary())], ["block", "kind", "asked", "data"])
 
-        for (kind, bucket), held in grouped(batches):
+        for (kind, _), held in grouped(batches):
             trie, known, size = None, {}, 0
             code = n = np.zeros(0, np.int64)
-            blocks, wants = [], []
+            blocks, wants, came = [], [], []
 
             def answers() -> pa.RecordBatch:
                 nonlocal trie
                 if trie is None:
                     trie = part_of_trie(low.value, code, n)
                     trie.escapes, trie.visits = cell_counts
-                every = np.unique(np.concatenate(wants))
+                every = distinct(wants)
                 log10 = trie.coded(every).astype("<f4")
-                return out(kind, bucket, blocks, [log10[np.searchsorted(every, w)].tobytes() for w in wants])
+                return out(kind, blocks, came, [log10[np.searchsorted(every, w)].tobytes() for w in wants])
 
             for asks, block, data in held:
                 columns, text = unsqueeze(data)
                 if kind == WORDS:
                     words = text.split(b"\n")
                     if asks:
-                        yield out(kind, bucket, [block], [squeeze(np.fromiter((known.get(w, 0) for w in words), np.int64, len(words)))])
+                        yield out(kind, [block], [data], [squeeze(np.fromiter((known.get(w, 0) for w in words), np.int64, len(words)))])
                     else:
                         known = dict(zip(words, columns[0].tolist(), strict=True))
                 elif asks:
                     blocks.append(block)
                     wants.append(columns[0])
+                    came.append(data)
                     size += len(columns[0])
                     if size > PART:
                         yield answers()
-                        blocks, wants, size = [], [], 0
+                        blocks, wants, came, size = [], [], [], 0
                 else:
                     code, n = columns
             if wants:
                 yield answers()
 
     order = [*KEY, "asks", "block"]
-    return rows.repartition(*KEY).sortWithinPartitions(*order).mapInArrow(run, "block long, kind int, bucket int, data binary")
+    return rows.repartition(*KEY).sortWithinPartitions(*order).mapInArrow(run, "block long, kind int, asked binary, data binary")
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -474,22 +481,27 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     answers = answered(asked(blocks.sortWithinPartitions("block")).union(table), low, cell_counts)
 
     def sums(docs_part: pa.Table, answers_part: pa.Table) -> pa.Table:
-        got = {(k, b): x for k, b, x in zip(*(answers_part.column(c).to_pylist() for c in ("kind", "bucket", "data")), strict=True)}
+        code, log10, index, counts = [np.zeros(0, np.int64)], [np.zeros(0, "<f4")], {}, [np.zeros(0, np.int64)]
+        for kind, asked_for, data in zip(*(answers_part.column(c) for c in ("kind", "asked", "data")), strict=True):
+            columns, text = unsqueeze(asked_for.as_py())
+            if kind.as_py() == WORDS:
+                words = text.split(b"\n")
+                index.update(zip(words, range(len(index), len(index) + len(words)), strict=True))
+                counts += unsqueeze(data.as_py())[0]
+            else:
+                code += columns
+                log10.append(np.frombuffer(data.as_py(), "<f4"))
+        code, log10, c = np.concatenate(code), np.concatenate(log10), np.concatenate(counts)
+        order = np.argsort(code)
+        code, log10 = code[order], log10[order]
         split = [words_of(t) for t in docs_part.column("text").to_pylist()]
         flat = symbols_of(split)
-        code = distinct(flat)
-        log10 = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(got[SITUATIONS, b], "<f4") for b, _ in by_bucket(code))])
-        begins = np.cumsum([0] + [sum(map(len, own)) + len(own) + 1 + ORDER for own in split])
-        scored = np.zeros(len(split))
+        each = np.zeros(len(flat), "<f4")
         for at, own in coded_runs(flat):
             order = np.argsort(own)
-            value = np.empty(len(own))
-            value[order] = log10[np.searchsorted(code, own[order])]
-            first, last = np.searchsorted(begins, at[0], "right") - 1, np.searchsorted(begins, at[-1], "right")
-            scored[first:last] += np.bincount(np.searchsorted(begins, at, "right") - 1 - first, value, last - first)
-        words = words_by_bucket(sorted({w for own in split for w in own}))
-        index = {w: i for i, w in enumerate(w for ws in words.values() for w in ws)}
-        c = np.concatenate([np.zeros(0, np.int64), *(unsqueeze(got[WORDS, b])[0][0] for b in words)])
+            each[at[order]] = log10[np.searchsorted(code, own[order])]
+        begins = np.cumsum([0] + [sum(map(len, own)) + len(own) + 1 + ORDER for own in split[:-1]])
+        scored = np.add.reduceat(each, begins, dtype=np.float64)
         base = np.log10(c + 0.5)
         below = np.log10(n_train + 0.5 * (n_kinds + 1))
         rows = []
