@@ -6,8 +6,17 @@ capacities of edges to the two terminals. Blocks that follow each other, and blo
 parent, are tied by smoothness edges, stronger the closer they are in the DOM. Maximum flow (shortest
 augmenting paths in a level graph) finds the cheapest labelling; the source side is the content.
 
+The classifier is fitted to the pages at hand: on a sample of SAMPLE pages at most, drawn by a hash, blocks inside article and main
+elements are taken as content and those in places of boilerplate as such. What a block's words, links and kind say
+is fitted to these labels by logistic regression, drawn towards the weights given here, which hold where the sample has too few blocks of
+either label; what its place says is fixed, as it made the labels.
+
+Names (class, id, role) tell boilerplate by the elements nearest to a block: those of html, body, main and article, and of
+any element that holds an article or main, say nothing of what is inside; inside an article a header is a heading.
+
 A missing table, null or empty html, or a page without content gives an empty text. Nothing is capped: the
-whole page is read. Unclosed and misplaced tags are taken as browsers would, roughly.
+whole page is read, in time that grows with its length however deep its elements lie and whatever they leave
+unclosed. Unclosed and misplaced tags are taken as browsers would, roughly.
 """
 
 from __future__ import annotations
@@ -18,60 +27,111 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphsieve.llm.common import slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|template|noscript|iframe|svg|math|textarea|select|object|canvas|audio|video|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.S | re.I)
+#: What stands in a tag after its name: a quoted value may hold a ``<`` only if it ends soon.
+INSIDE = r"""(?:"[^"<]*+"|'[^'<]*+'|"[^"]{0,2000}+"|'[^']{0,2000}+'|[^'"<>])*+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|template|noscript|iframe|svg|math|textarea|select|object|canvas|audio|video|title)\b{INSIDE}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({INSIDE})>|([^<]+|<)", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Fixed word lists: tags that run on within a line, that hold nothing, that close an open paragraph.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-#: An open element of the key ends where one of these begins.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: Where the key begins, the innermost open element of these ends, unless one of LISTS stands inside it.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "tbody": ("tr",), "tfoot": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTS = ("ul", "ol", "table", "dl")
 #: Fixed word lists: places of boilerplate by tag, and by words in class, id and role.
 OUTSIDE = frozenset("nav footer aside form menu button fieldset dialog".split())
 NOISE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer foot header masthead cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login comment comments reply replies disqus discussion respond share sharing social related recommended recommend toolbar pagination pager copyright legal disclaimer skip search complementary contentinfo".split())
 CORE = frozenset("article main".split())
-#: The classifier's weights, in the order of ``facts``, and its bias.
-WEIGHTS = {"core": 3.0, "outside": -8.0, "noise": -8.0, "head_tag": -2.0, "links": -3.0, "long": 2.2, "very_long": 1.0, "short": -0.7, "heading": 1.0, "sentence": 0.5}
-BIAS = -0.6
+#: Fixed word lists: elements whose names say nothing of what they hold; words that inside an article name its heading; prefixes of names that tell what a page has elsewhere.
+WHOLE = frozenset("html body main article".split())
+HEADING_WORDS = frozenset("header head masthead".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ABOUT = re.compile(r"^(?:has|with|no|is|not|hide|without)[-_]")
+#: The classifier's weights for a block's place, and those for the block itself before any fit.
+PLACE = {"core": 3.0, "outside": -8.0, "noise": -8.0, "head_tag": -2.0}
+WEIGHTS = {"bias": -0.6, "links": -3.0, "long": 2.2, "very_long": 1.0, "short": -0.7, "heading": 1.0, "sentence": 0.5}
+#: Pages from which the classifier is fitted, at most; blocks of either label that it needs; how firmly it keeps to WEIGHTS.
+SAMPLE, LEAST, FIRM = 2000, 200, 40.0
 #: Smoothness: of neighbours under the same parent, less for each step between their parents; and of the next but one.
 TIE, FADE, SECOND = 0.9, 0.5, 0.3
+#: Steps beyond which neighbours count as untied.
+FAR = 40
+
+
+class Element:
+    """An open element; ``noise``: the nearest element up to here whose names tell of boilerplate (unless that holds an article)."""
+
+    __slots__ = ("tag", "parent", "block", "depth", "core", "outside", "header", "head", "named", "noise", "dead")
+
+    def __init__(self, tag: str, parent: Element | None, named: bool):
+        self.tag, self.parent, self.named, self.dead = tag, parent, named, False
+        inline = tag in INLINE
+        #: the innermost element that is no inline one
+        self.block = self if not inline else parent.block if parent else None
+        self.depth = (parent.block.depth if parent and parent.block else 0) + (not inline)
+        self.core = tag in CORE or bool(parent and parent.core)
+        self.outside = tag in OUTSIDE or bool(parent and parent.outside)
+        self.header = tag == "header" or bool(parent and parent.header)
+        self.head = tag == "head" or bool(parent and parent.head)
+        self.noise = self if named else parent.noise if parent else None
 
 
 @dataclass
 class Block:
     text: str
     linked: int  # characters inside links
-    path: tuple[int, ...]  # the open block elements' numbers, outermost first
-    tags: tuple[str, ...]
-    noise: bool
+    at: Element | None  # the innermost open element
+    noise: bool = False
+
+
+def noisy(tag: str, attributes: str, core: bool) -> bool:
+    """Whether an element's names tell of boilerplate."""
+    if tag in WHOLE or "=" not in attributes:
+        return False
+    for found in NAMES.findall(attributes):
+        for name in "".join(found).lower().split():
+            if not ABOUT.match(name):
+                words = NOISE.intersection(re.split(r"[^a-z]+", name))
+                if words - HEADING_WORDS if core else words:
+                    return True
+    return False
 
 
 def blocks(page: str) -> list[Block]:
-    """Runs of text between block elements, with where they stand."""
+    """Runs of text between block elements, with where they stand. Takes time in proportion to the page."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number, noise by its names
+    stack: list[Element] = []
+    places: dict[str, list[int]] = {}  # where in the stack each tag's open elements are
+    outer: list[int] = []  # where those that are not inline are
     parts: list[str] = []
-    numbered = linked = links = 0
+    linked = links = 0
+    last = lambda tag: held[-1] if (held := places.get(tag)) else -1
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                outer = [e for e in stack if e[0] not in INLINE]
-                out.append(Block(text, linked, tuple(e[1] for e in outer), tuple(e[0] for e in outer), any(e[2] for e in stack)))
+                out.append(Block(text, linked, stack[-1] if stack else None))
         parts, linked = [], 0
 
     def close(at: int) -> None:
+        """Ends the elements from this place on, and ended inline ones that then lie on top."""
         nonlocal links
-        links -= sum(e[0] == "a" for e in stack[at:])
-        del stack[at:]
+        while len(stack) > at or (stack and stack[-1].dead):
+            e = stack.pop()
+            if not e.dead:
+                places[e.tag].pop()
+                links -= e.tag == "a"
+            if outer and outer[-1] == len(stack):
+                outer.pop()
 
     for m in TOKEN.finditer(page):
         if (text := m[5]) is not None:
@@ -88,68 +148,119 @@ def blocks(page: str) -> list[Block]:
         tag = m[3].lower()
         inline = tag in INLINE
         if m[2]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            at = last(tag)
             if not inline:
                 flush()
-            # an inline end tag does not reach beyond the block that it stands in
-            if at >= 0 and not (inline and any(e[0] not in INLINE for e in stack[at + 1 :])):
-                if inline:
-                    links -= tag == "a"
-                    del stack[at]
-                else:
+                if at >= 0:
                     close(at)
+            # an inline end tag does not reach beyond the block that it stands in
+            elif at >= 0 and not (outer and outer[-1] > at):
+                stack[at].dead = True
+                places[tag].pop()
+                links -= tag == "a"
+                close(len(stack))
             continue
         if not inline:
             flush()
-            if tag in CLOSES_P:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), -1)
-                if at >= 0 and stack[at][0] == "p":
-                    close(at)
-            if (enders := [i for i in range(len(stack)) if tag in ENDS.get(stack[i][0], ())]) and not any(e[0] in ("ul", "ol", "table", "dl") for e in stack[enders[-1] + 1 :]):
-                close(enders[-1])
+            if tag in CLOSES_P and outer and stack[outer[-1]].tag == "p":
+                close(outer[-1])
+            ends = max(map(last, ENDS.get(tag, ())), default=-1)
+            if ends >= 0 and ends > max(map(last, LISTS)):
+                close(ends)
         elif tag in ("br", "wbr", "img"):
             parts.append(" " if tag == "br" else "")
         if tag not in VOID and not m[4].endswith("/"):
-            numbered += 1
-            names = NAMES.findall(m[4]) if "=" in m[4] else ()
-            noise = any(w in NOISE for found in names for w in re.split(r"[^a-z]+", "".join(found).lower()))
-            stack.append((tag, numbered, noise))
+            parent = stack[-1] if stack else None
+            e = Element(tag, parent, noisy(tag, m[4], bool(parent and parent.core)))
+            if tag in CORE:
+                # what holds an article is no boilerplate as a whole
+                while e.noise is not None:
+                    e.noise.named = False
+                    e.noise = e.noise.parent.noise if e.noise.parent else None
+            places.setdefault(tag, []).append(len(stack))
+            if not inline:
+                outer.append(len(stack))
+            stack.append(e)
             links += tag == "a"
     flush()
+    for b in out:
+        b.noise = named(b.at)
     return out
 
 
+def named(e: Element | None) -> bool:
+    """Whether an element around is told as boilerplate by its names; those found not to be are passed over for good."""
+    passed = []
+    while e is not None and e.noise is not None and not e.noise.named:
+        passed.append(e)
+        e = e.noise.parent
+    found = e.noise if e is not None else None
+    for x in passed:
+        x.noise = found
+    return found is not None
+
+
+def place(b: Block) -> dict[str, bool]:
+    e = b.at
+    if e is None:
+        return dict.fromkeys(PLACE, False)
+    return {"core": e.core, "outside": e.outside or (e.header and not e.core), "noise": b.noise, "head_tag": e.head or (e.header and e.core)}
+
+
 def facts(b: Block) -> dict[str, float]:
     words = b.text.count(" ") + 1
-    core = any(t in CORE for t in b.tags)
     return {
-        "core": core,
-        "outside": any(t in OUTSIDE for t in b.tags) or ("header" in b.tags and not core),
-        "noise": b.noise,
-        "head_tag": "head" in b.tags or ("header" in b.tags and core),
+        "bias": 1.0,
         "links": min(1.0, b.linked / max(1, len(b.text))),
         "long": words >= 12,
         "very_long": words >= 40,
         "short": words < 5,
-        "heading": bool(b.tags) and b.tags[-1] in ("h1", "h2", "h3", "h4", "h5", "h6"),
+        "heading": b.at is not None and b.at.block is not None and b.at.block.tag in HEADINGS,
         "sentence": b.text[-1] in ".!?…。\"”»",
     }
 
 
-def leaning(b: Block) -> float:
+def leaning(b: Block, weights: dict[str, float] = WEIGHTS) -> float:
     """Above 0: rather content. The costs of the two labels differ by this much."""
-    return BIAS + sum(WEIGHTS[k] * float(v) for k, v in facts(b).items())
+    return sum(PLACE[k] * v for k, v in place(b).items()) + sum(weights[k] * float(v) for k, v in facts(b).items())
+
+
+def fitted(seen: dict[tuple, tuple[float, float]]) -> dict[str, float]:
+    """Weights from how many blocks with these facts (in the order of WEIGHTS) were content and boilerplate; WEIGHTS where either are too few."""
+    first = np.array([*WEIGHTS.values()])
+    content, other = np.array([[*v] for v in seen.values()], float).reshape(-1, 2).T
+    if content.sum() < LEAST or other.sum() < LEAST:
+        return dict(WEIGHTS)
+    x, w = np.array([*seen], float), first.copy()
+    # both labels weigh the same, LEAST blocks each
+    content, other = content * LEAST / content.sum(), other * LEAST / other.sum()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (content - (content + other) * p) - FIRM * (w - first)
+        curve = (x.T * ((content + other) * p * (1 - p))) @ x + FIRM * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return dict(zip(WEIGHTS, w.tolist(), strict=True))
 
 
 def smoothness(a: Block, b: Block) -> float:
     """How strongly two neighbours are tied: by the steps from both parents to the common ancestor."""
-    x, y = a.path[:-1], b.path[:-1]
-    common = 0
-    for p, q in zip(x, y, strict=False):
-        if p != q:
-            break
-        common += 1
-    return TIE * FADE ** (len(x) + len(y) - 2 * common)
+    x, y = (e.at.block.parent.block if e.at and e.at.block and e.at.block.parent else None for e in (a, b))
+    steps = 0
+    while x is not y and steps <= FAR:
+        if y is None or (x is not None and x.depth >= y.depth):
+            x = x.parent.block if x.parent else None
+        else:
+            y = y.parent.block if y.parent else None
+        steps += 1
+    return TIE * FADE**steps if steps <= FAR else 0.0
+
+
+def siblings(a: Block, b: Block) -> bool:
+    x, y = (e.at.block.parent.block if e.at and e.at.block and e.at.block.parent else None for e in (a, b))
+    return x is y
 
 
 def min_cut(lean: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -217,24 +328,48 @@ def min_cut(lean: list[float], ties: list[tuple[int, int, float]]) -> list[bool]
                 break
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, weights: dict[str, float] = WEIGHTS) -> str:
     """The content blocks, a line each."""
     found = blocks(page)
     if not found:
         return ""
-    lean = [leaning(b) for b in found]
+    lean = [leaning(b, weights) for b in found]
     ties = [(i, i + 1, smoothness(found[i], found[i + 1])) for i in range(len(found) - 1)]
-    ties += [(i, i + 2, SECOND) for i in range(len(found) - 2) if found[i].path[:-1] == found[i + 2].path[:-1]]
+    ties += [(i, i + 2, SECOND) for i in range(len(found) - 2) if siblings(found[i], found[i + 2])]
     return "\n".join(b.text for b, kept in zip(found, min_cut(lean, ties), strict=True) if kept)
 
 
+def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> dict[str, float]:
+    """The classifier's weights for these pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, list[int]] = {}
+        for batch in slices(batches, "page_html"):
+            for page in batch.column("page_html").to_pylist():
+                for b in blocks(page):
+                    where = place(b)
+                    if where["head_tag"]:
+                        continue
+                    boilerplate = where["outside"] or where["noise"]
+                    if where["core"] or boilerplate:
+                        values = facts(b)
+                        key = (*(float(values[k]) if k != "links" else round(values[k] * 4) / 4 for k in WEIGHTS),)
+                        seen.setdefault(key, [0, 0])[boilerplate] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([[*k] for k in seen], pa.list_(pa.float64())), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], ["facts", "content", "other"])
+
+    drawn = pages.select(pages[html_col].alias("page_html")).where("page_html is not null").withColumn("h", F.xxhash64("page_html")).orderBy("h").limit(sample)
+    got = drawn.select("page_html").mapInArrow(run, "facts array<double>, content long, other long").groupBy("facts").agg(F.sum("content").alias("content"), F.sum("other").alias("other"))
+    return fitted({tuple(r.facts): (r.content, r.other) for r in got.orderBy("facts").collect()})  # at most 5 * 2 ** 5 rows
+
+
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns named in ``keep``, text and n_chars: a row for each page; no shuffle."""
+    """The columns named in ``keep``, text and n_chars: a row for each page; only the sample for the classifier is shuffled."""
+    weights = fit(pages, html_col)
     chosen = pages.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(pages[html_col], F.lit("")).alias("page_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "page_html"):
-            texts = [main_text(p) for p in batch.column("page_html").to_pylist()]
+            texts = [main_text(p, weights) for p in batch.column("page_html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], [*keep, "text", "n_chars"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema][:-1]

@@ -1,8 +1,10 @@
 """Extraction on hand-made pages, and the minimum cut against all labellings."""
 
+import time
 from itertools import product
 
 import numpy as np
+import pytest
 
 from graphsieve.llm import html_cut as hc
 
@@ -46,6 +48,42 @@ def test_odd_input():
     assert len(hc.main_text("<article>" + f"<p>{LONG}</p>" * 500).split("\n")) == 500
 
 
+def test_names_of_wrappers_and_headings_do_not_hide_the_article():
+    want = f"Title\n{LONG}"
+    body = f"<article><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p><div class='ad'><p>{LONG}</p></div></article>"
+    assert hc.main_text(f"<body class='home has-sidebar'>{body}") == want
+    assert hc.main_text(f"<html><body id=page role='banner menu'><div class='sidebar-layout navigation'>{body}</div><div class='sidebar'><p>{LONG}</p></div>") == want
+    assert hc.main_text(f"<div class='with-sidebar'><p>{LONG}</p><p>{LONG}</p></div>") == f"{LONG}\n{LONG}"
+    assert hc.main_text(f"<div class='page-comments'><p>{LONG}</p></div>{body}") == want
+    assert hc.main_text(f"<article><h1>Title</h1><p>{LONG}</p><section class='comments'><article><p>{LONG}</p></article></section>").startswith("Title")
+
+
+@pytest.mark.parametrize("page", [
+    lambda n: "<div>" * n + f"<article><p>{LONG}</p></article>",
+    lambda n: "".join(f"<div>text {i}" for i in range(n)) + f"<article><p>{LONG}",
+    lambda n: "<b>" * n + f"<p>{LONG}" + "</i>" * n,
+    lambda n: "<a title=\"x <a title='y " * n + f"<article><p>{LONG}</p></article>",
+    lambda n: "<a title=\"" + "<a x=1 " * n + f"><article><p>{LONG}</p></article>",
+    lambda n: f"<article><p>{LONG}</p></article>" + "<ul><li><p>" * n,
+    lambda n: "<article>" + f"<p>{LONG}</p><p>Short.</p>" * n,
+    lambda n: "".join(f"<p>{LONG}</p><div class=ad>{LONG}</div>" for i in range(n)),
+])
+def test_time_grows_with_the_page(page):
+    took = []
+    for n in (2000, 8000):
+        began = time.process_time()
+        hc.main_text(page(n))
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * max(took[0], 0.05) and took[1] < 8
+
+
+def test_classifier_is_fitted_and_kept_near_its_start():
+    assert hc.fitted({}) == hc.WEIGHTS and hc.fitted({(1, 0, 1, 1, 0, 0, 1): (10, 0)}) == hc.WEIGHTS
+    key = lambda **k: tuple(float({"bias": 1, **k}.get(x, 0)) for x in hc.WEIGHTS)
+    got = hc.fitted({key(long=1, very_long=1, sentence=1): (900, 30), key(links=1, short=1): (5, 700), key(short=1, sentence=1): (300, 20), key(heading=1): (100, 2)})
+    assert got["links"] < -2 and got["long"] > 1 and got["heading"] > hc.WEIGHTS["heading"] and got["sentence"] > hc.WEIGHTS["sentence"]
+
+
 def test_frames(spark):
     rows = [(1, "u", f"<article><p>{LONG}</p></article>"), (2, None, None), (3, "u", ""), (None, "u", f"<article><p>{LONG}</p></article>")]
     pages = spark.createDataFrame([(*r, "clash", 7) for r in [*rows, rows[0]]], SCHEMA)
