@@ -39,7 +39,7 @@ from graphsieve.llm.common import slices, texts, written
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 TREES, MAX_DEPTH = 10, 6
 #: Most nodes of a block, about, and most shingles.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
 #: Steps of estimated similarity, of the whole, in which candidates are counted.
 STEPS = TREES * MAX_DEPTH
 _rng = np.random.default_rng(20240)
@@ -110,14 +110,13 @@ def signatures(docs: DataFrame, n_words: int) -> DataFrame:
 def units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Runs of rows with the same depth, tree, key, i and j; the rows come sorted by these."""
     held, last = [], None
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = row["depth"], row["tree"], row["key"], row["i"], row["j"]
-            if key != last and held:
-                yield held
-                held = []
-            last = key
-            held.append(row)
+    for row in (row for batch in batches for at in range(0, batch.num_rows, 128) for row in batch.slice(at, 128).to_pylist()):
+        key = row["depth"], row["tree"], row["key"], row["i"], row["j"]
+        if key != last and held:
+            yield held
+            held = []
+        last = key
+        held.append(row)
     if held:
         yield held
 
