@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from graphsieve import catalog
 from graphsieve.functions.stats import histogram, ks_statistic, long_form, min_max, norm, ordinal_rank, percentile_rank
 from graphsieve.graph import Graph, label_propagation
-from graphsieve.operators import detectors, evaluate, explore, fusion, neural
+from graphsieve.operators import detectors, evaluate, explore, fusion, neural, study
 from graphsieve.sources.tables import embedding_nodes, keep, part_graph, table, user_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,9 +114,9 @@ def clique_density(spark, d):
     return rounded(detectors.clique_density(parts(spark, d)))
 
 
-@query(base(1) + " SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT src FROM edges)")
+@query(base(2) + " SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT src FROM edges)")
 def isolated_nodes(spark, d):
-    g = parts(spark, d, 1)
+    g = parts(spark, d)
     return g.nodes.select("node_id").join(g.edges.select(F.col("src").alias("node_id")), "node_id", "left_anti")
 
 
@@ -229,7 +229,18 @@ def user_pairs(spark, d):
     return user_graph(spark, d).undirected
 
 
-@query()
+@query("""
+WITH k AS (SELECT CAST(floor(epoch(ts) / 600) AS BIGINT) AS slot, user_id, event_type FROM events), s AS (SELECT DISTINCT * FROM k),
+pairs AS (SELECT DISTINCT x.user_id AS a, y.user_id AS b FROM s x JOIN s y ON x.event_type = y.event_type AND x.slot = y.slot AND x.user_id < y.user_id),
+edges AS (SELECT a AS src, b AS dst FROM pairs UNION ALL SELECT b, a FROM pairs),
+u AS (SELECT user_id AS node_id, coalesce(avg(value), 0)::DOUBLE AS m, coalesce(max(value), 0)::DOUBLE AS x FROM events GROUP BY 1),
+c AS (SELECT node_id, t.event_type, count(e.event_id)::DOUBLE AS n FROM u CROSS JOIN (SELECT DISTINCT event_type FROM events) t LEFT JOIN events e ON e.user_id = node_id AND e.event_type = t.event_type GROUP BY 1, 2),
+nodes AS (SELECT node_id, list_concat(list(n ORDER BY event_type), [any_value(m), any_value(x)]) AS f FROM c JOIN u USING (node_id) GROUP BY 1),
+feat AS (SELECT node_id, unnest(range(len(f))) AS dim, unnest(f) AS v FROM nodes)""" + NEAR + """,
+d AS (SELECT x.node_id, y.node_id AS other, sqrt(list_sum(list_transform(list_zip(x.f, y.f), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM nodes x, nodes y),
+attr AS (SELECT node_id, avg(d) AS attr FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY d, other) AS place FROM d) WHERE place <= least(10, (SELECT count(*) - 1 FROM nodes)) GROUP BY 1),
+both_ AS (SELECT node_id, attr, coalesce(distance, avg(CASE WHEN distance IS NULL THEN attr END) OVER ()) AS struct FROM attr LEFT JOIN far USING (node_id)),
+raw AS (SELECT node_id, abs(row_number() OVER (ORDER BY attr, node_id) - row_number() OVER (ORDER BY struct, node_id))::DOUBLE AS score FROM both_) """ + SCALED)
 def attr_struct_mismatch(spark, d):
     return rounded(detectors.attr_struct_mismatch(user_graph(spark, d)))
 
@@ -419,11 +430,90 @@ def select_prune(spark, d):
     return rounded(fusion.prune(part_scores(spark, d)))
 
 
-@query(base(2) + " SELECT paradigm, node_id, round(score - (slope * degree + b), 6) + 0.0 AS residual FROM scores JOIN deg USING (node_id) JOIN (SELECT paradigm, regr_slope(score, degree) AS slope, regr_intercept(score, degree) AS b FROM scores JOIN deg USING (node_id) GROUP BY 1) USING (paradigm)")
-def mechanism_residual(spark, d):
-    rows = part_scores(spark, d).join(parts(spark, d).degrees, "node_id").withColumn("degree", F.col("degree").cast("double"))
-    fit = rows.groupBy("paradigm").agg(F.regr_slope("score", "degree").alias("slope"), F.regr_intercept("score", "degree").alias("b"))
-    return rounded(rows.join(fit, "paradigm").select("paradigm", "node_id", (F.col("score") - (F.col("slope") * F.col("degree") + F.col("b"))).alias("residual")))
+#: Average rank of a column within groups, from 1.
+AVERAGE = "rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0"
+
+
+def agreement(scores: str, tag: str) -> str:
+    """CTEs that end in ``agree_{tag}``: the rank correlation of mean score and median percentile rank."""
+    return f""",
+r_{tag} AS (SELECT *, ({AVERAGE.format(by="paradigm", x="score")}) / count(*) OVER (PARTITION BY paradigm) AS r FROM {scores}),
+m_{tag} AS (SELECT node_id, 1 AS one, avg(score) AS m, quantile_cont(r, 0.5) AS c FROM r_{tag} GROUP BY 1),
+k_{tag} AS (SELECT {AVERAGE.format(by="one", x="m")} AS a, {AVERAGE.format(by="one", x="c")} AS b FROM m_{tag}),
+agree_{tag} AS (SELECT corr(a, b) AS v FROM k_{tag})"""
+
+
+@query(base(2) + f""",
+pairs_d AS (SELECT paradigm, node_id, score, degree::DOUBLE AS degree FROM scores JOIN deg USING (node_id)),
+rk AS (SELECT paradigm, {AVERAGE.format(by="paradigm", x="score")} AS rs, {AVERAGE.format(by="paradigm", x="degree")} AS rd FROM pairs_d),
+dr AS (SELECT paradigm, corr(rs, rd) AS rho FROM rk GROUP BY 1),
+fit AS (SELECT paradigm, regr_slope(score, degree) AS slope, regr_intercept(score, degree) AS b FROM pairs_d GROUP BY 1),
+rest AS (SELECT paradigm, node_id, score - slope * degree - b AS score FROM pairs_d JOIN fit USING (paradigm))""" + agreement("scores", "raw") + agreement("rest", "rest") + """
+SELECT 'consistency' AS measure, round(abs(sum(CASE WHEN abs(rho) > 0.1 THEN sign(rho) ELSE 0 END)) / count(*), 6) + 0.0 AS value FROM dr
+UNION ALL SELECT 'degree_rho:' || paradigm, round(rho, 6) + 0.0 FROM dr
+UNION ALL SELECT 'raw', round(v, 6) + 0.0 FROM agree_raw
+UNION ALL SELECT 'residual', round(v, 6) + 0.0 FROM agree_rest""")
+def mechanism_test(spark, d):
+    found = fusion.mechanism_test(part_scores(spark, d), parts(spark, d).degrees)
+    rows = [(k, float(found[k])) for k in ("consistency", "raw", "residual")] + [(f"degree_rho:{p}", float(v)) for p, v in found["degree_rho"].items()]
+    return rounded(spark.createDataFrame(rows, "measure string, value double"))
+
+
+#: r: the ordinal rank as a share from 0 to 1.
+SHARE = ", shares AS (SELECT *, (row_number() OVER (PARTITION BY paradigm ORDER BY score, node_id) - 1)::DOUBLE / greatest(count(*) OVER (PARTITION BY paradigm) - 1, 1) AS r FROM scores)"
+
+
+@query(base(1) + f""",
+tail AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paradigm ORDER BY r DESC, node_id DESC) AS place, count(*) OVER (PARTITION BY paradigm) AS n FROM ranked) WHERE place <= n - floor(n * 9 / 10)),
+tp AS (SELECT t.paradigm AS a, o.paradigm AS b, t.paradigm || o.paradigm AS ab, t.r AS ra, o.r AS rb FROM tail t JOIN ranked o ON t.node_id = o.node_id AND t.paradigm < o.paradigm),
+tr AS (SELECT a, b, {AVERAGE.format(by="ab", x="ra")} AS ra, {AVERAGE.format(by="ab", x="rb")} AS rb FROM tp)
+SELECT a, b, round(coalesce(corr(ra, rb), 0), 6) + 0.0 AS rho FROM tr GROUP BY 1, 2""")
+def tail_agreement(spark, d):
+    return rounded(study.tail_agreement(part_scores(spark, d)))
+
+
+@query(base(1) + ", x AS (SELECT a.paradigm AS p, b.paradigm AS q, corr(a.r, b.r) AS rho FROM ranked a JOIN ranked b ON a.node_id = b.node_id AND a.paradigm < b.paradigm GROUP BY 1, 2) SELECT round(avg(abs(rho)), 6) AS reliability FROM x")
+def consensus_reliability(spark, d):
+    return rounded(study.consensus_reliability(part_scores(spark, d)))
+
+
+@query(base(1) + ", c AS (SELECT paradigm, quantile_cont(score, 0.9) AS p90 FROM scores GROUP BY 1) SELECT paradigm, round((avg(score) FILTER (score > p90) - avg(score) FILTER (score <= p90)) / (stddev_pop(score) FILTER (score <= p90) + 1e-9), 6) AS separation FROM scores JOIN c USING (paradigm) GROUP BY 1")
+def probe_tail_separation(spark, d):
+    return rounded(study.probe_tail_separation(part_scores(spark, d)))
+
+
+@query(base(1) + " SELECT paradigm, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.9), 6) AS p90, round(quantile_cont(score, 0.95), 6) AS p95, round(quantile_cont(score, 0.99), 6) AS p99 FROM scores GROUP BY 1")
+def landmarkers(spark, d):
+    return rounded(study.landmarkers(part_scores(spark, d)))
+
+
+@query(base(1) + SHARE + ", t AS (SELECT node_id, sum(r) AS total, count(*) AS k FROM shares GROUP BY 1), o AS (SELECT paradigm, node_id, r, round((total - r) / (k - 1), 12) AS others FROM shares JOIN t USING (node_id)), q AS (SELECT paradigm, r, row_number() OVER (PARTITION BY paradigm ORDER BY others, node_id) AS ro FROM o) SELECT paradigm, round(corr(r, ro), 6) + 0.0 AS rho FROM q GROUP BY 1")
+def agreement_with_others(spark, d):
+    return rounded(study.agreement_with_others(part_scores(spark, d)))
+
+
+@query(base(1) + SHARE + " SELECT node_id, round(sum(r * CASE paradigm WHEN 'revenue' THEN 1.0 WHEN 'price' THEN 0.5 ELSE 0.25 END) / 1.75, 6) AS fused FROM shares WHERE paradigm IN ('revenue', 'price', 'size') GROUP BY 1")
+def fuse_order_decay(spark, d):
+    return rounded(study.by_rule("order_decay", part_scores(spark, d), ["revenue", "price", "size"], None))
+
+
+@query(base(1) + SHARE + " SELECT node_id, round(r, 6) + 0.0 AS fused FROM shares WHERE paradigm = 'quantity'")
+def fuse_lead_only(spark, d):
+    return rounded(study.by_rule("lead_only", part_scores(spark, d), ["quantity", "size"], None))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) WHERE k = 1")
+def first_decision(spark, d):
+    return study.first_of(table(spark, d, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
+
+
+@query("""WITH a AS (SELECT 'd' || (user_id % 10) AS dataset, list_sort(list_distinct(list(event_type))) AS selected, user_id FROM events GROUP BY 1, 3),
+ o AS (SELECT DISTINCT dataset, array_to_string(selected, ',') AS selection FROM a WHERE len(selected) = 1)
+ SELECT a.dataset, array_to_string(selected, ',') AS selection, user_id, CASE WHEN o.selection IS NULL THEN 'gate' ELSE 'single' END AS mode, o.selection AS view FROM a LEFT JOIN o ON a.dataset = o.dataset AND array_to_string(selected, ',') = o.selection""")
+def adjudicated_decisions(spark, d):
+    sets = table(spark, d, "events").groupBy(F.concat(F.lit("d"), (F.col("user_id") % 10).cast("string")).alias("dataset"), "user_id").agg(F.array_sort(F.collect_set("event_type")).alias("selected"))
+    answers = sets.where(F.size("selected") == 1).select("dataset", F.concat_ws(",", "selected").alias("selection"), F.lit("single").alias("mode"), F.concat_ws(",", "selected").alias("view")).distinct()
+    return study.with_adjudications(sets, answers).select("dataset", "selection", "user_id", "mode", "view")
 
 
 WIDE = ", w AS (SELECT node_id, max(r) FILTER (paradigm = 'price') AS p, max(r) FILTER (paradigm = 'quantity') AS q, max(r) FILTER (paradigm = 'revenue') AS v, max(r) FILTER (paradigm = 'size') AS s FROM ranked GROUP BY 1)"
@@ -566,7 +656,3 @@ def applicability(spark, d):
     return rounded(catalog.applicable_frame(catalog.catalog_frame(spark), profile))
 
 
-@query("SELECT * FROM (VALUES ('contrastive', 'community_size'), ('contrastive', 'detector_redundancy'), ('reconstruction', 'degree_confound'), ('reconstruction', 'reconstruction_capacity')) t(paradigm, artifact)")
-def artifacts_for_paradigm(spark, d):
-    return spark.createDataFrame([(p, a.name) for p in ("contrastive", "reconstruction") for a in catalog.artifacts_for(p)], "paradigm string, artifact string")
-

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from graphsieve import catalog
 from graphsieve.functions.stats import norm
 from graphsieve.graph import Graph
-from graphsieve.operators import detectors, evaluate, explore, fusion, neural
+from graphsieve.operators import detectors, evaluate, explore, fusion, neural, study
 from graphsieve.sources.tables import keep, load_graph, read_json, to_markdown, write_scores
 
 EVIDENCE = "id string, source_paradigm string, evidence_type string, data string, nodes array<long>, interpretation string, confidence double, ts double, related array<string>"
@@ -328,17 +328,67 @@ class Session:
         return evaluate.measure(rows, self.graph.nodes)
 
     def save(self, folder: str) -> None:
-        """Scores as Parquet, evidence and what is decided as JSON."""
+        """Scores as Parquet, in place of older ones, evidence and what is decided as JSON."""
+        names = []
         if self.scores is not None:
+            self.scores = keep(self.scores, "scores")  # it may read what is replaced
+            names = [r[0] for r in self.scores.select("paradigm").distinct().orderBy("paradigm").collect()]
             write_scores(self.scores, f"{folder}/scores", self.need().name, 0)
         if self.log.rows:
             self.log.save(self.spark, f"{folder}/evidence")
-        meta = {"name": self.need().name, "state": self.state, "profile": self.known, "mode": self.gate.mode if self.gate else None, "weights": self.weights.rows if self.weights else None, "overrides": self.weights.overrides if self.weights else [], "trace": self.log.trace}
+        weights = {"rows": self.weights.rows, "mode": self.weights.mode, "overrides": self.weights.overrides} if self.weights else None
+        meta = {"name": self.need().name, "state": self.state, "profile": self.known, "paradigms": names, "weights": weights, "gate": asdict(self.gate) if self.gate else None, "methods": self.methods, "trace": self.log.trace}
         self.spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{folder}/workspace")
 
     def resume(self, folder: str) -> None:
-        """Scores and evidence of a saved session for the graph in use."""
+        """A saved session for the graph in use: scores, evidence, trace, profile, weights with overrides, gate, fusion and methods."""
         from graphsieve.sources.tables import read_scores
 
-        self.scores = read_scores(self.spark, f"{folder}/scores", self.need().name, 0)
+        meta = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{folder}/workspace").collect()))
+        if meta["paradigms"]:
+            self.scores = keep(read_scores(self.spark, f"{folder}/scores", self.need().name, 0).where(F.col("paradigm").isin(meta["paradigms"])), "scores")
         self.log = EvidenceLog.load(self.spark, f"{folder}/evidence")
+        self.log.trace, self.state, self.known, self.methods = meta["trace"], meta["state"], meta["profile"], meta["methods"]
+        self.weights = fusion.Weights(**meta["weights"]) if meta["weights"] else None
+        self.gate = fusion.Gate(**meta["gate"]) if meta["gate"] else None
+        if self.weights and self.gate and self.scores is not None:
+            self.fused = keep(fusion.fuse(self.table(), {n: self.weights.weight(n) for n in self.weights.active()}, self.gate.mode), "fused")
+
+    def method_scores(self, paradigm: str, k: int = 20) -> dict:
+        """The ``k`` highest nodes of one paradigm, and statistics of all its scores."""
+        own = self.table().where(F.col("paradigm") == paradigm)
+        found = explore.top(own, k).orderBy("place").collect()
+        if not found:
+            raise ValueError(f"no scores of {paradigm!r}")
+        return {"paradigm": paradigm, "top": [(r["node_id"], r["score"]) for r in found], "stats": study.landmarkers(own).drop("paradigm").first().asDict()}
+
+    def score_matrix(self) -> DataFrame:
+        """node_id and a column of scores for each paradigm."""
+        return self.table().groupBy("node_id").pivot("paradigm").agg(F.first("score"))
+
+    def gaps(self) -> dict:
+        return study.diagnose_gaps(self.table())
+
+    # --- listings
+    def list_components(self, category: str | None = None) -> dict[str, list[str]]:
+        """Names of the parts of methods, by category."""
+        every = {"encoders": neural.ENCODERS, "objectives": neural.OBJECTIVES, "decoders": neural.DECODERS, "augmentations": neural.AUGMENTATIONS, "fusions": neural.FUSIONS}
+        if category is not None and category not in every:
+            raise ValueError(f"no category {category!r}")
+        return {c: sorted(names) for c, names in every.items() if category in (None, c)}
+
+    def component_info(self, category: str, name: str) -> dict:
+        """A part's category and name, and the recipes that use it."""
+        if name not in self.list_components(category)[category]:
+            raise ValueError(f"no {name!r} among {category}")
+        return {"category": category, "name": name, "recipes": sorted(r for r, spec in neural.RECIPES.items() if name in [x for v in spec.values() for x in (v if isinstance(v, (list, tuple)) else [v])])}
+
+    def all_findings(self) -> list[dict]:
+        return [asdict(e) | {"id": e.id} for e in self.log.of_kind("finding")]
+
+    def audit_trail(self, most: int = 50) -> list[dict]:
+        """The latest steps, oldest first."""
+        return sorted(self.log.trace, key=lambda t: t["ts"])[-most:]
+
+    def session_info(self) -> dict:
+        return {"state": self.state, "graph": self.graph.name if self.graph else None, "methods": sorted(self.methods), "mode": self.gate.mode if self.gate else None, "overrides": len(self.weights.overrides) if self.weights else 0} | self.log.summary()

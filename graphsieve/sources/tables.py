@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or one temporary folder for a session that has none, as in tests."""
+    """spark.checkpoint.dir, or one temporary folder for a local session that has none, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         application = spark.sparkContext.applicationId
         found = _own_folders.setdefault(application, "") or tempfile.mkdtemp(prefix="graphsieve-")
         _own_folders[application] = found
@@ -52,9 +55,15 @@ def adapt(nodes: DataFrame, edges: DataFrame, name: str = "adapted"):
     return Graph(nodes.withColumn("label", (F.coalesce("label", F.lit(0)) > 0).cast("int")) if "label" in nodes.columns else nodes, flat, name)
 
 
-def write_scores(scores: DataFrame, path: str, dataset: str, seed: int) -> None:
-    """paradigm, node_id, score as partitions by data set, seed and paradigm; what is there already stays."""
+def write_scores(scores: DataFrame, path: str, dataset: str, seed: int, replace: bool = True) -> None:
+    """paradigm, node_id, score as partitions by data set, seed and paradigm.
+
+    What is there of these paradigms is replaced (``scores`` must not read it then); without ``replace`` it stays, and only paradigms that are missing are added.
+    """
     rows = scores.withColumn("dataset", F.lit(dataset)).withColumn("seed", F.lit(seed))
+    if replace:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "seed", "paradigm").parquet(path)
+        return
     try:
         there = scores.sparkSession.read.parquet(path).select("dataset", "seed", "paradigm").distinct()
         rows = rows.join(F.broadcast(there), ["dataset", "seed", "paradigm"], "left_anti")  # a row a partition folder
@@ -82,18 +91,18 @@ def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def to_markdown(df: DataFrame, digits: int = 4, most: int = 1000) -> str:
-    """A report table; for small results."""
-    rows = df.limit(most).collect()
+def to_markdown(df: DataFrame, digits: int = 4) -> str:
+    """A report table of all rows; for small results."""
+    rows = df.collect()
     cell = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else json.dumps(v, default=str) if isinstance(v, (list, dict)) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
 
 
-def to_latex(df: DataFrame, digits: int = 4, most: int = 1000) -> str:
+def to_latex(df: DataFrame, digits: int = 4) -> str:
     """The rows of a LaTeX table body."""
     cell = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("_", r"\_")
-    return "\n".join(" & ".join(cell(v) for v in r) + r" \\" for r in df.limit(most).collect())
+    return "\n".join(" & ".join(cell(v) for v in r) + r" \\" for r in df.collect())
 
 
 def part_graph(spark: SparkSession, folder: str, least_orders: int = 1):
@@ -123,8 +132,7 @@ def user_graph(spark: SparkSession, folder: str):
     from graphsieve.graph import Graph
 
     events = table(spark, folder, "events")
-    kinds = ["click", "view", "purchase", "signup", "scroll"]
-    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(len(kinds)).collect()]
+    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # a feature for each, so few
     counts = [F.sum(F.when(F.col("event_type") == k, 1.0).otherwise(0.0)).alias(f"k{i}") for i, k in enumerate(kinds)]
     nodes = events.groupBy(F.col("user_id").alias("node_id")).agg(*counts, F.avg("value").alias("mean"), F.max("value").alias("most"))
     nodes = nodes.select("node_id", F.array(*[f"k{i}" for i in range(len(kinds))], F.coalesce("mean", F.lit(0.0)), F.coalesce("most", F.lit(0.0))).alias("features"))

@@ -31,14 +31,14 @@ def rows_of(names, rows) -> Counter:
 
 
 def difference(con, spark, folder: str, name: str) -> str:
-    """Empty if Spark and DuckDB agree (or no SQL is given and Spark runs)."""
+    """Empty if Spark and DuckDB agree; a query without SQL is a difference."""
     import __spark_entry__ as entry
 
     got = entry.queries()[name](spark, folder)
     mine = rows_of(got.columns, got.collect())
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        return "" if mine else "no rows"
+        return f"no SQL ({sum(mine.values())} rows)"
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]
     theirs = rows_of(names, cur.fetchall())
