@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,13 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and the session is local."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         at = context._jsc.sc().getCheckpointDir()
         found = at.get() if at.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="graphsieve-")
         context.setCheckpointDir(found)
     return found.rstrip("/")

@@ -6,7 +6,7 @@ capacities of edges to the two terminals. Blocks that follow each other, and blo
 parent, are tied by smoothness edges, stronger the closer they are in the DOM. Maximum flow (shortest
 augmenting paths in a level graph) finds the cheapest labelling; the source side is the content.
 
-The classifier is fitted to the pages at hand: on a sample of SAMPLE pages at most, drawn by a hash, blocks inside article and main
+The classifier is fitted to the pages at hand: on a sample of about SAMPLE different pages, drawn by a hash, blocks inside article and main
 elements are taken as content and those in places of boilerplate as such. What a block's words, links and kind say
 is fitted to these labels by logistic regression, drawn towards the weights given here, which hold where the sample has too few blocks of
 either label; what its place says is fixed, as it made the labels.
@@ -57,7 +57,7 @@ ABOUT = re.compile(r"^(?:has|with|no|is|not|hide|without)[-_]")
 #: The classifier's weights for a block's place, and those for the block itself before any fit.
 PLACE = {"core": 3.0, "outside": -8.0, "noise": -8.0, "head_tag": -2.0}
 WEIGHTS = {"bias": -0.6, "links": -3.0, "long": 2.2, "very_long": 1.0, "short": -0.7, "heading": 1.0, "sentence": 0.5}
-#: Pages from which the classifier is fitted, at most; blocks of either label that it needs; how firmly it keeps to WEIGHTS.
+#: Pages from which the classifier is fitted, about; blocks of either label that it needs; how firmly it keeps to WEIGHTS.
 SAMPLE, LEAST, FIRM = 2000, 200, 40.0
 #: Smoothness: of neighbours under the same parent, less for each step between their parents; and of the next but one.
 TIE, FADE, SECOND = 0.9, 0.5, 0.3
@@ -357,8 +357,12 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> dict[
                         seen.setdefault(key, [0, 0])[boilerplate] += 1
         yield pa.RecordBatch.from_arrays([pa.array([[*k] for k in seen], pa.list_(pa.float64())), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], ["facts", "content", "other"])
 
-    drawn = pages.select(pages[html_col].alias("page_html")).where("page_html is not null").withColumn("h", F.xxhash64("page_html")).orderBy("h").limit(sample)
-    got = drawn.select("page_html").mapInArrow(run, "facts array<double>, content long, other long").groupBy("facts").agg(F.sum("content").alias("content"), F.sum("other").alias("other"))
+    chosen = pages.select(pages[html_col].alias("page_html"))
+    scale = 1 << 30
+    share = int(min(1, sample / max(1, chosen.count())) * scale)
+    # about ``sample`` pages, as a hash deals them: copies all together or not at all, once
+    drawn = chosen.where("page_html is not null").where(F.pmod(F.xxhash64("page_html"), F.lit(scale)) < share).distinct()
+    got = drawn.mapInArrow(run, "facts array<double>, content long, other long").groupBy("facts").agg(F.sum("content").alias("content"), F.sum("other").alias("other"))
     return fitted({tuple(r.facts): (r.content, r.other) for r in got.orderBy("facts").collect()})  # at most 5 * 2 ** 5 rows
 
 
