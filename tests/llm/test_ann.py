@@ -46,7 +46,6 @@ def test_small_tables_are_exact(spark):
 
 def test_recall(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD", 1500)
-    monkeypatch.setattr(ann, "QUERIES", 30)
     rows = vectors(2, 5000)
     want = brute(rows)
     got = {(r.query_id, r.vec_id) for r in run(spark, rows)}
@@ -67,3 +66,13 @@ def test_footrule():
 def test_few_or_none(spark):
     assert run(spark, []) == [] and run(spark, [(50, [1.0, 2.0])]) == []
     assert [(r.query_id, r.rank, r.vec_id) for r in run(spark, [(50, [1.0, 2.0]), (51, [2.0, 4.0])])] == [(50, 1, 51)]
+
+
+def test_magnitude_does_not_tell(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((120, 4))
+    plain = [(i, v.tolist()) for i, v in enumerate(x)]
+    far = [(i, (v * 10.0 ** (300 if i % 2 else -300)).tolist()) for i, v in enumerate(x)]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [[(r.query_id, r.rank, r.vec_id) for r in ann.search(frame(rows), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()] for rows in (plain, far)]
+    assert got[0] == got[1] and len(got[0]) == 15
