@@ -70,7 +70,9 @@ WITH rows AS (SELECT n_chars::DOUBLE AS score, doc_id AS node_id, (toxic > 0)::B
 
 
 def parts(spark: SparkSession, d: str, least: int = 2) -> Graph:
-    return part_graph(spark, d, least)
+    """The graph of parts, derived once: its views read the two tables written here."""
+    g = part_graph(spark, d, least)
+    return Graph(keep(g.nodes, "nodes"), keep(g.edges, "edges"), g.name)
 
 
 def part_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +93,7 @@ def doc_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(base(1) + " SELECT a::BIGINT AS a, b::BIGINT AS b FROM pairs")
 def edge_build(spark, d):
-    return parts(spark, d, 1).undirected
+    return part_graph(spark, d, 1).undirected
 
 
 @query(base(1) + " SELECT min(degree)::BIGINT AS min_degree, max(degree)::BIGINT AS max_degree, round(avg(degree), 6) AS mean_degree, round(quantile_cont(degree, 0.5), 6) AS median_degree, round(stddev_pop(degree), 6) AS std_degree, round(quantile_cont(degree, 0.9), 6) AS p90, round(quantile_cont(degree, 0.95), 6) AS p95, round(quantile_cont(degree, 0.99), 6) AS p99 FROM deg")
