@@ -1,7 +1,7 @@
 """Column and frame primitives: ranks, correlations, histograms, vector expressions.
 
-Ranks and histograms are windows and aggregations; vector expressions are higher-order functions, so everything
-here stays in the JVM. Grouped forms take the grouping columns, and one shuffle by them serves all.
+Ranks and quantiles come from counts by value and running sums, so no task orders a whole group; vector expressions are
+higher-order functions, so everything here stays in the JVM. Grouped forms take the grouping columns.
 """
 
 from __future__ import annotations
@@ -11,29 +11,80 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphsieve.sources.tables import keep
+
 #: Standard deviations below this count as none.
 FLAT = 1e-10
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank from 1, ties sharing the mean of their places."""
-    ordered = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(ordered) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+def run_of(value: str | Column) -> Column:
+    """A whole number that never falls as ``value`` grows: 256 to an octave on either side of zero, nulls first and NaN last, as they sort."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    octave = F.greatest(F.lit(-1100.0), F.least(F.lit(1100.0), F.log2(F.abs(v))))  # doubles span 2098 octaves
+    size = (F.floor(octave * 256) + 300_000).cast("long")
+    return F.when(v.isNull(), -1_000_000).when(F.isnan(v), 1_000_000).when(v == 0, 0).when(v < 0, -size).otherwise(size)
+
+
+def starts(df: DataFrame, value: str, by: list[str], then: list[Column] | None = None) -> DataFrame:
+    """How many rows of a group come before those that share a value: _k0.. (``by``), _v, _t0.. (``then``), _below, _same, _total.
+
+    Rows are counted by value first, so ties are one row however many they are. Values are dealt into runs (``run_of``); running
+    sums go over a run's distinct values, and over the runs of a group, which are a million at most. So no group is one task.
+    """
+    keys, ties = [f"_k{i}" for i in range(len(by))], [f"_t{i}" for i in range(len(then or []))]
+    counts = df.groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(value).alias("_v"), *[t.alias(n) for t, n in zip(then or [], ties, strict=True)]).agg(F.count("*").alias("_same"))
+    counts = keep(counts.withColumn("_run", run_of("_v")), "counts")  # read twice here, and ranks follow ranks: plans would double each time
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*keys, "_run").agg(F.sum("_same").alias("_n"))
+    runs = sums.select(*[F.col(k).alias(f"_r{k}") for k in keys], F.col("_run").alias("_r_run"), F.coalesce(F.sum("_n").over(before(Window.partitionBy(*keys).orderBy("_run"))), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
+    inside = F.coalesce(F.sum("_same").over(before(Window.partitionBy(*keys, "_run").orderBy("_v", *ties))), F.lit(0))
+    same_run = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys] + [F.col("_run") == F.col("_r_run")]
+    return counts.withColumn("_inside", inside).join(runs, same_run).select(*keys, "_v", *ties, (F.col("_before") + F.col("_inside")).alias("_below"), "_same", "_total")
+
+
+def placed(df: DataFrame, value: str, by: list[str], out: dict[str, Column], then: list[Column] | None = None) -> DataFrame:
+    """``df`` with columns worked out from ``starts``: _below, _same, _total. Its rows are read twice, so they must be the same both times."""
+    found = starts(df, value, by, then)
+    alike = [F.col(f"_k{i}").eqNullSafe(F.col(b)) for i, b in enumerate(by)] + [F.col("_v").eqNullSafe(F.col(value))]
+    alike += [F.col(f"_t{i}").eqNullSafe(t) for i, t in enumerate(then or [])]
+    return df.join(found, alike).select(*[F.col(f"`{c}`") for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()])
+
+
+def average_rank(df: DataFrame, name: str, value: str, by: list[str]) -> DataFrame:
+    """``name``: the rank from 1, ties sharing the mean of their places."""
+    return placed(df, value, by, {name: F.col("_below") + 1 + (F.col("_same") - 1) / 2})
 
 
-def percentile_rank(value: str, by: list[str]) -> Column:
-    """Average rank over the number of rows: above 0, at most 1."""
-    return average_rank(value, by) / F.count("*").over(Window.partitionBy(*by))
+def percentile_rank(df: DataFrame, name: str, value: str, by: list[str]) -> DataFrame:
+    """``name``: the average rank over the number of rows: above 0, at most 1."""
+    return placed(df, value, by, {name: (F.col("_below") + 1 + (F.col("_same") - 1) / 2) / F.col("_total")})
 
 
-def ordinal_rank(value: str, by: list[str], tie: str = "node_id") -> Column:
-    """Place from 0; ties go by ``tie``."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(value, tie)) - 1
+def ordinal_rank(df: DataFrame, name: str, value: str, by: list[str], tie: str = "node_id", share: bool = False) -> DataFrame:
+    """``name``: the place from 0, or as a share of the last place; ties go by ``tie``. Many ties are dealt into runs of ``tie`` too."""
+    run = run_of(tie)
+    among = F.row_number().over(Window.partitionBy(*[f"_k{i}" for i in range(len(by))], "_v", "_t0").orderBy(tie))
+    place = F.col("_below") + among - 1
+    return placed(df, value, by, {name: place / F.greatest(F.col("_total") - 1, F.lit(1)) if share else place}, [run])
 
 
-def strict_percentile(value: str, by: list[str]) -> Column:
-    """The share of rows strictly below."""
-    return (F.rank().over(Window.partitionBy(*by).orderBy(value)) - 1) / F.count("*").over(Window.partitionBy(*by))
+def strict_percentile(df: DataFrame, name: str, value: str, by: list[str]) -> DataFrame:
+    """``name``: the share of rows strictly below."""
+    return placed(df, value, by, {name: F.col("_below") / F.col("_total")})
+
+
+def quantiles(df: DataFrame, value: str, wanted: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """by and a column for each wanted share: the exact quantile between neighbours, nulls left out. Unlike F.percentile no task holds a group's values."""
+    by = by or []
+    found = starts(df.where(F.col(value).isNotNull()), value, by)
+    low = lambda i: F.max(F.when((F.col("_below") <= i) & (i < F.col("_below") + F.col("_same")), F.col("_v")))
+    cols = []
+    for name, q in wanted.items():
+        at = F.lit(float(q)) * (F.col("_total") - 1)
+        a, b = low(F.floor(at)).cast("double"), low(F.ceil(at)).cast("double")
+        cols.append((a + (b - a) * F.max(at - F.floor(at))).alias(name))
+    keys = [f"_k{i}" for i in range(len(by))]
+    return found.groupBy(*keys).agg(*cols).select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], *wanted)
 
 
 def safe_corr(a: str | Column, b: str | Column) -> Column:
@@ -133,13 +184,14 @@ def erf(x: Column) -> Column:
 def robust_gaussian_scale(df: DataFrame, value: str = "score", by: list[str] | None = None) -> DataFrame:
     """``value`` as the normal distribution's share below it, with median and 1.4826 times the median deviation; percentile ranks where that is flat."""
     by = by or []
-    middle = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("_m"))
+    middle = quantiles(df, value, {"_m": 0.5}, by)
     with_m = df.join(middle, by) if by else df.crossJoin(F.broadcast(middle))
     with_m = with_m.withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    spread = with_m.groupBy(*by).agg((1.4826 * F.percentile("_d", 0.5)).alias("_s"))
+    spread = quantiles(with_m, "_d", {"_s": 0.5}, by).withColumn("_s", 1.4826 * F.col("_s"))
     with_s = with_m.join(spread, by) if by else with_m.crossJoin(F.broadcast(spread))
     z = (F.col(value) - F.col("_m")) / (F.col("_s") * math.sqrt(2))
-    return with_s.withColumn(value, F.when(F.col("_s") < FLAT, percentile_rank(value, by)).otherwise(0.5 * (1 + erf(z)))).drop("_m", "_d", "_s")
+    ranked = percentile_rank(with_s, "_r", value, by)
+    return ranked.withColumn(value, F.when(F.col("_s") < FLAT, F.col("_r")).otherwise(0.5 * (1 + erf(z)))).drop("_m", "_d", "_s", "_r")
 
 
 def chi2_tail(x: float, k: int) -> float:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphsieve.functions.stats import distance, dot, long_form, min_max, norm, ordinal_rank
+from graphsieve.functions.stats import distance, dot, long_form, min_max, norm, ordinal_rank, quantiles
 from graphsieve.graph import Graph
 from graphsieve.sources.tables import keep
 
@@ -41,7 +41,7 @@ def local_affinity(graph: Graph) -> DataFrame:
 def homophily_violation(graph: Graph) -> DataFrame:
     """Distance from the neighbours' mean; isolated nodes get the others' median, or 0.5."""
     far = graph.neighbour_distance
-    middle = far.agg(F.coalesce(F.percentile("distance", 0.5), F.lit(0.5)).alias("middle"))
+    middle = quantiles(far, "distance", {"middle": 0.5}).select(F.coalesce("middle", F.lit(0.5)).alias("middle"))
     rows = graph.nodes.select("node_id").join(far, "node_id", "left").crossJoin(F.broadcast(middle))  # one row
     return min_max(rows.select("node_id", F.coalesce("distance", "middle").alias("score")))
 
@@ -145,16 +145,17 @@ def peripheral_mismatch(graph: Graph) -> DataFrame:
     zero = F.transform("z", lambda x: F.lit(0.0))
     apart = z.join(mean, "node_id", "left").select("node_id", distance("z", F.coalesce("mean", zero)).alias("apart"))
     rows = graph.triangles.join(svd_residual(graph), "node_id").join(apart, "node_id").withColumn("few", -F.col("degree"))
-    top = F.greatest(F.count("*").over(Window.partitionBy()) - 1, F.lit(1))
-    parts = [ordinal_rank(c, []) / top for c in ("few", "residual", "apart", "clustering")]
-    return min_max(rows.select("node_id", (sum(parts[1:], parts[0]) / 4).alias("score")))
+    rows = keep(rows.select("node_id", "few", "residual", "apart", "clustering"), "peripheral")  # a sum's last bits depend on its order
+    for c in rows.columns[1:]:
+        rows = ordinal_rank(rows, c, c, [], share=True)
+    return min_max(rows.select("node_id", ((F.col("few") + F.col("residual") + F.col("apart") + F.col("clustering")) / 4).alias("score")))
 
 
 def attribute_inflation(graph: Graph) -> DataFrame:
     """Mean over the dimensions that vary of the ordinal rank's share; one shuffle by dimension, one by node."""
     long = long_form(graph.nodes)
-    varied = long.groupBy("dim").agg(F.stddev_pop("value").alias("sd"), F.count("*").alias("n")).where("sd > 1e-12")
-    ranked = long.join(varied, "dim").select("node_id", (ordinal_rank("value", ["dim"]) / F.greatest(F.col("n") - 1, F.lit(1))).alias("r"))
+    varied = long.groupBy("dim").agg(F.stddev_pop("value").alias("sd")).where("sd > 1e-12").select("dim")
+    ranked = ordinal_rank(long.join(varied, "dim"), "r", "value", ["dim"], share=True)
     return min_max(everyone(graph, ranked.groupBy("node_id").agg(F.avg("r").alias("r")), "r", F.lit(0.0)))
 
 
@@ -212,8 +213,9 @@ def attr_struct_mismatch(graph: Graph) -> DataFrame:
     near = neighbours(graph.nodes, max(1, k), with_self=True).groupBy("node_id").agg(F.avg("d").alias("attr"))
     rows = graph.nodes.select("node_id").join(near, "node_id").join(graph.neighbour_distance, "node_id", "left")
     lone = rows.agg(F.avg(F.when(F.col("distance").isNull(), F.col("attr"))).alias("lone"))
-    rows = rows.crossJoin(F.broadcast(lone)).select("node_id", "attr", F.coalesce("distance", "lone").alias("struct"))  # one row
-    return min_max(rows.select("node_id", F.abs(ordinal_rank("attr", []) - ordinal_rank("struct", [])).cast("double").alias("score")))
+    rows = keep(rows.crossJoin(F.broadcast(lone)).select("node_id", "attr", F.coalesce("distance", "lone").alias("struct")), "mismatch")  # one row; a mean's last bits depend on its order
+    rows = ordinal_rank(ordinal_rank(rows, "a", "attr", []), "s", "struct", [])
+    return min_max(rows.select("node_id", F.abs(F.col("a") - F.col("s")).cast("double").alias("score")))
 
 
 CLOSED_FORM = {f.__name__: f for f in (local_affinity, homophily_violation, density, community, spectral, attr_struct_mismatch, conformity, peripheral_mismatch, attribute_inflation, clique_density)}

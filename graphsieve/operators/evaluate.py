@@ -15,7 +15,7 @@ def labelled(scores: DataFrame, labels: DataFrame) -> DataFrame:
 
 def auroc(rows: DataFrame, by: list[str], value: str = "score") -> DataFrame:
     """by, auroc of ``value`` against y, ties counted half; null where a class is missing."""
-    ranked = rows.withColumn("_r", average_rank(value, by))
+    ranked = average_rank(rows, "_r", value, by)
     p, n = F.sum("y"), F.sum(1 - F.col("y"))
     return ranked.groupBy(*by).agg(F.when((p > 0) & (n > 0), (F.sum(F.when(F.col("y") == 1, F.col("_r"))) - p * (p + 1) / 2) / (p * n)).alias("auroc"))
 

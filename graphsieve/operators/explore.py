@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphsieve.functions.stats import FLAT, average_rank, cosine, histogram, ks_statistic, long_form, norm, percentile_rank, safe_corr, strict_percentile
+from graphsieve.functions.stats import FLAT, average_rank, cosine, histogram, ks_statistic, long_form, norm, percentile_rank, quantiles, safe_corr, strict_percentile
 from graphsieve.graph import Graph
 
 QUANTILES = [0.9, 0.95, 0.99]
@@ -119,13 +119,14 @@ def spectral_gap(graph: Graph, most: int = 3000, rounds: int = 60) -> dict:
 
 def score_stats(scores: DataFrame) -> DataFrame:
     """paradigm: mean, std, p90, p95, p99 and the rows strictly above p95 and p99."""
-    s = scores.groupBy("paradigm").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), *(F.percentile("score", q).alias(f"p{round(100 * q)}") for q in QUANTILES))
+    moments = scores.groupBy("paradigm").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+    s = moments.join(quantiles(scores, "score", {f"p{round(100 * q)}": q for q in QUANTILES}, ["paradigm"]), "paradigm")
     over = scores.join(s, "paradigm").groupBy("paradigm").agg(F.sum((F.col("score") > F.col("p95")).cast("long")).alias("above_p95"), F.sum((F.col("score") > F.col("p99")).cast("long")).alias("above_p99"))
     return s.join(over, "paradigm")
 
 
 def score_percentiles(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("paradigm").agg(*(F.percentile("score", q / 100).alias(f"p{q}") for q in (10, 25, 50, 75, 90, 95, 99)))
+    return quantiles(scores, "score", {f"p{q}": q / 100 for q in (10, 25, 50, 75, 90, 95, 99)}, ["paradigm"])
 
 
 def score_modes(scores: DataFrame, bins: int = 50) -> DataFrame:
@@ -159,7 +160,7 @@ def community_bias(scores: DataFrame, communities: DataFrame, k: int = 50) -> Da
 
 def tail(scores: DataFrame, share: float = 0.95) -> DataFrame:
     """paradigm, n_tail, mean, std, gap to five percent lower, ks and p of the tail against the rest."""
-    cut = scores.groupBy("paradigm").agg(F.percentile("score", share).alias("cut"), F.percentile("score", share - 0.05).alias("lower"))
+    cut = quantiles(scores, "score", {"cut": share, "lower": share - 0.05}, ["paradigm"])
     rows = scores.join(cut, "paradigm").withColumn("in_tail", F.col("score") > F.col("cut"))
     t = F.when(F.col("in_tail"), F.col("score"))
     s = rows.groupBy("paradigm").agg(F.count(t).alias("n_tail"), F.avg(t).alias("mean"), F.stddev_pop(t).alias("std"), F.first(F.col("cut") - F.col("lower")).alias("gap"))
@@ -224,7 +225,7 @@ def select_nodes(condition: str, graph: Graph, scores: DataFrame | None = None,
     if condition not in ("top_percentile", "high_degree", "low_degree"):
         raise ValueError(f"no condition {condition!r}")
     rows = scores.select("node_id", F.col("score").alias("value")) if condition == "top_percentile" else named_vector("degree", graph, None)
-    cut = rows.agg(F.percentile("value", (100 - threshold if low else threshold) / 100).alias("cut"))
+    cut = quantiles(rows, "value", {"cut": (100 - threshold if low else threshold) / 100})
     rows = rows.crossJoin(F.broadcast(cut))  # one row
     return rows.where(F.col("value") < F.col("cut") if low else F.col("value") > F.col("cut")).select("node_id", "value")
 
@@ -254,14 +255,14 @@ def compare_groups(scores: DataFrame, nodes: DataFrame, groups: DataFrame) -> Da
 
 def convergent(scores: DataFrame, least: int = 3, k: int = 50) -> DataFrame:
     """node_id, flags, flaggers: nodes above their paradigm's 95th percentile in ``least`` paradigms, most first."""
-    cut = scores.groupBy("paradigm").agg(F.percentile("score", 0.95).alias("p95"))
+    cut = quantiles(scores, "score", {"p95": 0.95}, ["paradigm"])
     hits = scores.join(cut, "paradigm").where("score > p95")
     return hits.groupBy("node_id").agg(F.count("*").alias("flags"), F.concat_ws(",", F.array_sort(F.collect_set("paradigm"))).alias("flaggers")).where(F.col("flags") >= least).orderBy(F.desc("flags"), "node_id").limit(k)
 
 
 def node_view(scores: DataFrame, ids: DataFrame) -> DataFrame:
     """node_id, paradigm, score, percentile (strictly lower, in percent), flagged (above 90)."""
-    p = scores.withColumn("percentile", 100 * strict_percentile("score", ["paradigm"]))
+    p = strict_percentile(scores, "percentile", "score", ["paradigm"]).withColumn("percentile", 100 * F.col("percentile"))
     return p.join(ids.select("node_id").distinct(), "node_id", "left_semi").select("node_id", "paradigm", "score", "percentile", (F.col("percentile") > 90).cast("int").alias("flagged"))
 
 
@@ -289,8 +290,8 @@ def neighbourhood(graph: Graph, scores: DataFrame, node_id: int) -> dict:
 
 def rank_consensus_table(scores: DataFrame) -> DataFrame:
     """node_id and the median rank, for reports."""
-    return scores.withColumn("r", percentile_rank("score", ["paradigm"])).groupBy("node_id").agg(F.percentile("r", 0.5).alias("consensus"))
+    return percentile_rank(scores, "r", "score", ["paradigm"]).groupBy("node_id").agg(F.percentile("r", 0.5).alias("consensus"))
 
 
 def ranks(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("rank", average_rank("score", ["paradigm"]))
+    return average_rank(scores, "rank", "score", ["paradigm"])

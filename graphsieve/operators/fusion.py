@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphsieve.functions.stats import FLAT, average_rank, percentile_rank, safe_corr
+from graphsieve.functions.stats import FLAT, average_rank, percentile_rank, quantiles, safe_corr
+from graphsieve.sources.tables import keep
 
 #: Fixed names: detectors that are trusted when their precondition holds, and companions of clique_density by density.
 TRUSTED = ["conformity", "linear_residual", "peripheral_mismatch", "attribute_inflation", "clique_density"]
@@ -24,7 +25,7 @@ TRAINED = "trained:"
 
 def ranked(scores: DataFrame) -> DataFrame:
     """The scores with r, their percentile rank within the paradigm."""
-    return scores.withColumn("r", percentile_rank("score", ["paradigm"]))
+    return percentile_rank(scores, "r", "score", ["paradigm"])
 
 
 def spearman_pairs(scores: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def tail_separation(scores: DataFrame) -> DataFrame:
 
     The distribution functions of two sets on either side of a threshold are 1 apart, so that term is a constant.
     """
-    cut = scores.groupBy("paradigm").agg(F.percentile("score", 0.9).alias("p90"))
+    cut = quantiles(scores, "score", {"p90": 0.9}, ["paradigm"])
     rows = scores.join(cut, "paradigm")
     tail, body = F.when(F.col("score") > F.col("p90"), F.col("score")), F.when(F.col("score") <= F.col("p90"), F.col("score"))
     s = rows.groupBy("paradigm").agg(F.count("*").alias("n"), F.count(tail).alias("nt"), F.count(body).alias("nb"), F.avg(tail).alias("mt"), F.avg(body).alias("mb"), F.stddev_pop(tail).alias("st"), F.stddev_pop(body).alias("sb"))
@@ -59,9 +60,9 @@ def tail_separation(scores: DataFrame) -> DataFrame:
     return s.select("paradigm", F.when(fine, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).otherwise(0.0).alias("tail_separation"))
 
 
-def ued(scores: DataFrame) -> DataFrame:
-    """paradigm, ued: agreement with the other paradigms' median rank in the upper tenth, disagreement elsewhere. Alone: 0.5."""
-    r = ranked(scores)
+def ued(scores: DataFrame, r: DataFrame | None = None) -> DataFrame:
+    """paradigm, ued: agreement with the other paradigms' median rank in the upper tenth, disagreement elsewhere. Alone: 0.5. ``r``: ``ranked(scores)``, where it is stored already."""
+    r = keep(ranked(scores), "ranks") if r is None else r
     # ranks of one node: as many entries as paradigms
     every = r.groupBy("node_id").agg(F.collect_list(F.struct("paradigm", "r")).alias("all"))
     joined = r.join(every, "node_id").withColumn("rest", F.array_sort(F.transform(F.filter("all", lambda e: e["paradigm"] != F.col("paradigm")), lambda e: e["r"])))
@@ -69,10 +70,10 @@ def ued(scores: DataFrame) -> DataFrame:
     half = F.floor(k / 2).cast("int")
     at = lambda i: F.element_at("rest", F.greatest(i, F.lit(1)))
     middle = F.when(k == 0, F.lit(None)).when(k % 2 == 1, at(half + 1)).otherwise((at(half) + at(half + 1)) / 2)
-    rows = joined.withColumn("e", middle).select("paradigm", "node_id", "r", "e")
-    cut = rows.groupBy("paradigm").agg(F.percentile("r", 0.9).alias("p90"))
+    rows = keep(joined.withColumn("e", middle).select("paradigm", "node_id", "r", "e"), "expected")
+    cut = quantiles(rows, "r", {"p90": 0.9}, ["paradigm"])
     rows = rows.join(cut, "paradigm").withColumn("side", F.col("r") > F.col("p90"))
-    sides = rows.withColumn("rr", average_rank("r", ["paradigm", "side"])).withColumn("re", average_rank("e", ["paradigm", "side"]))
+    sides = average_rank(average_rank(rows, "rr", "r", ["paradigm", "side"]), "re", "e", ["paradigm", "side"])
     agg = sides.groupBy("paradigm", "side").agg(F.count("*").alias("n"), safe_corr("rr", "re").alias("rho"), F.count("e").alias("others"))
     tail = F.max(F.when(F.col("side") & (F.col("n") > 5), 0.6 * F.greatest(F.lit(0.0), F.col("rho"))))
     body = F.max(F.when(~F.col("side") & (F.col("n") > 20), 0.4 * (1 - F.abs("rho"))))
@@ -91,14 +92,14 @@ def consensus(scores: DataFrame) -> DataFrame:
 
 def prune(scores: DataFrame) -> DataFrame:
     """paradigm, rho, sparsity, delta: whether a paradigm stays, by its rank correlation with the consensus. Below three all stay."""
-    r = ranked(scores)
-    joined = r.join(consensus(scores), "node_id")
-    again = joined.withColumn("rc", average_rank("consensus", ["paradigm"]))
-    rho = again.groupBy("paradigm").agg(safe_corr("r", "rc").alias("rho"), F.percentile("score", 0.9).alias("p90"), F.count("*").alias("n"))
+    r = keep(ranked(scores), "ranks")
+    joined = r.join(r.groupBy("node_id").agg(F.percentile("r", 0.5).alias("consensus")), "node_id")
+    again = average_rank(joined, "rc", "consensus", ["paradigm"])
+    rho = again.groupBy("paradigm").agg(safe_corr("r", "rc").alias("rho")).join(quantiles(scores, "score", {"p90": 0.9}, ["paradigm"]), "paradigm")
     over = scores.join(rho.select("paradigm", "p90"), "paradigm").groupBy("paradigm").agg(F.avg(F.when(F.col("score") > F.col("p90"), 1.0).otherwise(0.0)).alias("over"))
     # one row a paradigm from here on
     count = scores.select("paradigm").distinct().agg(F.count("*").alias("k"))
-    rows = rho.join(over, "paradigm").join(ued(scores), "paradigm").crossJoin(F.broadcast(count))
+    rows = rho.join(over, "paradigm").join(ued(scores, r), "paradigm").crossJoin(F.broadcast(count))
     sparsity = F.exp(-3 * F.greatest(F.lit(0.0), F.col("over") - 0.1))
     drop = (F.col("rho") < -0.05) | ((F.col("rho") < 0.05) & (F.col("ued") < 0.2))
     delta = F.when((F.col("k") < 3) | F.col("paradigm").startswith(TRAINED), 1).when(drop, 0).otherwise(1)
@@ -108,16 +109,17 @@ def prune(scores: DataFrame) -> DataFrame:
 def mechanism_test(scores: DataFrame, degrees: DataFrame) -> dict:
     """Whether the degree explains the paradigms' agreement: sign consistency, then agreement before and after taking the degree out."""
     rows = scores.join(degrees.select("node_id", F.col("degree").cast("double").alias("degree")), "node_id")
-    r = rows.withColumn("rs", average_rank("score", ["paradigm"])).withColumn("rd", average_rank("degree", ["paradigm"]))
+    r = average_rank(average_rank(rows, "rs", "score", ["paradigm"]), "rd", "degree", ["paradigm"])
     rho = {x["paradigm"]: x["rho"] for x in r.groupBy("paradigm").agg(safe_corr("rs", "rd").alias("rho")).collect()}
     signs = [np.sign(v) for v in rho.values() if abs(v) > 0.1]
     consistency = abs(sum(signs)) / len(rho) if rho else 0.0
     fit = rows.groupBy("paradigm").agg(F.regr_slope("score", "degree").alias("slope"), F.regr_intercept("score", "degree").alias("base"))
     left = rows.join(fit, "paradigm").select("paradigm", "node_id", (F.col("score") - F.coalesce("slope", F.lit(0.0)) * F.col("degree") - F.coalesce("base", F.lit(0.0))).alias("score"))
+    left = keep(left, "residual")
 
     def agreement(s: DataFrame) -> float:
-        both = s.groupBy("node_id").agg(F.avg("score").alias("mean")).join(consensus(s), "node_id")
-        ranks = both.withColumn("a", average_rank("mean", [])).withColumn("b", average_rank("consensus", []))
+        both = keep(s.groupBy("node_id").agg(F.avg("score").alias("mean")).join(consensus(s), "node_id"), "agreement")  # a mean's last bits depend on its order
+        ranks = average_rank(average_rank(both, "a", "mean", []), "b", "consensus", [])
         return ranks.agg(safe_corr("a", "b").alias("rho")).first()["rho"]
 
     raw, residual = agreement(scores), agreement(left)
@@ -153,7 +155,9 @@ def compute_weights(scores: DataFrame, degrees: DataFrame, communities: DataFram
     """alpha by applicability, beta by quality, gamma by redundancy, delta by pruning."""
     size = Window.partitionBy("community")
     extra = communities.withColumn("size", F.count("*").over(size)).select("node_id", "size").join(degrees, "node_id")
-    r = scores.join(extra, "node_id").withColumn("rs", average_rank("score", ["paradigm"])).withColumn("rd", average_rank("degree", ["paradigm"])).withColumn("rc", average_rank("size", ["paradigm"]))
+    r = scores.join(extra, "node_id")
+    for name, value in (("rs", "score"), ("rd", "degree"), ("rc", "size")):
+        r = average_rank(r, name, value, ["paradigm"])
     rho = {x["paradigm"]: x for x in r.groupBy("paradigm").agg(safe_corr("rs", "rd").alias("d"), safe_corr("rs", "rc").alias("c")).collect()}
     quality = {x["paradigm"]: x["ued"] for x in ued(scores).collect()}
     tails = {x["paradigm"]: x["tail_separation"] for x in tail_separation(scores).collect()}
@@ -221,7 +225,7 @@ def gate(scores: DataFrame, degrees: DataFrame, avg_degree: float) -> Gate:
     quality = {x["paradigm"]: x["ued"] for x in ued(scores).collect()}
     tails = {x["paradigm"]: x["tail_separation"] for x in tail_separation(scores).collect()}
     rho = {(x["a"], x["b"]): x["rho"] for x in spearman_pairs(scores).collect()}
-    r = scores.join(degrees, "node_id").withColumn("rs", average_rank("score", ["paradigm"])).withColumn("rd", average_rank("degree", ["paradigm"]))
+    r = average_rank(average_rank(scores.join(degrees, "node_id"), "rs", "score", ["paradigm"]), "rd", "degree", ["paradigm"])
     degree_rho = {x["paradigm"]: x["rho"] for x in r.groupBy("paradigm").agg(safe_corr("rs", "rd").alias("rho")).collect()}
     return decide([*quality], quality, tails, rho, degree_rho, avg_degree)
 

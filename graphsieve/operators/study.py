@@ -12,8 +12,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphsieve.functions.stats import average_rank, ordinal_rank, safe_corr
+from graphsieve.functions.stats import average_rank, ordinal_rank, quantiles, safe_corr
 from graphsieve.operators import fusion
+from graphsieve.sources.tables import keep
 
 #: A paradigm with more quality than this gives a signal; rank correlations above that make a cluster.
 SIGNAL, CLUSTER = 0.3, 0.6
@@ -29,8 +30,8 @@ def tail_agreement(scores: DataFrame) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("paradigm"))
     tail = r.withColumn("place", place).withColumn("n", n).where(F.col("place") <= F.col("n") - F.floor(F.col("n") * 9 / 10))
     pairs = tail.select("node_id", F.col("paradigm").alias("a"), F.col("r").alias("ra")).join(r.select("node_id", F.col("paradigm").alias("b"), F.col("r").alias("rb")), "node_id").where("a < b")
-    again = pairs.withColumn("ra", average_rank("ra", ["a", "b"])).withColumn("rb", average_rank("rb", ["a", "b"]))
-    return again.groupBy("a", "b").agg(safe_corr("ra", "rb").alias("rho"))
+    again = average_rank(average_rank(pairs, "qa", "ra", ["a", "b"]), "qb", "rb", ["a", "b"])
+    return again.groupBy("a", "b").agg(safe_corr("qa", "qb").alias("rho"))
 
 
 def clusters(names: list[str], rho: dict[tuple[str, str], float], least: float = CLUSTER) -> list[list[str]]:
@@ -68,7 +69,7 @@ def consensus_reliability(scores: DataFrame) -> DataFrame:
 
 def probe_tail_separation(scores: DataFrame) -> DataFrame:
     """paradigm, separation: how many deviations of the lower nine tenths the mean of the upper one lies above theirs; 0 below 20 rows."""
-    cut = scores.groupBy("paradigm").agg(F.percentile("score", 0.9).alias("p90"))
+    cut = quantiles(scores, "score", {"p90": 0.9}, ["paradigm"])
     high, low = F.when(F.col("score") > F.col("p90"), F.col("score")), F.when(F.col("score") <= F.col("p90"), F.col("score"))
     s = scores.join(cut, "paradigm").groupBy("paradigm").agg(F.count("*").alias("n"), F.count(high).alias("nh"), F.count(low).alias("nl"), F.avg(high).alias("mh"), F.avg(low).alias("ml"), F.stddev_pop(low).alias("sl"))
     fine = (F.col("n") >= 20) & (F.col("nh") >= 2) & (F.col("nl") >= 2)
@@ -77,7 +78,8 @@ def probe_tail_separation(scores: DataFrame) -> DataFrame:
 
 def landmarkers(scores: DataFrame) -> DataFrame:
     """paradigm and the mean, deviation and quantiles of its scores."""
-    return scores.groupBy("paradigm").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), *(F.percentile("score", q).alias(f"p{round(100 * q)}") for q in (0.5, 0.9, 0.95, 0.99)))
+    moments = scores.groupBy("paradigm").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+    return moments.join(quantiles(scores, "score", {f"p{round(100 * q)}": q for q in (0.5, 0.9, 0.95, 0.99)}, ["paradigm"]), "paradigm")
 
 
 # --- candidate rules -----------------------------------------------------------------------------------------------
@@ -85,8 +87,7 @@ def landmarkers(scores: DataFrame) -> DataFrame:
 
 def rank_shares(scores: DataFrame) -> DataFrame:
     """The scores with r, their ordinal rank within the paradigm as a share from 0 to 1."""
-    n = F.count("*").over(Window.partitionBy("paradigm"))
-    return scores.withColumn("r", ordinal_rank("score", ["paradigm"]) / F.greatest(n - 1, F.lit(1)))
+    return ordinal_rank(scores, "r", "score", ["paradigm"], share=True)
 
 
 def agreement_with_others(scores: DataFrame) -> DataFrame:
@@ -94,7 +95,8 @@ def agreement_with_others(scores: DataFrame) -> DataFrame:
     r = rank_shares(scores)
     sums = r.groupBy("node_id").agg(F.sum("r").alias("total"), F.count("*").alias("k"))
     others = r.join(sums, "node_id").withColumn("others", F.round((F.col("total") - F.col("r")) / F.greatest(F.col("k") - 1, F.lit(1)), 12))
-    return others.withColumn("ro", ordinal_rank("others", ["paradigm"])).groupBy("paradigm").agg(safe_corr("r", "ro").alias("rho"))
+    kept = keep(others.select("paradigm", "node_id", "r", "others"), "others")  # a sum's last bits depend on its order
+    return ordinal_rank(kept, "ro", "others", ["paradigm"]).groupBy("paradigm").agg(safe_corr("r", "ro").alias("rho"))
 
 
 def weighted_ranks(scores: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphsieve import catalog
-from graphsieve.functions.stats import histogram, ks_statistic, long_form, min_max, norm, ordinal_rank, percentile_rank
+from graphsieve.functions.stats import histogram, ks_statistic, long_form, min_max, norm, ordinal_rank, percentile_rank, quantiles
 from graphsieve.graph import Graph, label_propagation
 from graphsieve.operators import detectors, evaluate, explore, fusion, neural, study
 from graphsieve.sources.tables import embedding_nodes, keep, part_graph, table, user_graph
@@ -76,10 +76,10 @@ def parts(spark: SparkSession, d: str, least: int = 2) -> Graph:
 
 
 def part_scores(spark: SparkSession, d: str) -> DataFrame:
-    """paradigm, node_id, score from part columns."""
+    """paradigm, node_id, score from part columns, stored: ranks read them more than once, and means may differ in their last bits."""
     n = part_graph(spark, d).nodes
     one = lambda name, i: F.struct(F.lit(name).alias("paradigm"), F.col("features")[i].alias("score"))
-    return n.select("node_id", F.explode(F.array(one("price", 1), one("quantity", 2), one("revenue", 3), one("size", 0))).alias("s")).select("s.paradigm", "node_id", "s.score")
+    return keep(n.select("node_id", F.explode(F.array(one("price", 1), one("quantity", 2), one("revenue", 3), one("size", 0))).alias("s")).select("s.paradigm", "node_id", "s.score"), "part-scores")
 
 
 def doc_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -322,12 +322,12 @@ def pairwise_cosine(spark, d):
 @query(base(1) + " SELECT paradigm, node_id, round(r, 6) AS r FROM ranked")
 def percentile_ranks(spark, d):
     s = part_scores(spark, d)
-    return rounded(s.select("paradigm", "node_id", percentile_rank("score", ["paradigm"]).alias("r")))
+    return rounded(percentile_rank(s, "r", "score", ["paradigm"]).select("paradigm", "node_id", "r"))
 
 
 @query(base(1) + " SELECT paradigm, node_id, (row_number() OVER (PARTITION BY paradigm ORDER BY score, node_id) - 1)::BIGINT AS place FROM scores")
 def ordinal_ranks(spark, d):
-    return rounded(part_scores(spark, d).select("paradigm", "node_id", ordinal_rank("score", ["paradigm"]).alias("place")))
+    return rounded(ordinal_rank(part_scores(spark, d), "place", "score", ["paradigm"]).select("paradigm", "node_id", "place"))
 
 
 @query(base(1) + " SELECT paradigm, node_id, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) + 0.0 AS score FROM scores WINDOW w AS (PARTITION BY paradigm)")
@@ -360,7 +360,7 @@ CUT = ", cut AS (SELECT paradigm, quantile_cont(score, 0.95) AS p95, quantile_co
 @query(base(1) + CUT + " SELECT paradigm, node_id, round(score, 6) AS score FROM scores JOIN cut USING (paradigm) WHERE score > p95")
 def tail_nodes(spark, d):
     s = part_scores(spark, d)
-    cut = s.groupBy("paradigm").agg(F.percentile("score", 0.95).alias("p95"))
+    cut = quantiles(s, "score", {"p95": 0.95}, ["paradigm"])
     return rounded(s.join(cut, "paradigm").where("score > p95").select("paradigm", "node_id", "score"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphsieve import catalog
-from graphsieve.functions.stats import norm
+from graphsieve.functions.stats import norm, quantiles
 from graphsieve.graph import Graph
 from graphsieve.operators import detectors, evaluate, explore, fusion, neural, study
 from graphsieve.sources.tables import keep, load_graph, read_json, to_markdown, write_scores
@@ -221,14 +221,15 @@ class Session:
     def score_summary(self) -> dict:
         if self.fused is None:
             self.compose()
-        s = self.fused.agg(F.avg("fused").alias("mean"), F.stddev_pop("fused").alias("std"), *(F.percentile("fused", q).alias(f"p{round(100 * q)}") for q in (0.9, 0.95, 0.99))).first()
+        moments = self.fused.agg(F.avg("fused").alias("mean"), F.stddev_pop("fused").alias("std"))
+        s = moments.crossJoin(quantiles(self.fused, "fused", {f"p{round(100 * q)}": q for q in (0.9, 0.95, 0.99)})).first()  # one row each
         return {"mode": self.gate.mode, "weights": {p: self.weights.weight(p) for p in self.weights.rows}, "fused": s.asDict()}
 
     # --- evidence
     def record_signals(self, most: int = 200) -> int:
         """A signal for each paradigm's nodes above its 95th percentile (the highest ``most`` of them)."""
         s = self.table()
-        cut = s.groupBy("paradigm").agg(F.percentile("score", 0.95).alias("p95"))
+        cut = quantiles(s, "score", {"p95": 0.95}, ["paradigm"])
         rows = explore.top(s.join(cut, "paradigm").where("score > p95"), most).groupBy("paradigm").agg(F.collect_list("node_id").alias("ids")).collect()
         for r in rows:
             self.log.add(r["paradigm"], "signal", {"above": 95}, list(r["ids"]))

@@ -43,7 +43,8 @@ def test_multiplicity_weighs_and_loops_go(spark):
 
 def test_ranks_and_constants(spark):
     s = spark.createDataFrame([("a", i, v) for i, v in enumerate([1.0, 2.0, 2.0, 3.0])] + [("c", i, 5.0) for i in range(4)], "paradigm string, node_id long, score double")
-    r = {(x.paradigm, x.node_id): x for x in s.select("paradigm", "node_id", stats.average_rank("score", ["paradigm"]).alias("a"), stats.strict_percentile("score", ["paradigm"]).alias("p"), stats.ordinal_rank("score", ["paradigm"]).alias("o")).collect()}
+    ranked = stats.ordinal_rank(stats.strict_percentile(stats.average_rank(s, "a", "score", ["paradigm"]), "p", "score", ["paradigm"]), "o", "score", ["paradigm"])
+    r = {(x.paradigm, x.node_id): x for x in ranked.collect()}
     assert [r["a", i].a for i in range(4)] == [1, 2.5, 2.5, 4] and [r["a", i].p for i in range(4)] == [0, 0.25, 0.25, 0.75] and [r["a", i].o for i in range(4)] == [0, 1, 2, 3]
     assert {x.score for x in stats.min_max(s, "score", ["paradigm"]).where("paradigm = 'c'").collect()} == {0.0}
     assert stats.histogram(s.where("paradigm = 'c'"), "score", 4).agg(F.sum("n")).first()[0] == 4
@@ -52,6 +53,32 @@ def test_ranks_and_constants(spark):
     assert abs(stats.chi2_tail(28.74, 8) - 0.000353) < 2e-5 and abs(stats.chi2_tail(3.0, 2) - np.exp(-1.5)) < 1e-12
 
 
+def test_ranks_of_odd_values(spark):
+    """Ranks and quantiles in runs against a sort: ties, both zeros, nulls, infinities, NaN, a null group, no group, no rows."""
+    rng = np.random.default_rng(3)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 5e-324, -5e-324, 1.7e308]
+    some = odd * 2 + [7.0] * 60 + [float(x) for x in np.round(rng.standard_normal(150) * 10.0 ** rng.integers(-9, 9, 150), 12)] + [float(2**53 + i) for i in range(40)]
+    rows = [(g, i, v) for g in ("a", None) for i, v in enumerate(some)]
+    s = spark.createDataFrame(rows, "g string, node_id long, v double").repartition(5)
+    key = lambda v: (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v)
+    got = stats.percentile_rank(stats.ordinal_rank(stats.average_rank(s, "a", "v", ["g"]), "o", "v", ["g"]), "p", "v", ["g"]).collect()
+    assert len(got) == len(rows)
+    for g in ("a", None):
+        place = {i: at for at, i in enumerate(sorted(range(len(some)), key=lambda i: (key(some[i]), i)))}
+        for x in (x for x in got if x.g == g):
+            below, same = sum(key(v) < key(x.v) for v in some), sum(key(v) == key(x.v) for v in some)
+            assert (x.o, x.a, x.p) == (place[x.node_id], below + (same + 1) / 2, (below + (same + 1) / 2) / len(some))
+    whole = {x.node_id: x.o for x in stats.ordinal_rank(s.where("g is null"), "o", "v", [], share=True).collect()}
+    assert whole == {x.node_id: x.o / (len(some) - 1) for x in got if x.g is None}
+    fine = s.where("not isnan(v) and abs(v) < 1e300")
+    q = stats.quantiles(fine, "v", {"low": 0.0, "q": 0.37, "m": 0.5, "high": 1.0}, ["g"]).collect()
+    known = np.array([v for v in some if v is not None and abs(v) < 1e300])
+    assert len(q) == 2 and all([x.low, x.q, x.m, x.high] == pytest.approx(np.quantile(known, [0, 0.37, 0.5, 1]).tolist()) for x in q)
+    none = s.where("node_id < 0")
+    assert stats.average_rank(none, "a", "v", ["g"]).count() == 0 and stats.ordinal_rank(none, "o", "v", []).count() == 0
+    assert stats.quantiles(none, "v", {"m": 0.5}).first().m is None and stats.quantiles(none, "v", {"m": 0.5}, ["g"]).count() == 0
+
+
 def test_erf(spark):
     from math import erf
 
