@@ -20,6 +20,24 @@ def auroc(rows: DataFrame, by: list[str], value: str = "score") -> DataFrame:
     return ranked.groupBy(*by).agg(F.when((p > 0) & (n > 0), (F.sum(F.when(F.col("y") == 1, F.col("_r"))) - p * (p + 1) / 2) / (p * n)).alias("auroc"))
 
 
+def auroc_by_buckets(rows: DataFrame, by: list[str], buckets: int = 1 << 12) -> DataFrame:
+    """by, auroc of ``score`` (0 to 1) against ``y``, exactly, ties counting half; null with one class only.
+
+    Positives meet the negatives in lower buckets by sums over buckets, of which a group has a bounded number; only rows of buckets with both
+    kinds are ranked among themselves, by their distinct scores. So no task sees a whole group.
+    """
+    kept = rows.select(*by, "score", "y", F.least(F.floor(F.col("score") * buckets), F.lit(buckets - 1)).alias("bucket"))
+    values = kept.groupBy(*by, "bucket", "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    below = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = values.groupBy(*by, "bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).withColumn("lower", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    mixed = sums.where("p > 0 and q > 0").select(*by, "bucket")
+    inner = Window.partitionBy(*by, "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    within = values.join(mixed, [*by, "bucket"], "left_semi").withColumn("less", F.coalesce(F.sum("q").over(inner), F.lit(0)))
+    won = within.groupBy(*by).agg(F.sum(F.col("p") * (F.col("less") + F.col("q") / 2)).alias("within"))
+    total = sums.groupBy(*by).agg(F.sum("p").alias("n_p"), F.sum("q").alias("n_q"), F.sum(F.col("p") * F.col("lower")).alias("across"))
+    return total.join(won, by, "left").select(*by, F.try_divide(F.col("across") + F.coalesce("within", F.lit(0.0)), F.col("n_p") * F.col("n_q")).alias("auroc"))
+
+
 def average_precision(rows: DataFrame, by: list[str], value: str = "score") -> DataFrame:
     """by, ap: the sum over distinct thresholds of recall gained times precision there; null without anomalies."""
     steps = rows.groupBy(*by, value).agg(F.sum("y").alias("tp"), F.count("*").alias("k"))

@@ -23,8 +23,8 @@ TRAINED = "trained:"
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """The scores with r, their percentile rank within the paradigm."""
-    return scores.withColumn("r", percentile_rank("score", ["paradigm"]))
+    """The scores with r, their percentile rank within the paradigm; as they are if they have it."""
+    return scores if "r" in scores.columns else scores.withColumn("r", percentile_rank("score", ["paradigm"]))
 
 
 def spearman_pairs(scores: DataFrame) -> DataFrame:
@@ -151,22 +151,16 @@ class Weights:
 
 def compute_weights(scores: DataFrame, degrees: DataFrame, communities: DataFrame, applicable: dict[str, bool] | None = None) -> Weights:
     """alpha by applicability, beta by quality, gamma by redundancy, delta by pruning."""
-    size = Window.partitionBy("community")
-    extra = communities.withColumn("size", F.count("*").over(size)).select("node_id", "size").join(degrees, "node_id")
-    r = scores.join(extra, "node_id").withColumn("rs", average_rank("score", ["paradigm"])).withColumn("rd", average_rank("degree", ["paradigm"])).withColumn("rc", average_rank("size", ["paradigm"]))
-    rho = {x["paradigm"]: x for x in r.groupBy("paradigm").agg(safe_corr("rs", "rd").alias("d"), safe_corr("rs", "rc").alias("c")).collect()}
-    quality = {x["paradigm"]: x["ued"] for x in ued(scores).collect()}
-    tails = {x["paradigm"]: x["tail_separation"] for x in tail_separation(scores).collect()}
-    gammas = {x["paradigm"]: x["gamma"] for x in gamma(scores).collect()}
-    pruned = {x["paradigm"]: x for x in prune(scores).collect()}
-    flagged = int(mechanism_test(scores, degrees)["mechanism"])
+    from graphsieve.operators.replay import single
+
+    return weights_of(single(scores, degrees, communities, 0.0, applicable))
+
+
+def weights_of(found) -> Weights:
+    """Those of a replay's only decision, as they were before its gate."""
     rows = {}
-    for p in sorted(quality):
-        beta = quality[p] * pruned[p]["sparsity"] * (1 - abs(rho[p]["d"])) ** flagged * (1 - abs(rho[p]["c"]))
-        beta = float(np.clip(beta, 0, 1))
-        if p.startswith(TRAINED):
-            beta = max(beta, 0.3 * tails[p])
-        rows[p] = {"alpha": float((applicable or {}).get(p, True)), "beta": beta, "gamma": gammas[p], "delta": float(pruned[p]["delta"]), "excess_mass": tails[p], "mechanism_flag": flagged, "ued": quality[p]}
+    for x in found.weights.orderBy("paradigm").collect():  # a row for each paradigm
+        rows[x["paradigm"]] = {k: float(x[k]) for k in ("alpha", "beta", "gamma", "delta")} | {"excess_mass": x["tail"], "mechanism_flag": x["flagged"], "ued": x["ued"]}
     return Weights(rows)
 
 
@@ -218,12 +212,19 @@ def decide(names: list[str], quality: dict[str, float], tails: dict[str, float],
 
 def gate(scores: DataFrame, degrees: DataFrame, avg_degree: float) -> Gate:
     """``decide`` on a score table."""
-    quality = {x["paradigm"]: x["ued"] for x in ued(scores).collect()}
-    tails = {x["paradigm"]: x["tail_separation"] for x in tail_separation(scores).collect()}
-    rho = {(x["a"], x["b"]): x["rho"] for x in spearman_pairs(scores).collect()}
-    r = scores.join(degrees, "node_id").withColumn("rs", average_rank("score", ["paradigm"])).withColumn("rd", average_rank("degree", ["paradigm"]))
-    degree_rho = {x["paradigm"]: x["rho"] for x in r.groupBy("paradigm").agg(safe_corr("rs", "rd").alias("rho")).collect()}
-    return decide([*quality], quality, tails, rho, degree_rho, avg_degree)
+    from graphsieve.operators.replay import single
+
+    return gate_of(single(scores, degrees, degrees.select("node_id", F.lit(0).cast("long").alias("community")), avg_degree))
+
+
+def gate_of(found) -> Gate:
+    """That of a replay's only decision."""
+    names = [x["paradigm"] for x in found.weights.select("paradigm").orderBy("paradigm").collect()]
+    x = found.gates.first()
+    if x is None:
+        return Gate("select", "at most one paradigm", {})
+    stay = names if x["chosen"] is None else x["chosen"]
+    return Gate(x["mode"], x["reason"], {p: float(p in stay) for p in names}, x["d"], x["q"], list(x["chosen"]) if x["trusted"] else [])
 
 
 def aom_groups(names: list[str], repeats: int = 10, seed: int = 42) -> list[list[str]]:
@@ -281,15 +282,16 @@ def fuse(scores: DataFrame, weights: dict[str, float], mode: str) -> DataFrame:
 
 
 def compose(scores: DataFrame, graph, applicable: dict[str, bool] | None = None) -> tuple[DataFrame, Weights, Gate]:
-    """Weights, then the gate, then fusion: node_id, fused; the weights and the gate's decision."""
-    weights = compute_weights(scores, graph.degrees, graph.communities, applicable)
-    decision = gate(scores, graph.degrees, graph.m / max(1, graph.n))
+    """Weights, then the gate, then fusion: node_id, fused; the weights and the gate's decision. One decision's replay."""
+    from graphsieve.operators.replay import single
+
+    found = single(scores, graph.degrees, graph.communities, graph.m / max(1, graph.n), applicable)
+    weights, decision = weights_of(found), gate_of(found)
     for p, delta in decision.deltas.items():
         if decision.trusted or delta == 0:
             weights.rows[p]["delta"] = delta
     weights.mode = decision.mode
-    active = {p: weights.weight(p) for p in weights.active()}
-    return fuse(scores, active, decision.mode), weights, decision
+    return found.fused.select("node_id", "fused"), weights, decision
 
 
 def score_level_fusion(scores: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphsieve.functions.stats import average_rank, ordinal_rank, safe_corr
-from graphsieve.operators import fusion
+from graphsieve.operators import evaluate, fusion, replay
 
 #: A paradigm with more quality than this gives a signal; rank correlations above that make a cluster.
 SIGNAL, CLUSTER = 0.3, 0.6
@@ -157,6 +157,24 @@ def subsets(names: list[str], most: int = 4) -> Iterator[list[str]]:
         yield from map(list, combinations(sorted(names), k))
 
 
+def subset_log(spark: SparkSession, names: list[str], most: int = 4) -> DataFrame:
+    """decision, paradigm: every selection of one to ``most`` of the names, its number having the bits of its members' places."""
+    if len(names) > 62:
+        raise ValueError("a selection's number has 62 bits")
+    masks = spark.range(1, 1 << len(names)).where(F.bit_count("id") <= most)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda b: F.getbit(F.col("id"), b) == 1)
+    return masks.select(F.col("id").alias("decision"), F.explode(F.transform(bits, lambda b: F.get(F.array(*map(F.lit, names)), b))).alias("paradigm"))
+
+
+def subset_search(scores: DataFrame, labels: DataFrame, degrees: DataFrame, communities: DataFrame, avg_degree: float, names: list[str], most: int = 4, buckets: int = 1 << 12) -> DataFrame:
+    """mask, size, mode, auroc: every selection of one to ``most`` paradigms, replayed in one plan and measured in one pass (``labels``: node_id, label)."""
+    found = replay.replay(scores, subset_log(scores.sparkSession, names, most), degrees, communities, avg_degree)
+    rows = found.fused.join(labels.select("node_id", "label"), "node_id").select("decision", F.round("fused", replay.PLACES).alias("score"), (F.col("label") > 0).cast("long").alias("y"))
+    measured = evaluate.auroc_by_buckets(rows, ["decision"], buckets)
+    size = found.weights.groupBy("decision").agg(F.count("*").alias("size"))
+    return measured.join(size, "decision").join(found.gates.select("decision", "mode"), "decision").select(F.col("decision").alias("mask"), "size", "mode", "auroc")
+
+
 def policy(scores: DataFrame, measure: str, k: int) -> DataFrame:
     """paradigm, place and the measure (``ued`` or ``tail_separation``) of the ``k`` best by it."""
     found = getattr(fusion, measure)(scores)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from graphsieve import catalog
 from graphsieve.functions.stats import histogram, ks_statistic, long_form, min_max, norm, ordinal_rank, percentile_rank
 from graphsieve.graph import Graph, label_propagation
-from graphsieve.operators import detectors, evaluate, explore, fusion, neural, study
+from graphsieve.operators import detectors, evaluate, explore, fusion, neural, replay, study
 from graphsieve.sources.tables import embedding_nodes, keep, part_graph, table, user_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -587,13 +587,147 @@ def top_nodes(spark, d):
     return rounded(explore.top(part_scores(spark, d), 20).select("paradigm", "node_id", "score", "place"))
 
 
-@query()
+# --- decisions ------------------------------------------------------------------------------------------------------
+
+
+def correlation(a: str, b: str) -> str:
+    """0 where a side is flat."""
+    return f"(CASE WHEN stddev_pop({a}) < 1e-10 OR stddev_pop({b}) < 1e-10 THEN 0.0 ELSE coalesce(corr({a}, {b}), 0.0) END)"
+
+
+def names(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_index_groups = {k: fusion.aom_groups([*range(k)]) for k in range(3, 8)}
+_spread = "CASE k " + " ".join(f"WHEN {k} THEN ({' + '.join('greatest(' + ', '.join(f'rs[{i + 1}]' for i in g) + ')' for g in groups)}) / {len(groups)}" for k, groups in _index_groups.items()) + " END"
+#: From scores, log (decision, paradigm), deg and nodes (community), and avg_degree: ``weights``, ``gates`` and ``fused``. Every decision is weighed, gated and fused for itself.
+REPLAY = f""",
+rs0 AS (SELECT s.*, coalesce(degree, 0)::DOUBLE AS degree, size FROM scores s JOIN deg USING (node_id) JOIN (SELECT node_id, count(*) OVER (PARTITION BY community) AS size FROM nodes) USING (node_id)),
+fit AS (SELECT paradigm, coalesce(regr_slope(score, degree), 0) AS slope, coalesce(regr_intercept(score, degree), 0) AS base FROM rs0 GROUP BY 1),
+rs1 AS (SELECT rs0.*, round(score - slope * degree - base, 9) AS rest FROM rs0 JOIN fit USING (paradigm)),
+rs2 AS (SELECT paradigm, node_id, score, rest, ({AVERAGE.format(by="paradigm", x="score")}) / count(*) OVER (PARTITION BY paradigm) AS r, ({AVERAGE.format(by="paradigm", x="rest")}) / count(*) OVER (PARTITION BY paradigm) AS r_rest, {AVERAGE.format(by="paradigm", x="degree")} AS rd, {AVERAGE.format(by="paradigm", x="size")} AS rc FROM rs1),
+cuts AS (SELECT paradigm, quantile_cont(score, 0.9) AS p90, quantile_cont(r, 0.9) AS r90, {correlation("r", "rd")} AS rho_d, {correlation("r", "rc")} AS rho_c, CASE WHEN stddev_pop(score) < 1e-10 THEN 0.0 ELSE 1.0 END AS own FROM rs2 GROUP BY 1),
+each_ AS (SELECT paradigm, any_value(rho_d) AS rho_d, any_value(rho_c) AS rho_c, any_value(own) AS own, exp(-3 * greatest(0, avg((score > p90)::INT) - 0.1)) AS sparsity,
+  CASE WHEN count(*) >= 20 AND count(*) FILTER (score > p90) >= 2 AND count(*) FILTER (score <= p90) >= 2 THEN greatest(0, least(1, 0.4 * least((avg(score) FILTER (score > p90) - avg(score) FILTER (score <= p90)) / greatest(stddev_pop(score) FILTER (score <= p90), 1e-10) / 5, 1) + 0.4 + 0.2 / (1 + stddev_pop(score) FILTER (score > p90) / greatest(avg(score) FILTER (score > p90), 1e-10)))) ELSE 0 END AS tail
+  FROM rs2 JOIN cuts USING (paradigm) GROUP BY 1),
+two AS (SELECT x.paradigm AS a, y.paradigm AS b, {correlation("x.r", "y.r")} AS rho FROM rs2 x JOIN rs2 y ON x.node_id = y.node_id AND x.paradigm <> y.paradigm GROUP BY 1, 2),
+cells AS (SELECT decision, paradigm, node_id, r, score, rest, r_rest, r > r90 AS side FROM log JOIN rs2 USING (paradigm) JOIN cuts USING (paradigm)),
+mids AS (SELECT decision, node_id, round(quantile_cont(r, 0.5), 9) AS c, round(avg(score), 9) AS m, round(quantile_cont(r_rest, 0.5), 9) AS c_rest, round(avg(rest), 9) AS m_rest FROM cells GROUP BY 1, 2),
+others AS (SELECT x.decision, x.paradigm, x.node_id, any_value(x.r) AS r, any_value(x.side) AS side, round(quantile_cont(y.r, 0.5), 9) AS e FROM cells x LEFT JOIN cells y ON x.decision = y.decision AND x.node_id = y.node_id AND x.paradigm <> y.paradigm GROUP BY 1, 2, 3),
+sides AS (SELECT decision, paradigm, side, count(*) AS n, count(e) AS others, {correlation("r", "re")} AS rho FROM (SELECT *, {AVERAGE.format(by="decision, paradigm, side", x="e")} AS re FROM others) GROUP BY 1, 2, 3),
+ued AS (SELECT decision, paradigm, CASE WHEN max(others) = 0 THEN 0.5 ELSE coalesce(max(0.6 * greatest(0, rho)) FILTER (side AND n > 5), 0) + coalesce(max(0.4 * (1 - abs(rho))) FILTER (NOT side AND n > 20), 0) END AS ued FROM sides GROUP BY 1, 2),
+prunes AS (SELECT decision, paradigm, {correlation("r", "rc")} AS rho FROM (SELECT decision, paradigm, r, {AVERAGE.format(by="decision, paradigm", x="c")} AS rc FROM cells JOIN mids USING (decision, node_id)) GROUP BY 1, 2),
+agrees AS (SELECT decision, {correlation("m", "c")} AS raw, {correlation("m_rest", "c_rest")} AS residual FROM (SELECT decision, {", ".join(f"{AVERAGE.format(by='decision', x=x)} AS {x}" for x in ("c", "m", "c_rest", "m_rest"))} FROM mids) GROUP BY 1),
+ks AS (SELECT decision, count(*) AS k, abs(sum(CASE WHEN abs(rho_d) > 0.1 THEN sign(rho_d) ELSE 0 END)) / count(*) AS consistency FROM log JOIN each_ USING (paradigm) GROUP BY 1),
+flags AS (SELECT decision, k, (consistency >= 0.6 AND (raw - residual) / greatest(abs(raw), 1e-8) > 0.25)::INT AS flagged FROM agrees JOIN ks USING (decision)),
+near AS (SELECT x.decision, x.paradigm, sum(abs(rho)) AS near FROM log x JOIN log y ON x.decision = y.decision JOIN two ON a = x.paradigm AND b = y.paradigm GROUP BY 1, 2),
+w0 AS (SELECT decision, paradigm, k, ued, tail, rho_d, flagged, coalesce(1 / greatest(own + near, 1e-8), 1.0) AS gamma,
+  greatest(0, least(1, ued * sparsity * CASE flagged WHEN 1 THEN 1 - abs(rho_d) ELSE 1 END * (1 - abs(rho_c)))) AS b0,
+  CASE WHEN k < 3 OR starts_with(paradigm, 'trained:') THEN 1.0 WHEN rho < -0.05 OR (rho < 0.05 AND ued < 0.2) THEN 0.0 ELSE 1.0 END AS delta
+  FROM log JOIN each_ USING (paradigm) JOIN ued USING (decision, paradigm) JOIN prunes USING (decision, paradigm) JOIN flags USING (decision) LEFT JOIN near USING (decision, paradigm)),
+w1 AS (SELECT *, CASE WHEN starts_with(paradigm, 'trained:') THEN greatest(b0, 0.3 * tail) ELSE b0 END AS beta FROM w0),
+g0 AS (SELECT decision, any_value(k) AS k, list(paradigm ORDER BY paradigm) AS names, list(paradigm ORDER BY ued DESC, paradigm) AS best, max(ued) AS top, list(ued ORDER BY ued DESC, paradigm)[2] AS second, list(tail ORDER BY ued DESC, paradigm)[1] AS top_tail, max(tail) AS tailed,
+  quantile_cont(ued, 0.5) AS middle, max(tail) FILTER (starts_with(paradigm, 'trained:')) AS trained, coalesce(max(tail) FILTER (NOT starts_with(paradigm, 'trained:')), 0) AS fast,
+  list(paradigm) FILTER (abs(rho_d) < 0.6 AND tail >= 0.3) AS fit FROM w1 GROUP BY 1),
+g1 AS (SELECT g0.*, list_filter({names(fusion.TRUSTED)}, lambda t: list_contains(names, t)) AS listed,
+  list_filter(CASE WHEN avg_degree >= 8 THEN {names(fusion.COMPANIONS[True])} ELSE {names(fusion.COMPANIONS[False])} END, lambda t: list_contains(coalesce(fit, []), t))[1] AS friend,
+  1 - coalesce((SELECT sum(abs(rho)) / 2 FROM two JOIN log x ON x.paradigm = a JOIN log y ON y.paradigm = b AND y.decision = x.decision WHERE x.decision = g0.decision), 0) / greatest(k * (k - 1) / 2, 1) AS d, top / greatest(middle, 0.01) AS q FROM g0, avg_degree),
+g2 AS (SELECT *, list_contains(listed, 'clique_density') AS dense, CASE WHEN list_contains(listed, 'clique_density') AND friend IS NOT NULL THEN list_append(listed, friend) ELSE listed END AS picked FROM g1),
+g3 AS (SELECT *, k > 1 AND len(listed) > 0 AND NOT (dense AND friend IS NULL) AS trusted FROM g2),
+gates AS (SELECT decision, k, d, q, trusted, CASE WHEN k <= 1 THEN 'select' WHEN trusted THEN CASE WHEN len(picked) = 1 THEN 'select' WHEN len(picked) = 2 AND dense THEN 'pairmax' ELSE 'aom' END
+  WHEN top >= 2 * second AND top_tail >= tailed THEN 'select' WHEN trained > 1.5 * fast THEN 'fuse' WHEN q > 2.5 THEN 'select' WHEN d > 0.4 AND q < 2 THEN 'aom' WHEN d < 0.3 THEN 'select' ELSE 'hybrid' END AS mode,
+  CASE WHEN k <= 1 THEN names WHEN trusted THEN picked WHEN top >= 2 * second AND top_tail >= tailed THEN best[:1] ELSE names END AS stay FROM g3),
+weights AS (SELECT *, abs(beta * gamma * final) AS weight FROM (SELECT w1.decision, w1.paradigm, beta, gamma, delta, mode, CASE WHEN trusted THEN list_contains(stay, w1.paradigm)::DOUBLE WHEN NOT list_contains(stay, w1.paradigm) THEN 0.0 ELSE delta END AS final FROM w1 JOIN gates USING (decision))),
+active AS (SELECT decision, any_value(mode) AS mode, count(*) FILTER (final <> 0) AS k, coalesce(list(paradigm ORDER BY weight DESC, paradigm) FILTER (final <> 0), []) AS heavy, coalesce(list(paradigm ORDER BY paradigm) FILTER (final <> 0), []) AS act, coalesce(list(weight ORDER BY paradigm) FILTER (final <> 0), []) AS ws FROM weights GROUP BY 1),
+held AS (SELECT decision, node_id, map(list(paradigm), list(r)) AS h FROM cells GROUP BY 1, 2),
+ranks_ AS (SELECT decision, node_id, mode, k, heavy, ws, list_transform(act, lambda p: coalesce(h[p], 0.0)) AS rs, list_transform(heavy[:3], lambda p: coalesce(h[p], 0.0)) AS hs FROM held JOIN active USING (decision)),
+fused AS (SELECT decision, node_id, CASE WHEN k = 0 THEN 0.0 WHEN mode = 'select' THEN hs[1] WHEN mode = 'pairmax' THEN list_max(rs) WHEN mode = 'hybrid' THEN list_aggregate(hs, 'quantile_cont', 0.5) WHEN mode = 'aom' THEN CASE WHEN k <= 2 THEN list_aggregate(rs, 'quantile_cont', 0.5) ELSE {_spread} END
+  ELSE CASE WHEN list_sum(ws) >= 1e-8 THEN list_sum(list_transform(list_zip(rs, ws), lambda z: z[1] * z[2])) / list_sum(ws) ELSE 0.0 END END AS fused FROM ranks_)"""
+#: Names under which part columns stand as scores, so that a log meets every rule of the gate.
+STAND_INS = ["local_affinity", "contrastive", "clique_density", "conformity", "trained:discount", "spectral"]
+STAND_IN_SCORES = base(2).replace("\nscores AS", "\nunused AS").replace("\nranked AS", "\nunranked AS").replace("FROM scores)", "FROM unused)") + f""",
+scores AS (SELECT {names(STAND_INS)}[dim + 1] AS paradigm, node_id, round(CASE dim WHEN 4 THEN pow(v, 8) ELSE v END, 9) AS score FROM feat),
+avg_degree AS (SELECT (SELECT count(*) FROM edges)::DOUBLE / (SELECT count(*) FROM nodes) AS avg_degree)"""
+#: A selection of one to six for each of forty groups of users.
+USER_LOG = f""",
+log AS (SELECT DISTINCT user_id % 40 AS decision, {names(STAND_INS)}[event_id % 6 + 1] AS paradigm FROM events WHERE event_id % 5 = user_id % 7)"""
+#: All selections of one to four, numbered by their bits.
+MASK_LOG = f""",
+log AS (SELECT mask AS decision, {names(STAND_INS)}[bit + 1] AS paradigm FROM range(1, {1 << len(STAND_INS)}) m(mask), range({len(STAND_INS)}) b(bit) WHERE bit_count(mask) <= 4 AND (mask >> bit) & 1 = 1)"""
+
+
+def stand_in_scores(g: Graph) -> DataFrame:
+    long = long_form(g.nodes)
+    value = F.when(F.col("dim") == 4, F.pow("value", F.lit(8))).otherwise(F.col("value"))
+    return long.select(F.get(F.array(*map(F.lit, STAND_INS)), F.col("dim")).alias("paradigm"), "node_id", F.round(value, 9).alias("score"))
+
+
+def user_log(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").where("event_id % 5 = user_id % 7")
+    return events.select((F.col("user_id") % 40).alias("decision"), F.get(F.array(*map(F.lit, STAND_INS)), (F.col("event_id") % 6).cast("int")).alias("paradigm")).distinct()
+
+
+def replayed(spark: SparkSession, d: str) -> replay.Replay:
+    g = parts(spark, d)
+    return replay.replay(stand_in_scores(g), user_log(spark, d), g.degrees, g.communities, g.m / max(1, g.n))
+
+
+@query(STAND_IN_SCORES + USER_LOG + REPLAY + " SELECT decision, node_id, round(fused, 9) + 0.0 AS fused FROM fused")
+def replay_log(spark, d):
+    """Every decision of a log at once: its selection's fused ranks."""
+    # means of ranks end in a 5 at the seventh place: rounded further down
+    return replayed(spark, d).fused.select("decision", "node_id", F.round("fused", 9).alias("fused"))
+
+
+@query(STAND_IN_SCORES + USER_LOG + REPLAY + " SELECT decision, paradigm, mode, round(beta, 6) + 0.0 AS beta, round(gamma, 6) AS gamma, delta, final, round(weight, 6) + 0.0 AS weight FROM weights")
+def replay_weights(spark, d):
+    """The weights of every decision and the mode that its gate chose."""
+    found = replayed(spark, d)
+    return rounded(found.weights.join(found.gates.select("decision", "mode"), "decision").select("decision", "paradigm", "mode", "beta", "gamma", "delta", "final", "weight"))
+
+
+@query(STAND_IN_SCORES + MASK_LOG + REPLAY + f""",
+marked AS (SELECT decision, fused, (f[1] >= 45)::INT AS y FROM fused JOIN nodes USING (node_id)),
+placed AS (SELECT *, {AVERAGE.format(by="decision", x="fused")} AS place FROM (SELECT decision, y, round(fused, 9) AS fused FROM marked))
+SELECT decision AS mask, round((sum(place) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS auroc FROM placed GROUP BY 1""")
+def subset_search(spark, d):
+    """Every selection of one to four paradigms, replayed and measured against labels (large parts)."""
+    g = parts(spark, d)
+    scores, labels = stand_in_scores(g), g.nodes.select("node_id", (F.col("features")[0] >= 45).cast("int").alias("label"))
+    found = study.subset_search(scores, labels, g.degrees, g.communities, g.m / max(1, g.n), STAND_INS)
+    return rounded(found.select("mask", "auroc"))
+
+
+def scaled_as(paradigm: str, raw: str) -> str:
+    return f"SELECT '{paradigm}' AS paradigm, node_id, round(CASE WHEN hi - lo < 1e-10 THEN 0.0 ELSE (score - lo) / (hi - lo) END, 9) AS score FROM {raw}, (SELECT min(score) AS lo, max(score) AS hi FROM {raw})"
+
+
+FLAGSHIP = ["local_affinity", "homophily_violation", "attribute_inflation", "community"]
+
+
+@query(base(2).replace("\nscores AS", "\nunused AS").replace("\nranked AS", "\nunranked AS").replace("FROM scores)", "FROM unused)") + NEAR + """,
+un AS (SELECT node_id, list_transform(f, lambda z: z / greatest(sqrt(list_sum(list_transform(f, lambda w: w * w))), 1e-8)) AS u FROM nodes),
+nb AS (SELECT src AS node_id, avg(list_dot_product(x.u, y.u)) AS s FROM edges JOIN un x ON x.node_id = src JOIN un y ON y.node_id = dst GROUP BY 1),
+raw1 AS (SELECT nodes.node_id, coalesce(1 - s, 1.0) AS score FROM nodes LEFT JOIN nb USING (node_id)),
+raw2 AS (SELECT nodes.node_id, coalesce(distance, (SELECT coalesce(quantile_cont(distance, 0.5), 0.5) FROM far)) AS score FROM nodes LEFT JOIN far USING (node_id)),
+va AS (SELECT dim, count(*) AS n FROM feat GROUP BY 1 HAVING stddev_pop(v) > 1e-12),
+o AS (SELECT node_id, (row_number() OVER (PARTITION BY dim ORDER BY v, node_id) - 1) / greatest(n - 1, 1) AS r FROM feat JOIN va USING (dim)),
+raw3 AS (SELECT node_id, avg(r) AS score FROM o GROUP BY 1),
+cen AS (SELECT community, dim, avg(v) AS c, count(*) AS n FROM feat JOIN nodes USING (node_id) GROUP BY 1, 2),
+fr AS (SELECT node_id, community, CASE WHEN max(n) < 2 THEN 0 ELSE sqrt(sum((v - c) * (v - c))) END AS x, max(n) AS n FROM feat JOIN nodes USING (node_id) JOIN cen USING (community, dim) GROUP BY 1, 2),
+raw4 AS (SELECT node_id, x / CASE WHEN n < 2 THEN 1 ELSE greatest(u, 1e-8) END AS score FROM fr JOIN (SELECT community, avg(x) AS u FROM fr GROUP BY 1) USING (community)),
+scores AS (""" + " UNION ALL ".join(scaled_as(p, f"raw{k}") for k, p in enumerate(FLAGSHIP, 1)) + """),
+avg_degree AS (SELECT (SELECT count(*) FROM edges)::DOUBLE / (SELECT count(*) FROM nodes) AS avg_degree),
+log AS (SELECT DISTINCT 0 AS decision, paradigm FROM scores)""" + REPLAY + " SELECT node_id, round(fused, 6) + 0.0 AS fused FROM fused ORDER BY fused.fused DESC, node_id LIMIT 100")
 def fuse_gate(spark, d):
-    """The flagship: detectors on the co-purchase graph, weights, gate, fusion, and the highest nodes."""
-    g = part_graph(spark, d, 2)
-    g = Graph(keep(g.nodes, "nodes"), keep(g.edges, "edges"), g.name)
-    scores, _ = detectors.run_all(g, ["local_affinity", "homophily_violation", "attribute_inflation", "community"])
-    fused, _, _ = fusion.compose(scores, g)
+    """The flagship: detectors on the co-purchase graph, weights, gate, fusion, and the highest nodes. A detector's failure fails the query."""
+    g = parts(spark, d)
+    scores, failed = detectors.run_all(g, FLAGSHIP)
+    if failed:
+        raise RuntimeError(f"detectors failed: {failed}")
+    # last bits of sums should not part what is equal
+    fused, _, _ = fusion.compose(scores.withColumn("score", F.round("score", 9)), g)
     return rounded(fused.orderBy(F.desc("fused"), "node_id").limit(100))
 
 

@@ -14,7 +14,6 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 COVERED = {
     **{n: "test_graph.py or test_fusion.py: trained methods" for n in plans.QUERIES if n.startswith("neural_")},
     "composed_method": "test_fusion.py: methods of parts",
-    "fuse_gate": "test_fusion.py: gate, weights and fusion",
     "peripheral_mismatch": "test_graph.py: detectors against numpy",
     "conformity": "test_graph.py: detectors against numpy",
     "spectral": "test_graph.py: detectors against numpy",
