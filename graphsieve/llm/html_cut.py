@@ -11,8 +11,11 @@ elements are taken as content and those in places of boilerplate as such. What a
 is fitted to these labels by logistic regression, drawn towards the weights given here, which hold where the sample has too few blocks of
 either label; what its place says is fixed, as it made the labels.
 
-Names (class, id, role) tell boilerplate by the elements nearest to a block: those of html, body, main and article, and of
-any element that holds an article or main, say nothing of what is inside; inside an article a header is a heading.
+Names (class, id, role) tell boilerplate by whole names: one of NOISE says so firmly, a compound of NOISE and FILLER words alone
+(``site-footer``, but not ``share-price`` or ``related-work``) weakly enough for long text, an article or neighbours to outvote it.
+Names and form elements say nothing of what is inside an element that holds an article or main, and on pages without these nothing inside one that
+holds most of the page's long text, unless it is named as comments; nor do names of html, body, main and article, nor those of a layout
+(``sidebar-left layout``). Inside an article a header is a heading.
 
 A missing table, null or empty html, or a page without content gives an empty text. Nothing is capped: the
 whole page is read, in time that grows with its length however deep its elements lie and whatever they leave
@@ -36,51 +39,60 @@ from graphsieve.llm.common import slices
 
 #: What stands in a tag after its name: a quoted value may hold a ``<`` only if it ends soon.
 INSIDE = r"""(?:"[^"<]*+"|'[^'<]*+'|"[^"]{0,2000}+"|'[^']{0,2000}+'|[^'"<>])*+"""
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|template|noscript|iframe|svg|math|textarea|select|object|canvas|audio|video|title)\b{INSIDE}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({INSIDE})>|([^<]+|<)", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|template|noscript|iframe|svg|annotation|annotation-xml|textarea|select|object|canvas|audio|video|title)\b{INSIDE}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({INSIDE})>|([^<]+|<)", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Fixed word lists: tags that run on within a line, that hold nothing, that close an open paragraph.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded mphantom merror".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Where the key begins, the innermost open element of these ends, unless one of LISTS stands inside it.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "tbody": ("tr",), "tfoot": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = ("ul", "ol", "table", "dl")
-#: Fixed word lists: places of boilerplate by tag, and by words in class, id and role.
+#: Fixed word lists: places of boilerplate by tag; of these, tags that pages wrap around whatever they like.
 OUTSIDE = frozenset("nav footer aside form menu button fieldset dialog".split())
-NOISE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer foot header masthead cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login comment comments reply replies disqus discussion respond share sharing social related recommended recommend toolbar pagination pager copyright legal disclaimer skip search complementary contentinfo".split())
+WRAPS = frozenset("form fieldset button".split())
+#: Fixed word lists: names of boilerplate; words that with these make names of boilerplate too; names of readers' comments.
+NOISE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget widgets footer foot header masthead cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login comment comments reply replies disqus discussion respond share sharing social related recommended recommend toolbar pagination pager copyright legal disclaimer skip search complementary contentinfo".split())
+FILLER = frozenset("site page main top bottom left right upper lower box block bar list item items link links area section wrap wrapper container inner outer button buttons btn icon icons text form global primary secondary mobile desktop sticky fixed inline first last row col column columns unit slot group panel region zone content title message thread body label author meta date count avatar posts articles stories reading tools this dialog google media policy info trail entry post id".split())
+COMMENTS = frozenset("comment comments reply replies disqus discussion respond".split())
+LAYOUT = frozenset("layout template theme".split())
 CORE = frozenset("article main".split())
 #: Fixed word lists: elements whose names say nothing of what they hold; words that inside an article name its heading; prefixes of names that tell what a page has elsewhere.
 WHOLE = frozenset("html body main article".split())
 HEADING_WORDS = frozenset("header head masthead".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CAMEL = re.compile("([a-z])([A-Z])")
 ABOUT = re.compile(r"^(?:has|with|no|is|not|hide|without)[-_]")
 #: The classifier's weights for a block's place, and those for the block itself before any fit.
-PLACE = {"core": 3.0, "outside": -8.0, "noise": -8.0, "head_tag": -2.0}
+PLACE = {"core": 3.0, "outside": -8.0, "noise": -8.0, "compound": -3.0, "head_tag": -2.0}
 WEIGHTS = {"bias": -0.6, "links": -3.0, "long": 2.2, "very_long": 1.0, "short": -0.7, "heading": 1.0, "sentence": 0.5}
 #: Pages from which the classifier is fitted, about; blocks of either label that it needs; how firmly it keeps to WEIGHTS.
 SAMPLE, LEAST, FIRM = 2000, 200, 40.0
 #: Smoothness: of neighbours under the same parent, less for each step between their parents; and of the next but one.
 TIE, FADE, SECOND = 0.9, 0.5, 0.3
+#: Words of a long block, at least.
+LONG = 12
 #: Steps beyond which neighbours count as untied.
 FAR = 40
 
 
 class Element:
-    """An open element; ``noise``: the nearest element up to here whose names tell of boilerplate (unless that holds an article)."""
+    """An element of the page; what its place says is settled when all of the page is read."""
 
-    __slots__ = ("tag", "parent", "block", "depth", "core", "outside", "header", "head", "named", "noise", "dead")
+    __slots__ = ("tag", "parent", "block", "depth", "core", "outside", "header", "head", "named", "comments", "words", "holds", "dead")
 
-    def __init__(self, tag: str, parent: Element | None, named: bool):
-        self.tag, self.parent, self.named, self.dead = tag, parent, named, False
+    def __init__(self, tag: str, parent: Element | None, named: int, comments: bool):
+        self.tag, self.parent, self.named, self.comments, self.dead = tag, parent, named, comments, False
         inline = tag in INLINE
         #: the innermost element that is no inline one
         self.block = self if not inline else parent.block if parent else None
         self.depth = (parent.block.depth if parent and parent.block else 0) + (not inline)
         self.core = tag in CORE or bool(parent and parent.core)
-        self.outside = tag in OUTSIDE or bool(parent and parent.outside)
+        self.outside = False
         self.header = tag == "header" or bool(parent and parent.header)
         self.head = tag == "head" or bool(parent and parent.head)
-        self.noise = self if named else parent.noise if parent else None
+        #: words of long blocks inside; whether an article or main is inside
+        self.words, self.holds = 0, False
 
 
 @dataclass
@@ -88,25 +100,53 @@ class Block:
     text: str
     linked: int  # characters inside links
     at: Element | None  # the innermost open element
-    noise: bool = False
 
+    @property
+    def words(self) -> int:
+        return self.text.count(" ") + 1
 
-def noisy(tag: str, attributes: str, core: bool) -> bool:
-    """Whether an element's names tell of boilerplate."""
+
+def told(tag: str, attributes: str, core: bool) -> tuple[int, bool]:
+    """How firmly an element's names tell of boilerplate (0 to 2), and whether of comments."""
     if tag in WHOLE or "=" not in attributes:
-        return False
+        return 0, False
+    firm, comments = 0, False
     for found in NAMES.findall(attributes):
-        for name in "".join(found).lower().split():
-            if not ABOUT.match(name):
-                words = NOISE.intersection(re.split(r"[^a-z]+", name))
-                if words - HEADING_WORDS if core else words:
-                    return True
-    return False
+        for name in CAMEL.sub(r"\1-\2", "".join(found)).lower().split():
+            words = [w for w in re.split(r"[^a-z]+", name) if w]
+            if words and words[-1] in LAYOUT:
+                return 0, False
+            noise = NOISE.intersection(words) - (HEADING_WORDS if core else frozenset())
+            if noise and not ABOUT.match(name) and all(w in NOISE or w in FILLER for w in words):
+                firm = max(firm, 2 if len(words) == 1 else 1)
+                comments = comments or bool(COMMENTS & noise)
+    return firm, comments
+
+
+def settle(made: list[Element], out: list[Block]) -> None:
+    """What each element's place says; elements come in the order in which they begin."""
+    for b in out:
+        if b.at is not None and b.words >= LONG and 2 * b.linked < len(b.text):
+            b.at.words += b.words
+    for e in reversed(made):
+        if e.parent is not None:
+            e.parent.words += e.words
+            e.parent.holds |= e.holds or e.tag in CORE
+    total = sum(e.words for e in made if e.parent is None)
+    bare = not any(e.tag in CORE and e.words for e in made)
+    for e in made:
+        most = e.holds or (bare and 2 * e.words > total and not e.comments)
+        if most:
+            e.named = 0
+        e.outside = e.tag in OUTSIDE and not (most and e.tag in WRAPS)
+        if e.parent is not None:
+            e.named, e.outside = max(e.named, e.parent.named), e.outside or e.parent.outside
 
 
 def blocks(page: str) -> list[Block]:
     """Runs of text between block elements, with where they stand. Takes time in proportion to the page."""
     out: list[Block] = []
+    made: list[Element] = []
     stack: list[Element] = []
     places: dict[str, list[int]] = {}  # where in the stack each tag's open elements are
     outer: list[int] = []  # where those that are not inline are
@@ -171,48 +211,31 @@ def blocks(page: str) -> list[Block]:
             parts.append(" " if tag == "br" else "")
         if tag not in VOID and not m[4].endswith("/"):
             parent = stack[-1] if stack else None
-            e = Element(tag, parent, noisy(tag, m[4], bool(parent and parent.core)))
-            if tag in CORE:
-                # what holds an article is no boilerplate as a whole
-                while e.noise is not None:
-                    e.noise.named = False
-                    e.noise = e.noise.parent.noise if e.noise.parent else None
+            e = Element(tag, parent, *told(tag, m[4], bool(parent and parent.core)))
+            made.append(e)
             places.setdefault(tag, []).append(len(stack))
             if not inline:
                 outer.append(len(stack))
             stack.append(e)
             links += tag == "a"
     flush()
-    for b in out:
-        b.noise = named(b.at)
+    settle(made, out)
     return out
 
 
-def named(e: Element | None) -> bool:
-    """Whether an element around is told as boilerplate by its names; those found not to be are passed over for good."""
-    passed = []
-    while e is not None and e.noise is not None and not e.noise.named:
-        passed.append(e)
-        e = e.noise.parent
-    found = e.noise if e is not None else None
-    for x in passed:
-        x.noise = found
-    return found is not None
-
-
 def place(b: Block) -> dict[str, bool]:
     e = b.at
     if e is None:
         return dict.fromkeys(PLACE, False)
-    return {"core": e.core, "outside": e.outside or (e.header and not e.core), "noise": b.noise, "head_tag": e.head or (e.header and e.core)}
+    return {"core": e.core, "outside": e.outside or (e.header and not e.core), "noise": e.named == 2, "compound": e.named == 1, "head_tag": e.head or (e.header and e.core)}
 
 
 def facts(b: Block) -> dict[str, float]:
-    words = b.text.count(" ") + 1
+    words = b.words
     return {
         "bias": 1.0,
         "links": min(1.0, b.linked / max(1, len(b.text))),
-        "long": words >= 12,
+        "long": words >= LONG,
         "very_long": words >= 40,
         "short": words < 5,
         "heading": b.at is not None and b.at.block is not None and b.at.block.tag in HEADINGS,

@@ -90,3 +90,61 @@ def test_frames(spark):
     got = sorted(((r.page_id or 0), r.url or "", r.text, r.n_chars) for r in hc.extract(pages).collect())
     assert got == [(0, "u", LONG, len(LONG)), (1, "u", LONG, len(LONG)), (1, "u", LONG, len(LONG)), (2, "", "", 0), (3, "u", "", 0)]
     assert hc.extract(pages.limit(0)).collect() == []
+
+
+def test_wrappers_and_compound_names_keep_content():
+    paragraphs = f"<p>{LONG}</p><p>Short one.</p><p>{LONG}</p>"
+    want = f"{LONG}\nShort one.\n{LONG}"
+    menu = "<nav><a href=/a>One</a> <a href=/b>Two</a></nav>"
+    for page in (
+        f"<body>{menu}<form id=aspnetForm method=post><input type=hidden><article>{paragraphs}</article><input type=submit></form>",
+        f"<body>{menu}<form id=aspnetForm><div id=content>{paragraphs}</div></form>",
+        f"<body>{menu}<div class='sidebar-left layout'>{paragraphs}</div>",
+        f"<body>{menu}<div class='legal-news'>{paragraphs}</div>",
+        f"<body>{menu}<div class='searchPage'><div>{paragraphs}</div></div>",
+        f"<body>{menu}<div class=sidebar-left>{paragraphs}</div>",
+    ):
+        assert hc.main_text(page) == want
+    inside = f"<article><p class='ad-hoc'>{LONG}</p><div class='share-price'>{LONG}</div><p class='side-effects'>{LONG}</p><section id='related-work'><h2>Related work</h2><p>{LONG}</p></section></article>"
+    assert hc.main_text(inside) == "\n".join([LONG] * 3 + ["Related work", LONG])
+    assert hc.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be the number of all the things that we count here.</p></article>") == "Let x=2 be the number of all the things that we count here."
+
+
+def test_boilerplate_still_goes():
+    side = f"<div class='sidebarBox'><p>{LONG}</p></div>"
+    for outside in (f"<form class=signup><label>Your mail address, so that we can send you all of our news each day</label></form>", f"<div class='site-footer'>{LONG}</div>", f"<div class='comment-list'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", "<div class='cookieNotice'>We use cookies, as all of the sites do, to make your visit better for us.</div>", side):
+        assert hc.main_text(f"<body><article><h1>Title</h1><p>{LONG}</p></article>{outside}") == f"Title\n{LONG}"
+        assert LONG + "\n" + LONG == hc.main_text(f"<body><div id=content><p>{LONG}</p><p>{LONG}</p></div>{outside}"), outside
+
+
+def made_pages(n):
+    """Pages of many forms, a third of them without article or main, and their texts."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvwz"), int(rng.integers(2, 9))))
+    sentence = lambda k: " ".join(word() for _ in range(k)).capitalize() + "."
+    menu = lambda: "<ul>" + "".join(f"<li><a href='/{word()}'>{word()}</a>" for _ in range(int(rng.integers(3, 9)))) + "</ul>"
+    outer = [("<article>", "</article>"), ("<main>", "</main>"), ("<form id=f><article>", "</article></form>"), ("<form><div id=main-column>", "</div></form>"), ("<div class='post'>", "</div>"), ("<div class='sidebar-right layout'><div class='entry'>", "</div></div>"), ("<div role=main>", "</div>")]
+    notices = ["<div class='ad'>{}</div>", "<aside>{}</aside>", "<div class='cookie-notice'>{}</div>", "<div id=comments><p>{}</p></div>", "<div class='related-posts'>{}</div>", "<footer>{}</footer>", "<!-- {} -->", "<script>var x='{}';</script>"]
+    for k in range(n):
+        heading, parts, lines = sentence(5), [], []
+        lines.append(heading[:-1])
+        parts.append(f"<h1>{heading[:-1]}</h1>")
+        for _ in range(int(rng.integers(4, 12))):
+            text = sentence(int(rng.integers(14, 60)))
+            shape = int(rng.integers(0, 5))
+            lines.append(text)
+            parts.append([f"<p>{text}</p>", f"<p>{text}", f"<p>  {text.replace(' ', '  ', 1)}\n</p>", f"<p>{text.replace(' ', ' <b>', 1).replace('.', '</b>.')}</p>", f"<div>{text}</div>"][shape])
+        open_, close = outer[k % len(outer)]
+        some = [str(rng.choice(notices)).format(sentence(int(rng.integers(6, 14)))) for _ in range(int(rng.integers(1, 5)))]
+        yield f"<html><head><title>{word()}</title></head><body><nav>{menu()}</nav>{''.join(some[:1])}{open_}{''.join(parts)}{close}{''.join(some[1:])}</body></html>", "\n".join(lines)
+
+
+def test_registered_query_on_made_pages(spark, tmp_path):
+    from graphsieve.llm import queries
+
+    pages = [*made_pages(140)]
+    spark.createDataFrame([(i, f"u{i}", p) for i, (p, _) in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.op7_html_cut(spark, str(tmp_path)).collect()}
+    wrong = [(pages[i][0], r.text, pages[i][1]) for i, r in got.items() if r.text != pages[i][1]]
+    assert len(got) == 140 and not wrong, (len(wrong), wrong[0])
+    assert all(r.n_chars == len(r.text) and r.url == f"u{i}" for i, r in got.items())
