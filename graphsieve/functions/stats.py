@@ -167,3 +167,46 @@ def chi2_tail(x: float, k: int) -> float:
         if abs(d * c - 1) < 1e-15:
             break
     return h * math.exp(-z + a * math.log(z) - math.lgamma(a))
+
+
+def beta_tail(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):  # where the fraction converges slowly
+        return 1 - beta_tail(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    total = d
+    for m in range(1, 10_000):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + term * d or tiny)
+            c = 1 + term / c or tiny
+            total *= d * c
+        if abs(d * c - 1) < 1e-15:
+            return front * total
+    raise ValueError("the incomplete beta function has not converged")
+
+
+def f_tail(f: float, d1: float, d2: float) -> float:
+    """The chance of a larger F."""
+    return 0.0 if math.isinf(f) else beta_tail(d2 / (d2 + d1 * f), d2 / 2, d1 / 2)
+
+
+def studentized_range(k: int, alpha: float = 0.05) -> float:
+    """The range of ``k`` normal values that is passed with chance ``alpha`` (the deviation being known), by bisection of its integral."""
+    below = lambda z: 0.5 * math.erfc(-z / 2**0.5)
+
+    def inside(q: float) -> float:
+        steps, low, high = 2000, -8.0, 8.0
+        h = (high - low) / steps
+        point = lambda z: math.exp(-z * z / 2) * (below(z) - below(z - q)) ** (k - 1)
+        total = point(low) + point(high) + sum((4 if i % 2 else 2) * point(low + i * h) for i in range(1, steps))
+        return k * total * h / 3 / (2 * math.pi) ** 0.5
+
+    low, high = 0.0, 20.0
+    for _ in range(60):
+        q = (low + high) / 2
+        low, high = (q, high) if inside(q) < 1 - alpha else (low, q)
+    return (low + high) / 2

@@ -127,6 +127,22 @@ class Graph:
         return self.nodes.select("node_id", unit("features").alias("u"))
 
 
+class Derived(Graph):
+    """A graph made from other tables: each side is written down when it is first asked for, the edges by their source."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, name: str = "derived"):
+        for k, v in (("raw_nodes", nodes), ("raw_edges", edges), ("name", name)):
+            object.__setattr__(self, k, v)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return keep(self.raw_nodes, "nodes")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return keep(self.raw_edges, "edges")
+
+
 def label_propagation(graph: Graph, rounds: int = 10) -> DataFrame:
     """node_id, community: each round a node takes its neighbours' most frequent label, the least of several; labels start as ids.
 

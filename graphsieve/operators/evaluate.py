@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphsieve.functions.stats import average_rank, chi2_tail
+from graphsieve.functions.stats import average_rank, chi2_tail, f_tail, studentized_range
 
 
 def labelled(scores: DataFrame, labels: DataFrame) -> DataFrame:
@@ -85,16 +87,19 @@ BONFERRONI_DUNN = [1.960, 2.241, 2.394, 2.498, 2.576, 2.638, 2.690, 2.724, 2.773
 
 
 def friedman(ranks: DataFrame) -> dict:
-    """Average ranks, the Friedman statistic with its p, Iman and Davenport's F, and critical differences."""
+    """Average ranks, the Friedman statistic with its p, Iman and Davenport's F with its p, and critical differences for any number of methods."""
     rows = ranks.groupBy("method").agg(F.avg("rank").alias("r"), F.count("*").alias("n")).orderBy("r", "method").collect()
     k, n = len(rows), max((r["n"] for r in rows), default=0)
     if k < 2 or n < 1:
-        return {"ranks": {r["method"]: r["r"] for r in rows}, "chi2": 0.0, "p": 1.0, "f": 0.0}
+        return {"ranks": {r["method"]: r["r"] for r in rows}, "n": n, "k": k, "chi2": 0.0, "p": 1.0, "f": 0.0, "p_f": 1.0}
     chi2 = 12 * n / (k * (k + 1)) * (sum(r["r"] ** 2 for r in rows) - k * (k + 1) ** 2 / 4)
     rest = n * (k - 1) - chi2
+    f = (n - 1) * chi2 / rest if rest > 1e-12 else float("inf")
     scale = (k * (k + 1) / (6 * n)) ** 0.5
-    cd = {f"cd_{name}": q[k - 2] * scale for name, q in (("nemenyi", NEMENYI), ("bonferroni_dunn", BONFERRONI_DUNN)) if k - 2 < len(q)}
-    return {"ranks": {r["method"]: r["r"] for r in rows}, "chi2": chi2, "p": chi2_tail(chi2, k - 1), "f": (n - 1) * chi2 / rest if rest > 0 else float("inf")} | cd
+    nemenyi = NEMENYI[k - 2] if k - 2 < len(NEMENYI) else studentized_range(k) / 2**0.5
+    dunn = BONFERRONI_DUNN[k - 2] if k - 2 < len(BONFERRONI_DUNN) else NormalDist().inv_cdf(1 - 0.05 / (2 * (k - 1)))
+    p_f = f_tail(f, k - 1, (k - 1) * (n - 1)) if n > 1 else 1.0
+    return {"ranks": {r["method"]: r["r"] for r in rows}, "n": n, "k": k, "chi2": chi2, "p": chi2_tail(chi2, k - 1), "f": f, "p_f": p_f, "cd_nemenyi": nemenyi * scale, "cd_bonferroni_dunn": dunn * scale}
 
 
 def latest(rows: DataFrame, keys: list[str], when: str = "ts") -> DataFrame:
@@ -130,10 +135,10 @@ def arm_pivot(decisions: DataFrame, models: list[str]) -> DataFrame:
 
 
 def paired_arms(decisions: DataFrame, a: str, b: str) -> DataFrame:
-    """dataset, means of both arms over the repeats they share, their difference, and how many repeats chose other sets."""
+    """dataset, means of both arms over the repeats they share, their difference, how many repeats chose other sets, and whether the second arm is worse."""
     side = lambda arm, tag: decisions.where(F.col("arm") == arm).select("dataset", "repeat", F.col("auroc").alias(f"auroc_{tag}"), F.array_sort("selected").alias(f"set_{tag}"))
     both = side(a, "a").join(side(b, "b"), ["dataset", "repeat"], "full_outer")
-    return both.groupBy("dataset").agg(F.avg("auroc_a").alias("mean_a"), F.avg("auroc_b").alias("mean_b"), (F.avg("auroc_b") - F.avg("auroc_a")).alias("delta"), F.sum(F.when(F.col("set_a") != F.col("set_b"), 1).otherwise(0)).alias("changed"))
+    return both.groupBy("dataset").agg(F.avg("auroc_a").alias("mean_a"), F.avg("auroc_b").alias("mean_b"), (F.avg("auroc_b") - F.avg("auroc_a")).alias("delta"), F.sum(F.when(F.col("set_a") != F.col("set_b"), 1).otherwise(0)).alias("changed"), (F.avg("auroc_b") < F.avg("auroc_a")).cast("int").alias("worse"))
 
 
 def probe_admission(rows: DataFrame) -> DataFrame:

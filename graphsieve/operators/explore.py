@@ -5,6 +5,7 @@ Functions return frames (or dicts of a few numbers); none of them writes evidenc
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,35 +83,50 @@ def profile(graph: Graph) -> dict:
     }
 
 
-def spectral_gap(graph: Graph, most: int = 3000, rounds: int = 60) -> dict:
-    """The second smallest eigenvalue of the Laplacian D - A, and how large it is. Above ``most`` nodes by power iteration with joins."""
-    from graphsieve.operators.neural import in_one_task
-    from graphsieve.sources.tables import keep
-
-    if graph.n <= most:
+def spectral_gap(graph: Graph, most: int = 300, tolerance: float = 1e-8) -> dict:
+    """The second smallest eigenvalue of the Laplacian D - A, and how large it is; at every size by Lanczos steps over the edge table.
 
-        def work(g):
-            import numpy as np
-
-            a = np.zeros((g.n, g.n))
-            np.add.at(a, (g.src, g.dst), 1.0)
-            a = (a + a.T) / 2
-            return np.full(g.n, np.sort(np.linalg.eigvalsh(np.diag(a.sum(1)) - a))[1] if g.n > 1 else 0.0)
+    A is the mean of both directions, loops left out. A step is a join with the edges and two passes of sums by which the new vector is set at
+    right angles to the constant one and to all before it; the vectors are a column of the node table, written each step. Steps end when the residual of
+    the least Ritz value, which bounds its distance to an eigenvalue, is below ``tolerance`` times the largest one, and the value
+    has stood still; ValueError after ``most`` steps without that.
+    """
+    from graphsieve.sources.tables import keep
 
-        row = in_one_task(graph, work).first()
-        gap = max(0.0, row["score"]) if row else 0.0
-    else:
-        # v moves by (2 dmax - L) and stays at right angles to the constant vector
-        shift = 2.0 * graph.simple_degrees.agg(F.max("degree")).first()[0]
-        v, gap = graph.simple_degrees.select("node_id", "degree", (F.pmod(F.xxhash64("node_id"), F.lit(2001)) / 1000.0 - 1).alias("v")), 0.0
-        for _ in range(rounds):
-            s = v.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).first()
-            v = v.withColumn("v", (F.col("v") - s["m"]) / (s["s"] or 1.0))
-            around = graph.symmetric.join(v.select(F.col("node_id").alias("dst"), F.col("v").alias("o")), "dst").groupBy(F.col("src").alias("node_id")).agg(F.sum("o").alias("o"))
-            lv = F.col("degree") * F.col("v") - F.coalesce("o", F.lit(0.0))
-            new = keep(v.join(around, "node_id", "left").select("node_id", "degree", "v", lv.alias("lv")), "gap")
-            gap = new.agg((F.sum(F.col("v") * F.col("lv")) / F.sum(F.col("v") * F.col("v"))).alias("g")).first()["g"]
-            v = new.select("node_id", "degree", (shift * F.col("v") - F.col("lv")).alias("v"))
+    n, diagonal, off, last = graph.n, [], [], []
+    gap = 0.0
+    if n > 1:
+        half = graph.edges.where("src <> dst").groupBy("src", "dst").agg((F.count("*") / 2).alias("w"))
+        both = keep(half.union(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")), "gap-edges")
+        degrees = both.groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("degree"))
+        start = graph.nodes.select("node_id", (F.pmod(F.xxhash64("node_id"), F.lit(1_000_003)) / 1_000_003.0 - 0.5).alias("v"))
+        m, s = start.agg(F.avg("v"), F.stddev_pop("v")).first()
+        unit = start.select("node_id", F.array((F.col("v") - m) / (s * n**0.5)).alias("q")) if s else start.select("node_id", F.array(F.lit(0.0)).alias("q"))
+        table = keep(unit.join(degrees, "node_id", "left").fillna({"degree": 0.0}), "gap")
+        for step in range(1, min(most, n - 1) + 1):
+            newest = F.col("q")[step - 1]
+            around = both.join(table.select(F.col("node_id").alias("dst"), newest.alias("v")), "dst").groupBy(F.col("src").alias("node_id")).agg(F.sum(F.col("w") * F.col("v")).alias("o"))
+            moved = keep(table.join(around, "node_id", "left").select("node_id", "degree", "q", (F.col("degree") * newest - F.coalesce("o", F.lit(0.0))).alias("y")), "gap-step")
+            alpha = None
+            y, norm2 = F.col("y"), 0.0
+            for _ in range(2):  # once leaves rounding errors of the size of what is taken away
+                mean, *along, norm2 = moved.select(y.alias("y"), "q").agg(F.avg("y"), *(F.sum(F.col("y") * F.col("q")[i]) for i in range(step)), F.sum(F.col("y") * F.col("y"))).first()
+                alpha = along[-1] if alpha is None else alpha
+                y = y - mean - F.aggregate(F.zip_with("q", F.array(*map(F.lit, along)), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+                norm2 -= n * mean**2 + sum(c * c for c in along)
+            beta = max(norm2, 0.0) ** 0.5
+            diagonal.append(alpha)
+            values, vectors = np.linalg.eigh(np.diag(diagonal) + np.diag(off, 1) + np.diag(off, -1))
+            off.append(beta)
+            scale = max(1.0, abs(values[-1]))
+            last = [*last[-2:], values[0]]
+            settled = len(last) == 3 and max(last) - min(last) <= tolerance * scale and abs(beta * vectors[-1, 0]) <= tolerance * scale
+            if settled or beta <= 1e-10 * scale or step == n - 1:
+                gap = max(0.0, float(values[0]))
+                break
+            table = keep(moved.select("node_id", "degree", F.array_append("q", y / beta).alias("q")), "gap")
+        else:
+            raise ValueError(f"the spectral gap has not settled after {most} steps; the last value is {last[-1]:.6g}")
     return {"spectral_gap": gap, "size": "large" if gap > 0.5 else "moderate" if gap > 0.1 else "small"}
 
 
@@ -265,6 +281,42 @@ def node_view(scores: DataFrame, ids: DataFrame) -> DataFrame:
     return p.join(ids.select("node_id").distinct(), "node_id", "left_semi").select("node_id", "paradigm", "score", "percentile", (F.col("percentile") > 90).cast("int").alias("flagged"))
 
 
+def score_matrix(scores: DataFrame, names: list[str]) -> DataFrame:
+    """node_id and a column of scores for each name."""
+    return scores.groupBy("node_id").pivot("paradigm", names).agg(F.first("score"))
+
+
+def cross_view(scores: DataFrame, ids: DataFrame, names: list[str], most: int = 50) -> DataFrame:
+    """node_id, convergence (how many paradigms flag it), and score and percentile in each: those most paradigms flag first, ``most`` of them."""
+    seen = node_view(scores.where(F.col("paradigm").isin(names)), ids)
+    flags = seen.groupBy("node_id").agg(F.sum("flagged").alias("convergence"))
+    wide = seen.groupBy("node_id").pivot("paradigm", names).agg(F.first("score").alias("score"), F.first("percentile").alias("percentile"))
+    return flags.join(wide, "node_id").orderBy(F.desc("convergence"), "node_id").limit(most)
+
+
+def component_profile(graph: Graph) -> DataFrame:
+    """One row: the profile by which parts of methods are recommended. Degrees count edge entries, deviations are those of samples.
+
+    Homophily over label-propagation communities is ``homophily``; the power-law sign is a largest degree above ten times the middle one.
+    """
+    degrees = graph.degrees
+    d = degrees.agg(F.count("*").alias("num_nodes"), F.avg("degree").alias("avg"), F.max("degree").alias("max_degree"), F.stddev_samp("degree").alias("std"))
+    middle = degrees.groupBy("degree").agg(F.count("*").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each degree
+    total = F.lit(graph.n)
+    middle = middle.where((F.col("above") <= F.floor(total / 2)) & (F.col("above") + F.col("n") > F.floor(total / 2))).select(F.col("degree").alias("middle"))
+    long = long_form(graph.nodes)
+    spread = long.groupBy("dim").agg(F.stddev_samp("value").alias("s"), F.sum(F.when(F.col("value") == 0, 1).otherwise(0)).alias("zeros"), F.count("*").alias("n"))
+    spread = spread.agg(F.count("*").alias("feature_dim"), F.avg("s").alias("s"), (F.sum("zeros") / F.sum("n")).alias("sparsity"))
+    alike = graph.nodes.groupBy(F.transform("features", lambda x: F.round(x, 6)).alias("f")).agg(F.count("*").alias("k")).agg((F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)) / F.sum("k")).alias("dup"))
+    m = graph.edges.agg(F.count("*").alias("num_edges"))
+    one = d.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(alike)).crossJoin(F.broadcast(middle))  # one row each
+    n = F.col("num_nodes")
+    return one.select(
+        "num_nodes", "num_edges", F.round(F.col("num_edges") / F.greatest(n * (n - 1), F.lit(1)), 6).alias("density"), F.round("avg", 2).alias("avg_degree"), "max_degree", F.round("std", 2).alias("degree_std"), "feature_dim",
+        F.round("sparsity", 4).alias("feature_sparsity"), F.round("s", 4).alias("feature_std_mean"), F.round("dup", 4).alias("feature_dup_rate"), ((n > 10) & (F.col("max_degree") > 10 * F.col("middle"))).cast("int").alias("is_power_law"),
+    )
+
+
 def case_file(graph: Graph, scores: DataFrame, ids: DataFrame) -> DataFrame:
     """node_id, degree, community, neighbours, norm, sparsity and a column for each paradigm's score."""
     near = graph.symmetric.join(ids.select(F.col("node_id").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("neighbours"))

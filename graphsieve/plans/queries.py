@@ -7,6 +7,7 @@ Results are rounded to six places, since sums differ in their last bits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from graphsieve import catalog
 from graphsieve.functions.stats import histogram, ks_statistic, long_form, min_max, norm, ordinal_rank, percentile_rank
-from graphsieve.graph import Graph, label_propagation
-from graphsieve.operators import detectors, evaluate, explore, fusion, neural, replay, study
-from graphsieve.sources.tables import embedding_nodes, keep, part_graph, table, user_graph
+from graphsieve.graph import Derived, Graph, label_propagation
+from graphsieve.operators import detectors, evaluate, explore, forest, fusion, neural, replay, sampling, study
+from graphsieve.sources.store import ResultStore
+from graphsieve.sources.tables import embedding_nodes, keep, part_graph, shared_folder, table, user_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,9 +72,9 @@ WITH rows AS (SELECT n_chars::DOUBLE AS score, doc_id AS node_id, (toxic > 0)::B
 
 
 def parts(spark: SparkSession, d: str, least: int = 2) -> Graph:
-    """The graph of parts, derived once: its views read the two tables written here."""
+    """The graph of parts; what is asked of it is derived once."""
     g = part_graph(spark, d, least)
-    return Graph(keep(g.nodes, "nodes"), keep(g.edges, "edges"), g.name)
+    return Derived(g.nodes, g.edges, g.name)
 
 
 def part_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -281,6 +283,49 @@ def composed_method(spark, d):
     return rounded(neural.train_method(Graph(keep(g.nodes, "n"), keep(g.edges, "e")), neural.RECIPES["gad_nr"]))
 
 
+@query()
+def isolation_conformity(spark, d):
+    return rounded(forest.isolation_conformity(parts(spark, d)))
+
+
+def picked(step: int) -> str:
+    """SQL for the number that ``sampling.choice`` gives."""
+    return f"('0x' || substr(md5('7:' || sample || ':{step}'), 1, 8))::BIGINT % n"
+
+
+WALKS = """,
+nb AS (SELECT src AS node, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS number, count(*) OVER (PARTITION BY src) AS n FROM edges),
+s0 AS (SELECT node_id AS sample, node_id AS node FROM nodes),""" + ",".join(f"""
+s{k} AS (SELECT sample, dst AS node FROM (SELECT DISTINCT sample, s.node, {picked(k)} AS number FROM s{k - 1} s JOIN nb USING (node)) JOIN nb USING (node, number))""" for k in (1, 2, 3)) + """,
+walked AS (SELECT sample, 0 AS place, node FROM s0 UNION ALL SELECT sample, 1, node FROM s1 UNION ALL SELECT sample, 2, node FROM s2 UNION ALL SELECT sample, 3, node FROM s3)"""
+
+
+@query(base(2) + WALKS + " SELECT sample, place::BIGINT AS place, node FROM walked")
+def sampled_walks(spark, d):
+    return rounded(sampling.walks(parts(spark, d), seed=7))
+
+
+@query(base(2) + WALKS + ", inside AS (SELECT DISTINCT sample, node FROM walked) SELECT x.sample, src, dst FROM inside x JOIN edges ON src = x.node JOIN inside y ON y.sample = x.sample AND y.node = dst")
+def sampled_subgraphs(spark, d):
+    g = parts(spark, d)
+    return rounded(sampling.induced(g, sampling.walks(g, seed=7)).select("sample", "src", "dst"))
+
+
+@query()
+def spectral_gap(spark, d):
+    found = explore.spectral_gap(user_graph(spark, d))
+    return spark.createDataFrame([(round(found["spectral_gap"], 6), found["size"])], "spectral_gap double, size string")
+
+
+@query(base(1) + """, m AS (SELECT count(*)::BIGINT AS n, (SELECT count(*) FROM edges)::BIGINT AS m FROM nodes), sd AS (SELECT avg(s) AS s FROM (SELECT stddev_samp(v) AS s FROM feat GROUP BY dim)),
+ dup AS (SELECT sum(CASE WHEN k > 1 THEN k ELSE 0 END)::DOUBLE / sum(k) AS r FROM (SELECT count(*) AS k FROM nodes GROUP BY list_transform(f, lambda z: round(z, 6))))
+ SELECT n AS num_nodes, m AS num_edges, round(m / (n * (n - 1)), 6) AS density, round((SELECT avg(degree) FROM deg), 2) AS avg_degree, (SELECT max(degree) FROM deg)::BIGINT AS max_degree, round((SELECT stddev_samp(degree) FROM deg), 2) AS degree_std, 6::BIGINT AS feature_dim,
+ round((SELECT avg((v = 0)::INT) FROM feat), 4) AS feature_sparsity, round(s, 4) AS feature_std_mean, round(r, 4) AS feature_dup_rate, ((SELECT max(degree) FROM deg) > 10 * (SELECT list_sort(list(degree), 'DESC')[n // 2 + 1] FROM deg))::BIGINT AS is_power_law FROM m, sd, dup""")
+def component_profile(spark, d):
+    """The profile by which parts of methods are recommended, without its homophily (label propagation)."""
+    return rounded(explore.component_profile(parts(spark, d, 1)))
+
+
 # --- features ------------------------------------------------------------------------------------------------------
 
 
@@ -775,6 +820,97 @@ def majority_vote(spark, d):
     return evaluate.majority_vote(chosen)
 
 
+#: Decisions as an experiment's log would have them, from events.
+DECISIONS = """
+WITH raw AS (SELECT 'd' || (user_id % 5) AS dataset, CASE event_id % 2 WHEN 0 THEN 'plain' ELSE 'rich' END AS arm, 'm' || (event_id % 3) AS model, user_id % 7 AS repeat, event_type, value FROM events),
+decisions AS (SELECT dataset, arm, model, repeat, list_sort(list_distinct(list(event_type))) AS selected, avg(value) AS auroc, min(value) AS auprc, max(value) AS latency_s, (count(*) % 4)::INT AS spare FROM raw GROUP BY 1, 2, 3, 4)"""
+
+
+def decision_rows(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "events").select(F.concat(F.lit("d"), (F.col("user_id") % 5).cast("string")).alias("dataset"), F.when(F.col("event_id") % 2 == 0, "plain").otherwise("rich").alias("arm"), F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")).alias("model"), (F.col("user_id") % 7).alias("repeat"), "event_type", "value")
+    rows = raw.groupBy("dataset", "arm", "model", "repeat").agg(F.array_sort(F.collect_set("event_type")).alias("selected"), F.avg("value").alias("auroc"), F.min("value").alias("auprc"), F.max("value").alias("latency_s"), (F.count("*") % 4).alias("spare"))
+    return rows.withColumn("valid_json", F.col("spare") > 0)
+
+
+@query(DECISIONS + " SELECT dataset, round(quantile_cont(m, 0.5), 6) AS auroc FROM (SELECT dataset, model, avg(auroc) AS m FROM decisions GROUP BY 1, 2) GROUP BY 1")
+def median_of_models(spark, d):
+    return rounded(evaluate.median_of_models(decision_rows(spark, d)))
+
+
+@query(DECISIONS + " SELECT arm, model, dataset, round(avg((spare > 0)::INT), 6) AS validity, count(DISTINCT array_to_string(selected, ',')) = 1 AS stable, round(avg(auroc), 6) AS auroc, round(avg(auprc), 6) AS auprc, round(list_sort(list(latency_s))[count(latency_s) // 2 + 1], 6) AS latency FROM decisions GROUP BY 1, 2, 3")
+def decision_report(spark, d):
+    return rounded(evaluate.decision_report(decision_rows(spark, d)))
+
+
+@query(DECISIONS + " SELECT dataset, arm, " + ", ".join(f"round(avg(auroc) FILTER (model = 'm{k}'), 6) AS m{k}" for k in range(3)) + " FROM decisions GROUP BY 1, 2")
+def arm_pivot(spark, d):
+    return rounded(evaluate.arm_pivot(decision_rows(spark, d), ["m0", "m1", "m2"]))
+
+
+@query(DECISIONS + """, one AS (SELECT dataset, repeat, arm, auroc, selected FROM decisions WHERE model = 'm0'),
+ both_ AS (SELECT coalesce(a.dataset, b.dataset) AS dataset, a.auroc AS x, b.auroc AS y, a.selected AS p, b.selected AS q FROM (SELECT * FROM one WHERE arm = 'plain') a FULL JOIN (SELECT * FROM one WHERE arm = 'rich') b ON a.dataset = b.dataset AND a.repeat = b.repeat)
+ SELECT dataset, round(avg(x), 6) AS mean_a, round(avg(y), 6) AS mean_b, round(avg(y) - avg(x), 6) + 0.0 AS delta, sum(CASE WHEN p <> q THEN 1 ELSE 0 END)::BIGINT AS changed, (avg(y) < avg(x))::BIGINT AS worse FROM both_ GROUP BY 1""")
+def paired_arms(spark, d):
+    return rounded(evaluate.paired_arms(decision_rows(spark, d).where("model = 'm0'"), "plain", "rich"))
+
+
+@query("""WITH p AS (SELECT event_type AS paradigm, CASE event_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE 50 END AS budget, value / 200 - 0.05 AS rho FROM events WHERE value > 60),
+ g AS (SELECT paradigm, budget, quantile_cont(rho, 0.5) AS median, min(rho) AS least FROM p GROUP BY 1, 2 HAVING quantile_cont(rho, 0.5) >= 0.5 AND min(rho) >= 0)
+ SELECT paradigm, budget::BIGINT AS budget, round(median, 6) AS median, round(least, 6) AS least FROM g QUALIFY row_number() OVER (PARTITION BY paradigm ORDER BY (budget <> 20)::INT, budget) = 1""")
+def probe_admission(spark, d):
+    budget = F.when(F.col("event_id") % 3 == 0, 5).when(F.col("event_id") % 3 == 1, 20).otherwise(50)
+    rows = table(spark, d, "events").where("value > 60").select(F.col("event_type").alias("paradigm"), budget.alias("budget"), (F.col("value") / 200 - 0.05).alias("rho"))
+    return rounded(evaluate.probe_admission(rows))
+
+
+#: Five methods on four data sets, so that the degrees of freedom are even and both tails are finite sums.
+METHODS = "WITH a AS (SELECT lang AS dataset, 'm' || (doc_id % 5) AS method, avg(n_chars) AS v FROM documents GROUP BY 1, 2), r AS (SELECT dataset, method, rank() OVER (PARTITION BY dataset ORDER BY v DESC) + (count(*) OVER (PARTITION BY dataset, v) - 1) / 2.0 AS rank FROM a)"
+
+
+@query(METHODS + """, m AS (SELECT method, avg(rank) AS r FROM r GROUP BY 1), c AS (SELECT 12.0 * 4 / 30 * (sum(r * r) - 5 * 36 / 4.0) AS chi2 FROM m), f AS (SELECT chi2, 3 * chi2 / (16 - chi2) AS f FROM c), t AS (SELECT *, 12 / (12 + 4 * f) AS x FROM f)
+ SELECT 4::BIGINT AS n, 5::BIGINT AS k, round(chi2, 6) AS chi2, round(exp(-chi2 / 2) * (1 + chi2 / 2), 6) AS p, round(f, 6) AS f, round(pow(x, 6) * (1 + 6 * (1 - x)), 6) AS p_f, round(2.728 * sqrt(30 / 24.0), 6) AS cd_nemenyi, round(2.498 * sqrt(30 / 24.0), 6) AS cd_bonferroni_dunn FROM t""")
+def friedman_test(spark, d):
+    rows = table(spark, d, "documents").groupBy(F.col("lang").alias("dataset"), F.concat(F.lit("m"), (F.col("doc_id") % 5).cast("string")).alias("method")).agg(F.avg("n_chars").alias("value"))
+    found = evaluate.friedman(evaluate.method_ranks(rows))
+    names = ["n", "k", "chi2", "p", "f", "p_f", "cd_nemenyi", "cd_bonferroni_dunn"]
+    return rounded(spark.createDataFrame([tuple(found[c] for c in names)], "n long, k long, " + ", ".join(f"{c} double" for c in names[2:])))
+
+
+@query(base(1) + """, c AS (SELECT paradigm, quantile_cont(score, 0.9) AS p FROM scores GROUP BY 1),
+ s AS (SELECT paradigm, count(*) AS n, avg(score) FILTER (score > p) AS mt, avg(score) FILTER (score <= p) AS mb, stddev_pop(score) FILTER (score > p) AS st, stddev_pop(score) FILTER (score <= p) AS sb, count(*) FILTER (score > p) AS nt, count(*) FILTER (score <= p) AS nb FROM scores JOIN c USING (paradigm) GROUP BY 1),
+ t AS (SELECT paradigm, CASE WHEN n >= 20 AND nt >= 2 AND nb >= 2 THEN greatest(0, least(1, 0.4 * least((mt - mb) / greatest(sb, 1e-10) / 5, 1) + 0.4 + 0.2 / (1 + st / greatest(mt, 1e-10)))) ELSE 0 END AS v FROM s)
+ SELECT paradigm, row_number() OVER (ORDER BY v DESC, paradigm)::BIGINT AS place, round(v, 6)::DOUBLE AS tail_separation FROM t QUALIFY place <= 3""")
+def tail_policy(spark, d):
+    return rounded(study.policy(part_scores(spark, d), "tail_separation", 3).select("paradigm", "place", "tail_separation"))
+
+
+@query(base(1) + " SELECT node_id, " + ", ".join(f"round(max(score) FILTER (paradigm = '{p}'), 6) AS {p}" for p in SHARES) + " FROM scores GROUP BY 1")
+def score_matrix(spark, d):
+    return rounded(explore.score_matrix(part_scores(spark, d), [*SHARES]))
+
+
+@query(base(1) + """, pc AS (SELECT paradigm, node_id, score, 100.0 * (rank() OVER (PARTITION BY paradigm ORDER BY score) - 1) / count(*) OVER (PARTITION BY paradigm) AS percentile FROM scores)
+ SELECT node_id, sum((percentile > 90)::INT)::BIGINT AS convergence, """ + ", ".join(f"round(max(score) FILTER (paradigm = '{p}'), 6) AS {p}_score, round(max(percentile) FILTER (paradigm = '{p}'), 6) AS {p}_percentile" for p in SHARES) + " FROM pc WHERE node_id % 40 = 7 GROUP BY 1 ORDER BY convergence DESC, node_id LIMIT 50")
+def cross_paradigm_view(spark, d):
+    s = part_scores(spark, d)
+    return rounded(explore.cross_view(s, s.where("node_id % 40 = 7").select("node_id"), [*SHARES]))
+
+
+@query("""WITH t AS (SELECT 'count_by' AS tool, unnest(['{"by": "lang"}', '{"by": "source"}']) AS params), own AS (SELECT * FROM t UNION ALL SELECT 'longest', '{"k": 5}')
+ SELECT tool, params, CASE WHEN tool = 'longest' THEN 5 WHEN params LIKE '%lang%' THEN (SELECT count(DISTINCT lang) FROM documents) ELSE (SELECT count(DISTINCT source) FROM documents) END::BIGINT AS n_rows, 1::BIGINT AS made, CASE WHEN params LIKE '%source%' THEN 0 ELSE 2 END::BIGINT AS read FROM own""")
+def tool_provenance(spark, d):
+    """Tools over the documents, called again and again, and what the log of calls then says of their results."""
+    store = ResultStore(spark, f"{shared_folder(spark)}/tools-{uuid.uuid4().hex}")
+    docs = table(spark, d, "documents")
+    store.register("count_by", lambda by: docs.groupBy(by).agg(F.count("*").alias("n")), lambda by: [f"{d}/documents.parquet"])
+    store.register("longest", lambda k: docs.orderBy(F.desc("n_chars"), "doc_id").limit(k).select("doc_id", "n_chars"))
+    for name, params, times in (("count_by", {"by": "lang"}, 3), ("count_by", {"by": "source"}, 1), ("longest", {"k": 5}, 3)):
+        for _ in range(times):
+            if error := store.execute(name, **params).error:
+                raise RuntimeError(error)
+    return store.provenance().select("tool", "params", "n_rows", "made", "read")
+
+
 _conditions = ", ".join(f"('{p.name}', {repr(k) if k else 'NULL'}, {repr(op) if op else 'NULL'}, {t}::DOUBLE)" for p in catalog.PARADIGMS.values() for k, (op, t) in (p.needs or {None: (None, 0.0)}).items())
 
 

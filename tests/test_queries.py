@@ -16,6 +16,8 @@ COVERED = {
     "composed_method": "test_fusion.py: methods of parts",
     "peripheral_mismatch": "test_graph.py: detectors against numpy",
     "conformity": "test_graph.py: detectors against numpy",
+    "isolation_conformity": "test_extensions.py: the registered query against walks by hand",
+    "spectral_gap": "test_extensions.py: the registered query against a dense solver",
     "spectral": "test_graph.py: detectors against numpy",
     "label_propagation_communities": "test_graph.py: communities",
 }
