@@ -32,7 +32,7 @@ LEXIS = Lexis.of(gap=" \t", breaks=".,;:!?\n\x0b\x0c\r")
 #: Bits of a bitmap: at least one slice, at most 64 MB.
 LEAST_BITS, MOST_BITS, SLICE = 1 << 16, 1 << 29, 16
 #: Runs and bucket places that a task holds before it sends them.
-HELD = 1 << 20
+HELD = 1 << 19
 ROWS = "lang string, phrase string, n long, slice int, places binary"
 SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("slice", pa.int32()), ("places", pa.binary())])
 
@@ -80,7 +80,11 @@ def bitmap(rows: DataFrame, bits: int, least: int) -> Bitmap:
                         yield out()
                     last = k
                     counts[:] = 0
-                counts += np.bincount(np.frombuffer(data.as_py(), "<u2"), minlength=1 << SLICE)
+                places = np.frombuffer(data.as_py(), "<u2")
+                if len(places) < 1 << 13:
+                    np.add.at(counts, places, 1)
+                else:
+                    counts += np.bincount(places, minlength=1 << SLICE)
         if last is not None:
             yield out()
 
@@ -138,7 +142,7 @@ def counted(docs: DataFrame, k: int, allowed, next_bits: int) -> DataFrame:
             none = pa.nulls(len(rows))
             return pa.RecordBatch.from_arrays([none.cast(pa.string()), none.cast(pa.string()), none.cast(pa.int64()), pa.array([s for s, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], schema=SCHEMA)
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             found = words_of(batch.column("text"), LEXIS)
             if not len(found):
                 continue
@@ -156,7 +160,7 @@ def counted(docs: DataFrame, k: int, allowed, next_bits: int) -> DataFrame:
                 ok[at] = bitmaps[0].has(own[at])
             at = np.flatnonzero(ok)
             if len(at):
-                coded = found.phrases(at, k).dictionary_encode()
+                coded = (found.phrases(at, k) if k > 1 else found.strings()).dictionary_encode()
                 tongue = langs.dictionary_encode()
                 key = tongue.indices.to_numpy().astype(np.int64)[found.text[at]] * len(coded.dictionary) + coded.indices.to_numpy()
                 key, n = np.unique(key, return_counts=True)
@@ -168,11 +172,12 @@ def counted(docs: DataFrame, k: int, allowed, next_bits: int) -> DataFrame:
                 size += len(places[-1])
             if pending > HELD:
                 held = [phrases()]
+                pa.default_memory_pool().release_unused()
                 pending = held[0].num_rows
                 if 2 * pending > HELD:
                     yield from out_phrases(held[0])
                     held, pending = [], 0
-            if size > 2 * HELD:
+            if size > 4 * HELD:
                 yield out_places()
                 places, size = [], 0
         if held:

@@ -29,7 +29,7 @@ LEAST_DOCS, TOP = 10, 10
 SCALE = 1_000_000_000
 LEXIS = Lexis.of(word=string.ascii_letters)
 #: Rows that a task sums before it sends them; pairs of counts that are tallied at once.
-HELD, PAIRS = 1 << 20, 1 << 20
+HELD, PAIRS = 1 << 19, 1 << 19
 COUNTS = "lang string, source string, term string, n long, docs long"
 
 
@@ -42,7 +42,7 @@ def counted(docs: DataFrame) -> DataFrame:
         def summed() -> pa.Table:
             return pa.concat_tables(held).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(["lang", "source", "term", "n", "docs"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=4 << 20):
             found = words_of(batch.column("text"), LEXIS)
             coded = found.strings().dictionary_encode()
             code, terms = coded.indices.to_numpy().astype(np.int64), coded.dictionary

@@ -44,7 +44,8 @@ LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 class Words:
     """The words of some texts, end to end."""
 
-    flat: np.ndarray  # the texts' bytes, A-Z lower-cased
+    flat: np.ndarray  # the texts' bytes, A-Z lower-cased, and a byte after each text
+    word: np.ndarray  # whether each of these belongs to a word
     start: np.ndarray
     end: np.ndarray
     text: np.ndarray  # which text each is in
@@ -80,32 +81,28 @@ class Words:
 
     def norm(self) -> tuple[np.ndarray, np.ndarray]:
         """The words' bytes with a space after each, and where each word begins (and the end)."""
-        size = self.end - self.start
-        begin = np.concatenate([[0], np.cumsum(size + 1)])
-        out = np.full(begin[-1], 32, np.uint8)
-        total = int(size.sum())
-        index = np.repeat(np.arange(len(size)), size)
-        within = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        out[begin[index] + within] = self.flat[self.start[index] + within]
-        return out, begin
-
-    def strings(self) -> pa.StringArray:
+        spaced, keep = self.flat.copy(), self.word.copy()
+        spaced[self.end], keep[self.end] = 32, True  # after a word stands a byte that belongs to none
+        return spaced[keep], np.concatenate([[0], np.cumsum(self.end - self.start + 1)])
+
+    def strings(self) -> pa.LargeStringArray:
         """The words as strings."""
-        return self.phrases(np.arange(len(self)), 1)
+        return large_strings(np.concatenate([[0], np.cumsum(self.end - self.start)]), self.flat[self.word])
 
-    def phrases(self, at: np.ndarray, n: int) -> pa.StringArray:
+    def phrases(self, at: np.ndarray, n: int) -> pa.LargeStringArray:
         """``n`` words from each of these places on, joined by a space."""
-        size = self.end - self.start
-        begin = np.concatenate([[0], np.cumsum(size + 1)])
+        norm, begin = self.norm()
         length = begin[at + n] - begin[at] - 1
-        offsets = np.concatenate([[0], np.cumsum(length)])
-        if n == 1:
-            index = np.repeat(np.arange(len(at)), length)
-            data = self.flat[self.start[at][index] + np.arange(offsets[-1]) - offsets[:-1][index]]
-        else:
-            norm, _ = self.norm()
-            data = norm[np.repeat(begin[at] - offsets[:-1], length) + np.arange(offsets[-1])]
-        return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        parts = [np.zeros(0, np.uint8)]
+        for low in range(0, len(at), 1 << 16):
+            size = length[low : low + (1 << 16)]
+            first = np.cumsum(size) - size
+            parts.append(norm[np.repeat(begin[at[low : low + (1 << 16)]] - first, size) + np.arange(size.sum())])
+        return large_strings(np.concatenate([[0], np.cumsum(length)]), np.concatenate(parts))
+
+
+def large_strings(offsets: np.ndarray, data: np.ndarray) -> pa.LargeStringArray:
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 @lru_cache(1)
@@ -143,19 +140,17 @@ def words_of(column: pa.Array, lexis: Lexis) -> Words:
     offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     low, high = (int(offsets[0]), int(offsets[-1])) if len(column) else (0, 0)
     raw = np.frombuffer(column.buffers()[2], np.uint8)[low:high] if high > low else np.zeros(0, np.uint8)
-    offsets = offsets - low
+    # after each text a byte that ends its last piece
+    offsets = offsets - low + np.arange(len(offsets))
+    raw = np.insert(raw, offsets[1:] - np.arange(1, len(offsets)), 0) if len(column) else raw
     kind = np.frombuffer(lexis.kinds, np.uint8)[raw]
+    kind[offsets[1:] - 1] = BREAK
     word = kind == WORD
-    before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
-    before[1:], after[:-1] = word[:-1], word[1:]
-    before[offsets[offsets < len(raw)]] = False
-    after[offsets[offsets > 0] - 1] = False
-    start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    text = np.searchsorted(offsets, start, "right") - 1
+    edge = np.diff(word, prepend=False)
+    places = np.flatnonzero(edge)
+    start, end = places[::2].copy(), places[1::2].copy()
     joined = np.zeros(len(start), bool)
     if len(start) > 1:
-        joined[:-1] = text[1:] == text[:-1]
         broken = np.flatnonzero(kind == BREAK)
-        if len(broken):
-            joined[:-1] &= np.searchsorted(broken, start[1:]) == np.searchsorted(broken, end[:-1])
-    return Words(LOWER[raw], start, end, text, joined, len(column))
+        joined[:-1] = np.searchsorted(broken, start[1:]) == np.searchsorted(broken, end[:-1])
+    return Words(LOWER[raw], word, start, end, np.searchsorted(offsets, start, "right") - 1, joined, len(column))
