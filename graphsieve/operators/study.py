@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from graphsieve.functions.stats import average_rank, ordinal_rank, safe_corr
 from graphsieve.operators import evaluate, fusion, replay
+from graphsieve.sources.tables import keep
 
 #: A paradigm with more quality than this gives a signal; rank correlations above that make a cluster.
 SIGNAL, CLUSTER = 0.3, 0.6
+CLOSED_FORM = ["attribute_inflation", "clique_density", "community", "conformity", "density", "homophily_violation", "local_affinity", "peripheral_mismatch", "spectral", "attr_struct_mismatch"]
 
 
 # --- gaps ----------------------------------------------------------------------------------------------------------
@@ -80,6 +82,10 @@ def landmarkers(scores: DataFrame) -> DataFrame:
     return scores.groupBy("paradigm").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), *(F.percentile("score", q).alias(f"p{round(100 * q)}") for q in (0.5, 0.9, 0.95, 0.99)))
 
 
+#: Fixed names of the candidate rules.
+RULES = ("gate", "consensus_filter", "agreement_weight", "order_decay", "lead_only", "ued_top1", "drop_lowest_ued", "adjudicator")
+
+
 # --- candidate rules -----------------------------------------------------------------------------------------------
 
 
@@ -120,9 +126,18 @@ def lead_if_best(scores: DataFrame, selection: list[str], graph, measure: str =
     return lead_only(scores, selection) if best and best["paradigm"] == selection[0] else fusion.compose(chosen, graph)[0]
 
 
-def by_rule(rule: str, scores: DataFrame, selection: list[str], graph, adjudication: dict | None = None) -> DataFrame:
-    """node_id, fused of a selection under a candidate rule; the gate's fusion where the rule leaves it to the gate."""
+def by_rule(rule: str, scores: DataFrame, selection: list[str], graph, adjudication: dict | None = None, always: bool = False) -> DataFrame:
+    """node_id, fused of a selection under a candidate rule; the gate's fusion where the rule leaves it to the gate.
+
+    Rules hold where the gate would average maxima (mode aom), ``always`` everywhere, as without a graph, which leaves no gate to ask.
+    """
     chosen = scores.where(F.col("paradigm").isin(selection))
+    if rule not in RULES:
+        raise ValueError(f"no rule {rule!r}")
+    if graph is not None and not always:
+        fused, _, decision = fusion.compose(chosen, graph)
+        if decision.mode != "aom":
+            return fused
     gate = lambda names: fusion.compose(scores.where(F.col("paradigm").isin(names)), graph)[0]
     if rule == "gate" or (rule in ("consensus_filter", "drop_lowest_ued") and len(selection) < 3):
         return gate(selection)
@@ -143,9 +158,66 @@ def by_rule(rule: str, scores: DataFrame, selection: list[str], graph, adjudicat
         view = (adjudication or {}).get("view", "").strip()
         single = (adjudication or {}).get("mode") == "single" and view in selection
         return lead_only(scores, [view]) if single else gate(selection)
-    if rule in ("order_decay", "lead_only"):
-        return {"order_decay": order_decay, "lead_only": lead_only}[rule](scores, selection)
-    raise ValueError(f"no rule {rule!r}")
+    return {"order_decay": order_decay, "lead_only": lead_only}[rule](scores, selection)
+
+
+def by_rules(rule: str, scores: DataFrame, log: DataFrame, degrees: DataFrame, communities: DataFrame, avg_degree: float, answers: DataFrame | None = None, found: replay.Replay | None = None) -> DataFrame:
+    """decision, node_id, fused, ruled for all decisions of a log (decision, paradigm, place: 0 is the lead) under one rule, in one plan.
+
+    Only decisions whose gate averages maxima (mode aom) are ruled; the others, and those that a rule leaves to the gate, are fused by the
+    gate. ``answers`` (decision, mode, view) are those of an adjudicator. Rules that drop paradigms replay what is left; ``found``: the log's
+    replay, if it is at hand.
+    """
+    if rule not in RULES:
+        raise ValueError(f"no rule {rule!r}")
+    found = found or replay.replay(scores, log, degrees, communities, avg_degree)
+    if rule == "gate":
+        return found.fused.withColumn("ruled", F.lit(False))
+    open_ = found.gates.where("mode = 'aom'").select("decision")
+    own = log.join(found.weights.select("decision", "paradigm", "ued"), ["decision", "paradigm"]).join(open_, "decision")
+    own = own.join(own.groupBy("decision").agg(F.count("*").alias("k")), "decision")
+    first = lambda *order: F.row_number().over(Window.partitionBy("decision").orderBy(*order)) == 1
+    if rule in ("consensus_filter", "drop_lowest_ued"):
+        if rule == "drop_lowest_ued":
+            gone = own.where("k >= 3").withColumn("worst", first("ued", F.desc("paradigm"))).where("worst")
+        else:
+            gone = own.where("k >= 3").join(agreements(scores, own), ["decision", "paradigm"]).where("rho < 0")
+            gone = gone.join(gone.groupBy("decision", "k").agg(F.count("*").alias("n")).where("n < k").select("decision"), "decision", "left_semi")
+        gone = keep(gone.select("decision", "paradigm"), "rule-dropped")
+        touched = gone.select("decision").distinct()
+        left = log.join(touched, "decision", "left_semi").join(gone, ["decision", "paradigm"], "left_anti")
+        ruled = replay.replay(scores, left, degrees, communities, avg_degree).fused
+    else:
+        if rule == "order_decay":
+            weights = own.withColumn("w", F.pow(F.lit(0.5), F.col("place")))
+        elif rule == "lead_only":
+            weights = own.where("place = 0").withColumn("w", F.lit(1.0))
+        elif rule == "ued_top1":
+            weights = own.withColumn("best", first(F.desc("ued"), "paradigm")).where("best").withColumn("w", F.lit(1.0))
+        elif rule == "adjudicator":
+            if answers is None:
+                return found.fused.withColumn("ruled", F.lit(False))
+            views = answers.where("mode = 'single'").select("decision", F.trim("view").alias("paradigm")).distinct()
+            weights = own.join(views, ["decision", "paradigm"]).withColumn("w", F.lit(1.0))
+        else:
+            pairs = fusion.spearman_pairs(scores)
+            both = pairs.select(F.col("a").alias("paradigm"), F.col("b").alias("other"), "rho").union(pairs.select("b", "a", "rho"))
+            near = own.join(both, "paradigm").join(own.select("decision", F.col("paradigm").alias("other")), ["decision", "other"])
+            near = near.groupBy("decision", "paradigm").agg(F.greatest(F.percentile("rho", 0.5), F.lit(0.0)).alias("near"))
+            weights = own.join(near, ["decision", "paradigm"], "left").withColumn("w", F.when(F.col("k") == 1, 1.0).otherwise(F.coalesce("near", F.lit(0.0))))
+        total = weights.groupBy("decision").agg(F.sum("w").alias("all")).where(F.col("all") > 0)
+        weights = keep(weights.join(total, "decision").select("decision", "paradigm", (F.col("w") / F.col("all")).alias("w")), "rule-weights")
+        touched = weights.select("decision").distinct()
+        ruled = rank_shares(scores).join(weights, "paradigm").groupBy("decision", "node_id").agg(F.sum(F.col("r") * F.col("w")).alias("fused"))
+    return ruled.withColumn("ruled", F.lit(True)).unionByName(found.fused.join(touched, "decision", "left_anti").withColumn("ruled", F.lit(False)))
+
+
+def agreements(scores: DataFrame, log: DataFrame) -> DataFrame:
+    """decision, paradigm, rho: rank correlation with the mean rank of the decision's other paradigms; means that agree to twelve places tie."""
+    rows = rank_shares(scores).join(log.select("decision", "paradigm"), "paradigm")
+    sums = rows.groupBy("decision", "node_id").agg(F.sum("r").alias("total"), F.count("*").alias("k"))
+    others = rows.join(sums, ["decision", "node_id"]).withColumn("others", F.round((F.col("total") - F.col("r")) / F.greatest(F.col("k") - 1, F.lit(1)), 12))
+    return others.withColumn("ro", ordinal_rank("others", ["decision", "paradigm"])).groupBy("decision", "paradigm").agg(safe_corr("r", "ro").alias("rho"))
 
 
 # --- policies ------------------------------------------------------------------------------------------------------
@@ -182,6 +254,32 @@ def policy(scores: DataFrame, measure: str, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc(measure), "paradigm"))).where(F.col("place") <= k)
 
 
+def arm_selection(arm: str, applicable: DataFrame, seed: int = 0, closed_form: list[str] | None = None) -> DataFrame:
+    """dataset, selected: what a policy without a model selects of the paradigms that apply (dataset, paradigm).
+
+    all_applicable: all; random3: three (or all of fewer) by a hash of data set, name and seed; closed_form: those of that kind, or else the first.
+    """
+    if arm not in ("all_applicable", "random3", "closed_form"):
+        raise ValueError(f"no arm {arm!r}")
+    own = Window.partitionBy("dataset")
+    rows = applicable.select("dataset", "paradigm").distinct()
+    if arm == "random3":
+        drawn = F.md5(F.concat_ws(":", "dataset", "paradigm", F.lit(str(seed))))
+        rows = rows.withColumn("k", F.row_number().over(own.orderBy(drawn, "paradigm"))).where("k <= 3")
+    elif arm == "closed_form":
+        closed = F.col("paradigm").isin(CLOSED_FORM if closed_form is None else closed_form)
+        rows = rows.withColumn("closed", closed).withColumn("any", F.max("closed").over(own)).withColumn("k", F.row_number().over(own.orderBy("paradigm"))).where("closed or (not any and k = 1)")
+    return rows.groupBy("dataset").agg(F.array_sort(F.collect_list("paradigm")).alias("selected"))
+
+
+def evidence_pack(profile: dict, paradigms: list[dict], statistics: DataFrame, domain: str | None = None) -> dict:
+    """What a selection is to be based on: the profile, the paradigms that apply (without empty fields), landmarkers of fast ones by name, and what the graph is."""
+    rounded = lambda v: round(v, 4) if isinstance(v, float) else v
+    stats = {r["paradigm"]: {k: rounded(v) for k, v in r.asDict().items() if k != "paradigm"} for r in statistics.orderBy("paradigm").collect()}  # a row for each paradigm
+    pack = {"profile": {k: rounded(v) for k, v in profile.items()}, "paradigms": [{k: v for k, v in p.items() if v} for p in paradigms], "statistics": stats}
+    return ({"domain": domain} if domain else {}) | pack
+
+
 def best_fixed(results: DataFrame) -> DataFrame:
     """selection, mean: the selection with the best mean over all data sets (columns dataset, selection, auroc)."""
     return results.groupBy("selection").agg(F.avg("auroc").alias("mean"), F.count_distinct("dataset").alias("datasets")).orderBy(F.desc("datasets"), F.desc("mean"), "selection").limit(1).select("selection", "mean")

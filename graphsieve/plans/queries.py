@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphsieve import catalog
@@ -744,6 +744,33 @@ def subset_search(spark, d):
     return rounded(found.select("mask", "auroc"))
 
 
+RULED = f""",
+spots AS (SELECT decision, paradigm, row_number() OVER (PARTITION BY decision ORDER BY paradigm) - 1 AS place FROM log),
+shares AS (SELECT paradigm, node_id, (row_number() OVER (PARTITION BY paradigm ORDER BY score, node_id) - 1)::DOUBLE / greatest(count(*) OVER (PARTITION BY paradigm) - 1, 1) AS r FROM scores),
+theirs AS (SELECT spots.*, ued, count(*) OVER (PARTITION BY decision) AS k FROM spots JOIN w1 USING (decision, paradigm) JOIN gates USING (decision) WHERE mode = 'aom'),
+agree AS (SELECT x.decision, x.paradigm, greatest(quantile_cont(rho, 0.5), 0) AS near FROM theirs x JOIN theirs y ON x.decision = y.decision JOIN two ON a = x.paradigm AND b = y.paradigm GROUP BY 1, 2),
+rules AS (SELECT 'order_decay' AS rule, decision, paradigm, pow(0.5, place) AS w FROM theirs UNION ALL SELECT 'lead_only', decision, paradigm, 1.0 FROM theirs WHERE place = 0
+ UNION ALL SELECT 'ued_top1', decision, paradigm, 1.0 FROM theirs QUALIFY row_number() OVER (PARTITION BY decision ORDER BY ued DESC, paradigm) = 1
+ UNION ALL SELECT 'agreement_weight', decision, paradigm, CASE WHEN k = 1 THEN 1.0 ELSE coalesce(near, 0) END FROM theirs LEFT JOIN agree USING (decision, paradigm)),
+totals AS (SELECT rule, decision, sum(w) AS total FROM rules GROUP BY 1, 2 HAVING sum(w) > 0),
+ruled AS (SELECT rule, decision, node_id, sum(r * w / total) AS fused FROM rules JOIN totals USING (rule, decision) JOIN shares USING (paradigm) GROUP BY 1, 2, 3),
+every AS (SELECT rule, decision, node_id, fused, true AS ruled FROM ruled UNION ALL SELECT rule, decision, node_id, fused, false FROM (SELECT * FROM fused, (SELECT unnest(['order_decay', 'lead_only', 'ued_top1', 'agreement_weight']) AS rule)) ANTI JOIN totals USING (rule, decision))"""
+
+
+@query(STAND_IN_SCORES + USER_LOG + REPLAY + RULED + " SELECT rule, decision, node_id, round(fused, 8) + 0.0 AS fused, ruled, row_number() OVER (PARTITION BY rule, decision ORDER BY round(fused, 8) DESC, node_id) AS place FROM every QUALIFY place <= 20")
+def replay_rules(spark, d):
+    """The twenty highest nodes of every decision of a log under each candidate rule that weighs ranks."""
+    g = parts(spark, d)
+    scores, log = keep(stand_in_scores(g), "scores"), user_log(spark, d)
+    log = keep(log.withColumn("place", F.row_number().over(Window.partitionBy("decision").orderBy("paradigm")) - 1), "log")
+    found, rows = replay.replay(scores, log, g.degrees, g.communities, g.m / max(1, g.n)), None
+    for rule in ("order_decay", "lead_only", "ued_top1", "agreement_weight"):
+        got = study.by_rules(rule, scores, log, g.degrees, g.communities, g.m / max(1, g.n), found=found).select(F.lit(rule).alias("rule"), "decision", "node_id", F.round("fused", 8).alias("fused"), "ruled")
+        rows = got if rows is None else rows.unionByName(got)
+    place = F.row_number().over(Window.partitionBy("rule", "decision").orderBy(F.desc("fused"), "node_id"))
+    return rows.withColumn("place", place.cast("long")).where(F.col("place") <= 20)
+
+
 def scaled_as(paradigm: str, raw: str) -> str:
     return f"SELECT '{paradigm}' AS paradigm, node_id, round(CASE WHEN hi - lo < 1e-10 THEN 0.0 ELSE (score - lo) / (hi - lo) END, 9) AS score FROM {raw}, (SELECT min(score) AS lo, max(score) AS hi FROM {raw})"
 

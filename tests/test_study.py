@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 
 from graphsieve.graph import Graph
-from graphsieve.operators import fusion, study
+from graphsieve.operators import fusion, replay, study
 from graphsieve.session import Session
-from graphsieve.sources.tables import read_scores, write_scores
+from graphsieve.sources.tables import keep, read_scores, write_scores
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def test_gaps(made, spark):
 
 def test_rules(made):
     by, scores, graph = made
-    got = lambda rule, sel, **k: {r.node_id: r.fused for r in study.by_rule(rule, scores, sel, graph, **k).collect()}
+    got = lambda rule, sel, **k: {r.node_id: r.fused for r in study.by_rule(rule, scores, sel, graph, **{"always": True} | k).collect()}
     near = lambda x, want: np.allclose([x[i] for i in range(len(want))], want, atol=1e-9)
     assert near(got("order_decay", ["c", "a"]), (shares(by["c"]) + 0.5 * shares(by["a"])) / 1.5)
     assert near(got("lead_only", ["c", "a"]), shares(by["c"]))
@@ -60,6 +60,42 @@ def test_rules(made):
     assert near(got("agreement_weight", ["a", "b", "c"]), sum(w[p] * shares(by[p]) for p in w) / sum(w.values()))
     with pytest.raises(ValueError):
         got("none such", ["a"])
+    fused, _, gate = fusion.compose(scores.where("paradigm in ('a', 'b', 'c')"), graph)
+    plain = {r.node_id: r.fused for r in fused.collect()}
+    assert (got("lead_only", ["c", "a", "b"], always=False) == plain) == (gate.mode != "aom")
+
+
+def test_rules_over_a_log_are_those_of_each_decision(made, spark):
+    by, scores, graph = made
+    sets = {1: ["c", "a", "b"], 2: ["a", "b", "d"], 3: ["c", "d", "a", "b"], 4: ["a"], 5: ["b", "c"]}
+    log = spark.createDataFrame([(k, p, i) for k, ps in sets.items() for i, p in enumerate(ps)], "decision long, paradigm string, place int")
+    answers = spark.createDataFrame([(1, "single", " a "), (2, "gate", None), (3, "single", "z")], "decision long, mode string, view string")
+    found = replay.replay(scores, log, graph.degrees, graph.communities, graph.m / graph.n)
+    found.fused = keep(found.fused, "fused")
+    modes = {r.decision: r["mode"] for r in found.gates.collect()}
+    told = {1: {"mode": "single", "view": " a "}, 2: {"mode": "gate"}, 3: {"mode": "single", "view": "z"}}
+    for rule in ("order_decay", "agreement_weight", "consensus_filter", "drop_lowest_ued", "ued_top1", "lead_only", "adjudicator"):
+        got = {}
+        for r in study.by_rules(rule, scores, log, graph.degrees, graph.communities, graph.m / graph.n, answers, found).collect():
+            got.setdefault(r.decision, {})[r.node_id] = r.fused
+            assert modes[r.decision] == "aom" or not r.ruled
+        for k in {"order_decay": (1,), "consensus_filter": (2,), "adjudicator": (1,)}.get(rule, ()):
+            want = {r.node_id: r.fused for r in study.by_rule(rule, scores, sets[k], graph, told.get(k)).collect()}
+            assert got[k].keys() == want.keys() and all(abs(got[k][n] - want[n]) < 1e-8 for n in want), (rule, k)
+        assert got.keys() == sets.keys()
+
+
+def test_arms_and_evidence(spark):
+    rows = spark.createDataFrame([("x", p) for p in ("community", "contrastive", "density", "one_class", "spectral")] + [("y", "one_class"), ("y", "contrastive")], "dataset string, paradigm string")
+    of = lambda arm, **k: {r.dataset: r.selected for r in study.arm_selection(arm, rows, **k).collect()}
+    assert len(of("all_applicable")["x"]) == 5 and of("closed_form") == {"x": ["community", "density", "spectral"], "y": ["contrastive"]}
+    drawn = [tuple(of("random3", seed=k)["x"]) for k in range(8)]
+    assert all(len(set(d)) == 3 for d in drawn) and len(set(drawn)) > 1 and len(of("random3")["y"]) == 2 and drawn[0] == tuple(of("random3", seed=0)["x"])
+    with pytest.raises(ValueError):
+        study.arm_selection("other", rows)
+    scores = spark.createDataFrame([("a", i, i / 3) for i in range(4)], "paradigm string, node_id long, score double")
+    pack = study.evidence_pack({"num_nodes": 4, "density": 0.123456}, [{"name": "a", "assumption": "", "reason": "n is 4"}], study.landmarkers(scores))
+    assert pack["profile"] == {"num_nodes": 4, "density": 0.1235} and pack["paradigms"] == [{"name": "a", "reason": "n is 4"}] and pack["statistics"]["a"]["mean"] == 0.5 and "domain" not in pack
 
 
 def test_policies_and_logs(made, spark):
