@@ -163,6 +163,35 @@ def clique_density(graph: Graph) -> DataFrame:
     return min_max(graph.triangles.select("node_id", (F.col("triangles") * F.col("clustering")).alias("score")))
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of numbers; null entries are NaN."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+
+
+def nearest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, with_self: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For rows of ``x``, some at once: node, other, distance of the ``k`` nearest rows of ``y``, ties to the smaller id.
+
+    A product of matrices gives squared distances up to rounding; whoever may be among the nearest by these is then measured exactly.
+    """
+    size_y = (y * y).sum(1)
+    for at in range(0, len(x), 256):
+        part, own = x[at : at + 256], ids[at : at + 256]
+        size = (part * part).sum(1)
+        rough = size[:, None] + size_y - 2 * part @ y.T
+        allowed = np.ones(rough.shape, bool) if with_self else own[:, None] != others
+        rough[~allowed | np.isnan(rough)] = np.inf
+        last = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+        slack = np.nan_to_num(1e-9 * (size + np.nanmax(size_y, initial=0.0))) + 1e-12
+        row, col = np.nonzero((rough <= (last + slack)[:, None]) & allowed)
+        d = np.sqrt(((y[col] - part[row]) ** 2).sum(1))
+        order = np.lexsort((others[col], d, row))
+        row, col, d = row[order], col[order], d[order]
+        first = np.searchsorted(row, row)
+        near = np.arange(len(row)) - first < k
+        yield own[row[near]], others[col[near]], d[near]
+
+
 def neighbours(nodes: DataFrame, k: int, with_self: bool) -> DataFrame:
     """node_id, other, d, place: the ``k`` nearest by Euclidean distance, ties to the smaller id.
 
@@ -176,18 +205,10 @@ def neighbours(nodes: DataFrame, k: int, with_self: bool) -> DataFrame:
     right = nodes.select(every.alias("i"), own.alias("j"), "node_id", "features")
 
     def unit(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"node_id": [], "other": [], "d": []}
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if a.num_rows and b.num_rows:
-            ids, others = a.column("node_id").to_numpy(), b.column("node_id").to_numpy()
-            x, y = (np.array(t.column("features").to_pylist(), float) for t in (a, b))
-            for at in range(len(ids)):
-                d = np.sqrt(((y - x[at]) ** 2).sum(1))
-                use = np.arange(len(others)) if with_self else np.flatnonzero(others != ids[at])
-                near = use[np.lexsort((others[use], d[use]))[:k]]
-                out["node_id"] += [int(ids[at])] * len(near)
-                out["other"] += others[near].tolist()
-                out["d"] += d[near].tolist()
-        return pa.table({"node_id": pa.array(out["node_id"], pa.int64()), "other": pa.array(out["other"], pa.int64()), "d": pa.array(out["d"], pa.float64())})
+            found += nearest(a.column("node_id").to_numpy(), matrix(a.column("features")), b.column("node_id").to_numpy(), matrix(b.column("features")), k, with_self)
+        return pa.table({name: np.concatenate([f[i] for f in found]) for i, name in enumerate(("node_id", "other", "d"))})
 
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(unit, "node_id long, other long, d double")
     place = F.row_number().over(Window.partitionBy("node_id").orderBy("d", "other"))

@@ -198,3 +198,23 @@ def test_friedman_of_many_methods(spark):
     found = evaluate.friedman(evaluate.method_ranks(spark.createDataFrame(rows, "dataset string, method string, value double")))
     assert found["k"] == 12 and found["cd_nemenyi"] > found["cd_bonferroni_dunn"] > 0 and 0 <= found["p_f"] <= 1
     assert abs(found["cd_nemenyi"] / (12 * 13 / 36) ** 0.5 - 3.268) < 2e-3
+
+
+def test_nearest_is_exact_for_ties_and_scales():
+    from graphsieve.operators import detectors
+
+    rng = np.random.default_rng(0)
+    for trial in range(12):
+        n, m, dim = int(rng.integers(1, 400)), int(rng.integers(1, 200)), int(rng.integers(1, 6))
+        x, y = (np.round(rng.normal(size=(c, dim)) * 10.0 ** int(rng.integers(-3, 5)), int(rng.integers(0, 3))) for c in (n, m))
+        x[0] = np.nan if trial % 4 == 0 else x[0]
+        ids, others = rng.permutation(1000)[:n], rng.permutation(1000)[:m]
+        for with_self in (True, False):
+            for k in (1, 5, 300):
+                got = [(int(p), int(q), r) for part in detectors.nearest(ids, x, others, y, k, with_self) for p, q, r in zip(*part, strict=True)]
+                want = []
+                for i in range(n):
+                    d = np.sqrt(((y - x[i]) ** 2).sum(1))
+                    use = np.flatnonzero(with_self | (others != ids[i]))
+                    want += [(int(ids[i]), int(others[j]), d[j]) for j in use[np.lexsort((others[use], d[use]))[:k]]]
+                assert len(got) == len(want) and all(g[:2] == w[:2] and (g[2] == w[2] or np.isnan(g[2])) for g, w in zip(got, want, strict=True))
