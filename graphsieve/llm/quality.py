@@ -185,9 +185,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     model = LabelModel(keys, counts)
     bad = dict(zip(keys.tolist(), model.posterior(keys).tolist(), strict=True))
 
-    total = int(counts.sum())
+    total = source.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
     scale = 1 << 30
-    # at most about ``sample`` distinct texts, as a hash deals them
+    # about ``sample`` distinct texts, as a hash deals them, however many copies each has
     drawn = source.select("text").where(F.pmod(F.xxhash64("text"), F.lit(scale)) < int(min(1, sample / max(1, total)) * scale)).distinct()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

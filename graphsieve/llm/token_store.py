@@ -123,12 +123,12 @@ def repair(ids: np.ndarray, last: np.ndarray, vocabulary: int, least: int = LEAS
     return seq & ~END, seq >= END, (made >> np.uint64(32)).astype(np.uint32), (made & np.uint64(0xFFFFFFFF)).astype(np.uint32), lengths[vocabulary:]
 
 
-def to_payload(parts: list[np.ndarray], vocabulary: int) -> bytes:
+def to_payload(parts: list[np.ndarray], vocabulary: int, least: int = LEAST) -> bytes:
     """The shard format for documents given as arrays of ids; none may be empty."""
     ids = np.concatenate(parts)
     last = np.zeros(len(ids), bool)
     last[np.cumsum([len(x) for x in parts]) - 1] = True
-    seq, last, left, right, lengths = repair(ids, last, vocabulary)
+    seq, last, left, right, lengths = repair(ids, last, vocabulary, least)
     offsets = np.concatenate([[0], np.flatnonzero(last) + 1]).astype("<u4")
     width = 2 if vocabulary + len(left) <= 1 << 16 else 4
     head = np.array([vocabulary, len(left), len(seq), len(parts), len(ids), width], "<u4")
@@ -177,11 +177,11 @@ class Shard:
         return self.expand(self.symbols), sums[self.offsets]
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int = 1 << 19, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shards of about ``shard_tokens`` ids in ascending order of the id column, a row each (SHARD_SCHEMA).
 
     One range shuffle puts the documents into order. ``part`` numbers the sorted partitions and ``shard``
-    those inside one. A document lies in one shard, whatever its length.
+    those inside one. A document lies in one shard, whatever its length. Pairs that occur ``least`` times in a shard become rules; with 2 none is left.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int =
         part, number, docs_held, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def shard() -> pa.RecordBatch:
-            row = {"part": part, "shard": number, "first_doc": docs_held[0], "n_docs": len(parts), "n_tokens": size, "doc_ids": docs_held, "payload": to_payload(parts, vocabulary)}
+            row = {"part": part, "shard": number, "first_doc": docs_held[0], "n_docs": len(parts), "n_tokens": size, "doc_ids": docs_held, "payload": to_payload(parts, vocabulary, least)}
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds, strict=True)], list(row))
 

@@ -75,3 +75,12 @@ def test_scores_by_brute_force_and_copies_weigh_once(spark):
     for i, (_, at, w) in seen.items():
         assert np.isclose(got[i].score, 1 / (1 + np.exp(-np.clip(weights[at] @ w + bias, -30, 30))), atol=1e-6)
         assert np.isclose(got[i].posterior, 1 - bad[i], atol=1e-9) and got[i].keep == (got[i].score >= quality.KEEP)
+
+
+def test_copies_leave_the_sample_as_large(spark, monkeypatch):
+    """The share drawn goes by distinct texts: copies don't shrink it."""
+    seen = []
+    monkeypatch.setattr(quality, "fit_linear", lambda rows, *a, f=quality.fit_linear, **k: seen.append(len(rows)) or f(rows, *a, **k))
+    rows = [(i, f"This is the sentence number {i} of a text that is quite plain and long enough, as it goes on.") for i in range(400)] + [(1000 + i, "copy of the same words again") for i in range(4000)]
+    quality.score(spark.createDataFrame(rows, "doc_id long, text string"), sample=200).count()
+    assert 130 < seen[0] < 270

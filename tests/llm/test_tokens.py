@@ -163,3 +163,21 @@ def test_repair_round_trip_and_random_access():
     assert whole.tolist() == np.concatenate(parts).tolist() and begins.tolist() == np.concatenate([[0], np.cumsum([*map(len, parts)])]).tolist()
     with pytest.raises(ValueError):
         token_store.Shard(b"nope" + payload[4:])
+
+
+def test_least_reaches_every_writer(spark, ids):
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(0, 6, int(rng.integers(1, 60))).astype("<u2") for _ in range(60)]
+    sizes = {}
+    for least in (2, 8, 10**6):
+        payload = token_store.to_payload(parts, 10, least)
+        shard = token_store.Shard(payload)
+        assert all((shard.document(i) == p).all() for i, p in enumerate(parts))
+        sizes[least] = len(shard.symbols)
+    assert sizes[2] < sizes[8] < sizes[10**6] == sum(map(len, parts))
+    texts = [(i, "one two three four " * 5) for i in range(6)]
+    counted = {}
+    for least in (2, 10**6):
+        shards = token_store.encode(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), PATH, least=least)
+        counted[least] = sum(len(token_store.Shard(bytes(r.payload)).symbols) for r in shards.collect())
+    assert counted[2] < counted[10**6]
