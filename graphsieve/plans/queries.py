@@ -622,6 +622,33 @@ def compare_groups(spark, d):
     return rounded(explore.compare_groups(part_scores(spark, d), g.nodes, groups))
 
 
+COSINE = "list_dot_product({a}, {b}) / (greatest(sqrt(list_dot_product({a}, {a})), 1e-8) * greatest(sqrt(list_dot_product({b}, {b})), 1e-8))"
+
+
+@query(base(1) + f""", ids AS (SELECT node_id, f FROM nodes WHERE community = 11), c AS (SELECT count(*)::BIGINT AS k, (SELECT count(*) FROM pairs WHERE a IN (SELECT node_id FROM ids) AND b IN (SELECT node_id FROM ids))::BIGINT AS e FROM ids)
+ SELECT k AS nodes, e AS edges, round(e / (k * (k - 1) / 2), 6) AS density, round((SELECT avg({COSINE.format(a="x.f", b="y.f")}) FROM ids x JOIN ids y ON x.node_id < y.node_id), 6) AS mean_cosine, round((SELECT avg(degree) FROM deg JOIN ids USING (node_id)), 6) AS avg_degree, 1::BIGINT AS communities FROM c""")
+def subgraph_stats(spark, d):
+    g = parts(spark, d, 1)
+    found = explore.subgraph_stats(g, g.nodes.where("community = 11"))
+    row = (found["nodes"], found["edges"], found["density"], found["mean_cosine"], found["avg_degree"], len(found["communities"]))
+    return rounded(spark.createDataFrame([row], "nodes long, edges long, density double, mean_cosine double, avg_degree double, communities long"))
+
+
+@query(base(1) + f""", self_ AS (SELECT node_id, f, community FROM nodes WHERE node_id = 5), near AS (SELECT n.node_id, n.f, n.community FROM edges JOIN nodes n ON n.node_id = dst WHERE src = 5),
+ per AS (SELECT paradigm, avg(score) AS m, stddev_pop(score) AS s FROM scores JOIN near USING (node_id) GROUP BY 1)
+ SELECT paradigm, round(m, 6) AS mean, round(s, 6) AS std, (SELECT count(*) FROM near)::BIGINT AS neighbours, round((SELECT avg({COSINE.format(a="near.f", b="self_.f")}) FROM near, self_), 6) AS cosine, round((SELECT min({COSINE.format(a="near.f", b="self_.f")}) FROM near, self_), 6) AS lowest, (SELECT count(*) FROM near JOIN self_ USING (community))::BIGINT AS same_community FROM per""")
+def neighbourhood_probe(spark, d):
+    found = explore.neighbourhood(parts(spark, d, 1), part_scores(spark, d), 5)
+    rows = [(p, v["mean"], v["std"], found["neighbours"], found["cosine"]["mean"], found["cosine"]["min"], found["same_community"]) for p, v in found.get("scores", {}).items()]
+    return rounded(spark.createDataFrame(rows, "paradigm string, mean double, std double, neighbours long, cosine double, lowest double, same_community long"))
+
+
+@query(base(1) + """ SELECT nodes.node_id, round(sqrt(list_dot_product(f, f)), 6) AS norm, round(len(list_filter(f, lambda x: x = 0)) / 6.0, 6) AS sparsity, degree, community, degree AS neighbours, """ + ", ".join(f"round((SELECT score FROM scores s WHERE s.node_id = nodes.node_id AND paradigm = '{p}'), 6) AS {p}" for p in ("price", "quantity", "revenue", "size")) + " FROM nodes JOIN deg USING (node_id) WHERE nodes.node_id % 50 = 3")
+def case_file(spark, d):
+    g = parts(spark, d, 1)
+    return rounded(explore.case_file(g, part_scores(spark, d), g.nodes.where("node_id % 50 = 3").select("node_id")))
+
+
 @query(base(1) + ", t AS (SELECT paradigm, community, row_number() OVER (PARTITION BY paradigm ORDER BY score DESC, node_id) AS k FROM scores JOIN nodes USING (node_id)), c AS (SELECT paradigm, community, count(*) AS n FROM t WHERE k <= 50 GROUP BY 1, 2) SELECT paradigm, round(max(n) / sum(n), 6) AS fraction, (max(n) / sum(n) > 0.6)::BIGINT AS artifact FROM c GROUP BY 1")
 def community_bias(spark, d):
     return rounded(explore.community_bias(part_scores(spark, d), parts(spark, d, 1).communities))
@@ -744,6 +771,13 @@ def subset_search(spark, d):
     return rounded(found.select("mask", "auroc"))
 
 
+@query(STAND_IN_SCORES + USER_LOG + REPLAY + " SELECT decision, round(avg(fused), 8) AS mean, round(stddev_pop(fused), 8) AS std, " + ", ".join(f"round(quantile_cont(round(fused, 9), 0.{q}), 8) AS p{q}" for q in (90, 95, 99)) + " FROM fused GROUP BY 1")
+def replay_summary(spark, d):
+    """What a session says of its fused ranks, for every decision of a log."""
+    fused = replayed(spark, d).fused.withColumn("fused", F.round("fused", 9))
+    return fused.groupBy("decision").agg(F.round(F.avg("fused"), 8).alias("mean"), F.round(F.stddev_pop("fused"), 8).alias("std"), *(F.round(F.percentile("fused", q / 100), 8).alias(f"p{q}") for q in (90, 95, 99)))
+
+
 RULED = f""",
 spots AS (SELECT decision, paradigm, row_number() OVER (PARTITION BY decision ORDER BY paradigm) - 1 AS place FROM log),
 shares AS (SELECT paradigm, node_id, (row_number() OVER (PARTITION BY paradigm ORDER BY score, node_id) - 1)::DOUBLE / greatest(count(*) OVER (PARTITION BY paradigm) - 1, 1) AS r FROM scores),
