@@ -96,32 +96,67 @@ def artifacts_for(name: str) -> list[Artifact]:
     return [a for a in ARTIFACTS.values() if name in a.paradigms]
 
 
+#: What a profile recommends, as rows (part, needs, choice). Of encoder, decoder and sizes the first row that fits counts; of the others all that fit, in this order.
+INJECTED = {"feature_sparsity": (">=", 0.4), "feature_dim": (">=", 50)}
+ALONE = frozenset("gad_nr ego_matching contrastive svdd local_affinity".split())
+ADVICE = [
+    ("encoders", {"homophily": (">=", 0.7)}, ["gcn"]),
+    ("encoders", {"homophily": ("<", 0.4)}, ["gat", "mlp"]),
+    ("encoders", {}, ["gcn", "gin"]),
+    ("objectives", {"avg_degree": (">=", 10)} | INJECTED, ["gad_nr"]),
+    ("objectives", {"feature_sparsity": (">=", 0.5), "feature_dim": (">=", 100)}, ["ego_matching"]),
+    ("objectives", {}, ["reconstruction"]),
+    ("objectives", {"feature_dim": (">=", 20)}, ["contrastive"]),
+    ("objectives", {}, ["svdd"]),
+    ("decoder", {"alone": (">=", 1)}, "none"),
+    ("decoder", {"feature_dim": (">=", 5), "avg_degree": (">=", 2)}, "dual"),
+    ("decoder", {"feature_dim": ("<", 5)}, "dot_product"),
+    ("decoder", {}, "feature_mlp"),
+    ("augmentations", {"homophily": ("<", 0.4)}, ["edge_truncation"]),
+    ("augmentations", {"contrastive_first": (">=", 1), "feature_dim": (">=", 20)}, ["feature_mask"]),
+    ("augmentations", {}, ["none"]),
+    ("hid", {"feature_dim": ("<=", 200)}, 64),
+    ("hid", {}, 128),
+    ("layers", {"num_nodes": ("<", 3000)}, 2),
+    ("layers", {}, 4),
+    ("lr", {"num_nodes": ("<=", 15000)}, 0.004),
+    ("lr", {}, 0.001),
+    ("epochs", {"num_nodes": ("<=", 15000)}, 200),
+    ("epochs", {}, 100),
+    ("batch", {"num_nodes": ("<=", 20000)}, 0),
+    ("batch", {}, 4096),
+    ("neighbours", {"num_nodes": ("<=", 20000)}, -1),
+    ("neighbours", {}, 10),
+    ("complements", {"num_nodes": ("<=", 20000)}, [{"name": "recon-gcn", "encoder": "gcn", "objective": "reconstruction", "decoder": "dual", "alpha": 0.5}]),
+    ("complements", {"num_nodes": (">", 20000)}, [{"name": "recon-gcn", "encoder": "gcn", "objective": "reconstruction", "decoder": "feature_mlp", "alpha": 0.5}]),
+    ("complements", {"feature_dim": ("<=", 64), "num_nodes": ("<=", 20000)}, [{"name": "recon-struct", "encoder": "gcn", "objective": "reconstruction", "decoder": "dual", "alpha": 0.2}]),
+    ("complements", {"feature_dim": (">=", 20)}, [{"name": "contrastive-gcn", "encoder": "gcn", "objective": "contrastive", "decoder": "none", "augmentation": "feature_mask", "rate": 0.3}]),
+    ("complements", {"signal_count": ("<", 4)}, [{"name": "svdd-gcn", "encoder": "gcn", "objective": "svdd", "decoder": "none"}]),
+]
+
+
+def advised(part: str, p: Mapping[str, float]) -> list:
+    """The choices of the rows of ADVICE that fit, in order."""
+    return [choice for name, needs, choice in ADVICE if name == part and all(COMPARE[op](p[k], t) for k, (op, t) in needs.items())]
+
+
 def recommend(p: Mapping[str, float]) -> dict:
     """Encoders, objectives, decoder, augmentations and sizes for a profile, best first."""
-    dim, n, sparse, deg, homo = p["feature_dim"], p["num_nodes"], p["feature_sparsity"], p["avg_degree"], p["homophily"]
-    injected = sparse >= 0.4 and dim >= 50
-    encoders = ["gcn"] if homo >= 0.7 else ["gat", "mlp"] if homo < 0.4 else ["gcn", "gin"]
-    wanted = [("gad_nr", deg >= 10 and injected), ("ego_matching", dim >= 100 and sparse >= 0.5 and injected), ("reconstruction", True), ("contrastive", dim >= 20), ("svdd", True)]
-    objectives = [name for name, fits in wanted if fits]
-    alone = {"gad_nr", "ego_matching", "contrastive", "svdd", "local_affinity"}
-    decoder = "none" if objectives[0] in alone else "dual" if dim >= 5 and deg >= 2 else "dot_product" if dim < 5 else "feature_mlp"
-    augmentations = (["edge_truncation"] if homo < 0.4 else []) + (["feature_mask"] if objectives[0] == "contrastive" and dim >= 20 else []) + ["none"]
-    small = n <= 15000
-    sizes = {"hid": 64 if dim <= 200 else 128, "layers": 2 if n < 3000 else 4, "lr": 0.004 if small else 0.001, "epochs": 200 if small else 100, "batch": 0 if n <= 20000 else 4096, "neighbours": -1 if n <= 20000 else 10}
-    return {"encoders": encoders, "objectives": objectives, "decoder": decoder, "augmentations": augmentations, "sizes": sizes, "likely_injected": injected}
+    objectives = sum(advised("objectives", p), [])
+    known = dict(p) | {"alone": float(objectives[0] in ALONE), "contrastive_first": float(objectives[0] == "contrastive")}
+    return {
+        "encoders": advised("encoders", known)[0],
+        "objectives": objectives,
+        "decoder": advised("decoder", known)[0],
+        "augmentations": sum(advised("augmentations", known), []),
+        "sizes": {k: advised(k, known)[0] for k in ("hid", "layers", "lr", "epochs", "batch", "neighbours")},
+        "likely_injected": all(COMPARE[op](p[k], t) for k, (op, t) in INJECTED.items()),
+    }
 
 
 def complements(p: Mapping[str, float], signal_count: int) -> list[dict]:
     """Specifications of one to four methods that add what the closed forms may miss."""
-    dim, n = p["feature_dim"], p["num_nodes"]
-    out = [{"name": "recon-gcn", "encoder": "gcn", "objective": "reconstruction", "decoder": "dual" if n <= 20000 else "feature_mlp", "alpha": 0.5}]
-    if dim <= 64 and n <= 20000:
-        out.append({"name": "recon-struct", "encoder": "gcn", "objective": "reconstruction", "decoder": "dual", "alpha": 0.2})
-    if dim >= 20:
-        out.append({"name": "contrastive-gcn", "encoder": "gcn", "objective": "contrastive", "decoder": "none", "augmentation": "feature_mask", "rate": 0.3})
-    if signal_count < 4:
-        out.append({"name": "svdd-gcn", "encoder": "gcn", "objective": "svdd", "decoder": "none"})
-    return out
+    return [dict(x) for x in sum(advised("complements", dict(p) | {"signal_count": signal_count}), [])]
 
 
 def validate_decision(decision: Mapping | None, known: list[str], most: int = 4) -> dict:

@@ -76,6 +76,7 @@ def profile(graph: Graph) -> dict:
     d = degree_stats(graph).first()
     triangles = graph.triangles.agg(F.avg("clustering").alias("c")).first()["c"]
     features = feature_stats(graph)
+    # fixed names, by which preconditions ask
     return {
         "num_nodes": n, "num_edges": m, "avg_degree": m / max(1, n), "density": 2 * m / max(1, n * (n - 1)), "edge_density": m / max(1, n * (n - 1)), "max_degree": d["max_degree"], "degree_std": d["std_degree"], "clustering_coeff": triangles or 0.0,
         "num_communities": graph.communities.select("community").distinct().count(), "modularity": modularity(graph).first()["modularity"] or 0.0, "homophily": homophily(graph).first()["homophily"] or 0.0,

@@ -53,6 +53,7 @@ def diagnose_gaps(scores: DataFrame) -> dict:
         return {"signal_count": len(names), "tail_agreement": {}, "bimodality": {}, "coverage_clusters": [names]}
     quality = {r["paradigm"]: r["ued"] for r in fusion.ued(scores).collect()}
     rho = {(r["a"], r["b"]): r["rho"] for r in fusion.spearman_pairs(scores).collect()}
+    # fixed names of what is reported
     return {
         "signal_count": sum(v > SIGNAL for v in quality.values()),
         "ued_scores": {k: round(v, 3) for k, v in quality.items()},
