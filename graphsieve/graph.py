@@ -82,12 +82,14 @@ class Graph:
         Edges point from the lower to the higher (degree, id), so a hub leads to few others, and the number of
         wedges stays below m to the power 1.5 whatever the hubs.
         """
-        deg = self.simple_degrees
-        pairs = self.undirected.join(deg.select(F.col("node_id").alias("a"), F.col("degree").alias("da")), "a").join(deg.select(F.col("node_id").alias("b"), F.col("degree").alias("db")), "b")
+        flat = keep(self.undirected, "pairs")
+        ends = flat.select(F.explode(F.array("a", "b")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("degree")).join(self.nodes.select("node_id"), "node_id", "left_semi")
+        pairs = flat.join(ends.select(F.col("node_id").alias("a"), F.col("degree").alias("da")), "a").join(ends.select(F.col("node_id").alias("b"), F.col("degree").alias("db")), "b")
         up = F.struct("da", "a") < F.struct("db", "b")
-        rising = pairs.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"))
+        rising = keep(pairs.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v")), "rising")
         wedges = rising.select("u", F.col("v").alias("x")).join(rising.select("u", F.col("v").alias("y")), "u").where("x < y")
-        closed = wedges.join(self.undirected, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")))
+        closed = wedges.join(flat, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")))
+        deg = self.nodes.select("node_id").join(ends, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"))
         corners = closed.select(F.explode(F.array("u", "x", "y")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("triangles"))
         out = deg.join(corners, "node_id", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
         d = F.col("degree")
