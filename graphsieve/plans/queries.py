@@ -915,12 +915,12 @@ def paired_arms(spark, d):
     return rounded(evaluate.paired_arms(decision_rows(spark, d).where("model = 'm0'"), "plain", "rich"))
 
 
-@query("""WITH p AS (SELECT event_type AS paradigm, CASE event_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE 50 END AS budget, value / 200 - 0.05 AS rho FROM events WHERE value > 60),
+@query("""WITH p AS (SELECT event_type AS paradigm, CASE event_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE 50 END AS budget, value / 150 - 0.1 AS rho FROM events WHERE value > 60 OR event_type = 'view'),
  g AS (SELECT paradigm, budget, quantile_cont(rho, 0.5) AS median, min(rho) AS least FROM p GROUP BY 1, 2 HAVING quantile_cont(rho, 0.5) >= 0.5 AND min(rho) >= 0)
  SELECT paradigm, budget::BIGINT AS budget, round(median, 6) AS median, round(least, 6) AS least FROM g QUALIFY row_number() OVER (PARTITION BY paradigm ORDER BY (budget <> 20)::INT, budget) = 1""")
 def probe_admission(spark, d):
     budget = F.when(F.col("event_id") % 3 == 0, 5).when(F.col("event_id") % 3 == 1, 20).otherwise(50)
-    rows = table(spark, d, "events").where("value > 60").select(F.col("event_type").alias("paradigm"), budget.alias("budget"), (F.col("value") / 200 - 0.05).alias("rho"))
+    rows = table(spark, d, "events").where("value > 60 or event_type = 'view'").select(F.col("event_type").alias("paradigm"), budget.alias("budget"), (F.col("value") / 150 - 0.1).alias("rho"))
     return rounded(evaluate.probe_admission(rows))
 
 
