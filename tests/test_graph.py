@@ -107,3 +107,16 @@ def test_other_detectors_find_planted_nodes(spark):
     assert max(values(detectors.homophily_violation(g)).items(), key=lambda e: e[1])[0] == 7
     with pytest.raises(ValueError):
         detectors.run_detector("nothing", g)
+
+
+def test_part_graph_is_dealt_by_its_lines(spark, tmp_path, monkeypatch):
+    from graphsieve.sources import tables
+
+    spark.range(400).selectExpr("id div 4 AS l_orderkey", "id * 7 % 50 AS l_partkey", "1.0D AS l_quantity", "2.0D AS l_extendedprice", "0.1D AS l_discount", "0.2D AS l_tax").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(50).selectExpr("id AS p_partkey", "1 AS p_size", "3.0D AS p_retailprice", "'Brand#11' AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    got = []
+    for lines in (1 << 18, 10):
+        monkeypatch.setattr(tables, "LINES", lines)
+        edges = tables.part_graph(spark, str(tmp_path), 2).edges
+        got.append((edges.rdd.getNumPartitions(), sorted(map(tuple, edges.collect()))))
+    assert got[0][1] == got[1][1] != [] and got[1][0] == 2 * 41 > got[0][0]
