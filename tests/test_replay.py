@@ -93,3 +93,15 @@ def test_auroc_by_buckets_is_exact(spark):
     for buckets in (1, 7, 4096):
         got = {r.g: r.auroc for r in evaluate.auroc_by_buckets(frame, ["g"], buckets).collect()}
         assert got.keys() == want.keys() and all((want[g] is None and v is None) or abs(v - want[g]) < 1e-9 for g, v in got.items())
+
+
+def test_equal_selections_are_worked_out_once(spark, made):
+    scores, degrees, communities = made
+    sets = {7: ["spectral", "community", "contrastive"], 3: ["contrastive", "spectral", "community"], 5: ["spectral"], 9: ["community", "spectral", "contrastive"]}
+    log = spark.createDataFrame([(k, p) for k, ps in sets.items() for p in ps], "decision long, paradigm string")
+    found = replay.replay(scores, log, degrees, communities, 3.0)
+    assert {r.decision for r in found.once.select("decision").distinct().collect()} == {3, 5}
+    rows = {k: {} for k in sets}
+    for r in found.fused.collect():
+        rows[r.decision][r.node_id] = r.fused
+    assert rows[3] == rows[7] == rows[9] and len(rows[3]) == 120 and {r.decision for r in found.weights.collect()} == {r.decision for r in found.gates.collect()} == set(sets)
