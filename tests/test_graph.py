@@ -120,3 +120,28 @@ def test_part_graph_is_dealt_by_its_lines(spark, tmp_path, monkeypatch):
         edges = tables.part_graph(spark, str(tmp_path), 2).edges
         got.append((edges.rdd.getNumPartitions(), sorted(map(tuple, edges.collect()))))
     assert got[0][1] == got[1][1] != [] and got[1][0] == 2 * 41 > got[0][0]
+
+
+def test_cosines_of_a_set(spark):
+    from graphsieve.functions.stats import cosine
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(v) for v in rng.normal(size=5)] if i != 7 else [0.0] * 5, 1) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "node_id long, features array<double>, community long")
+    ids = nodes.where("node_id % 4 <> 1")
+    got = explore.pairwise_cosine(nodes, ids, block=5)
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    x = {r[0]: np.array(r[1]) / max(np.linalg.norm(r[1]), 1e-8) for r in rows if r[0] % 4 != 1}
+    want = {(a, b): float(x[a] @ x[b]) for a in x for b in x if a < b}
+    found = {(r.a, r.b): r.cosine for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - v) < 1e-12 for k, v in want.items())
+    graph = Graph(nodes, spark.createDataFrame([(0, 2)], "src long, dst long"))
+    assert abs(explore.mean_cosine(graph, ids) - sum(want.values()) / len(want)) < 1e-12
+    assert explore.mean_cosine(graph, nodes.where("node_id = 3")) is None
+    gap = spark.createDataFrame([(1, [1.0, None]), (2, [1.0, 0.0])], "node_id long, features array<double>")
+    assert explore.pairwise_cosine(gap, gap).collect() == [(1, 2, None)] == gap.alias("x").join(gap.alias("y"), F.expr("x.node_id < y.node_id")).select("x.node_id", "y.node_id", cosine("x.features", "y.features")).collect()
+
+
+def test_neighbour_search_ships_each_node_a_few_times():
+    assert [detectors.knn_blocks(n, 64) for n in (0, 500, 3000, 100_000, 600_000)] == [1, 1, 2, 7, 10] and detectors.knn_blocks(600_000, 6400) == 916
