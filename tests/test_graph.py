@@ -145,3 +145,16 @@ def test_cosines_of_a_set(spark):
 
 def test_neighbour_search_ships_each_node_a_few_times():
     assert [detectors.knn_blocks(n, 64) for n in (0, 500, 3000, 100_000, 600_000)] == [1, 1, 2, 7, 10] and detectors.knn_blocks(600_000, 6400) == 916
+
+
+def test_pairs_that_share_a_cell(spark):
+    from graphsieve.sources.tables import sharing_pairs
+
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(u) * 1_000_003, int(c)) for u, c in rng.integers(0, 70, (150, 2))} | {(int(u) * 1_000_003, 1 << 40) for u in range(20, 32)} | {(5, 9)})
+    want = {(a, b) for a, x in rows for b, y in rows if x == y and a < b}
+    seen = spark.createDataFrame(rows, "user_id long, cell long")
+    for block in (2048, 9):
+        pairs = sharing_pairs(seen, block)
+        assert sorted(map(tuple, pairs.collect())) == sorted(want) and "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert sharing_pairs(seen.limit(0)).collect() == []
