@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphsieve import marked
 from graphsieve.graph import Graph, label_propagation
 from graphsieve.operators import explore
+from graphsieve.sources import tables
 
 NAN = float("nan")
 
@@ -49,6 +50,14 @@ def test_spectral_gap_of_flags(spark, monkeypatch):
     assert abs(explore.spectral_gap(graph)["spectral_gap"] - np.linalg.eigvalsh(np.diag(a.sum(1)) - a)[1]) < 1e-6
 
 
+def test_spectral_gap_of_flags_writes_no_table_a_step(both, monkeypatch):
+    written, keep = [], tables.keep
+    monkeypatch.setattr(tables, "keep", lambda df, name, by=None: written.append(name) or keep(df, name, by))
+    graph, plain, _ = both
+    found = explore.spectral_gap(graph)["spectral_gap"]
+    assert not written and abs(found - explore.spectral_gap(plain)["spectral_gap"]) < 1e-6
+
+
 def test_triangles_of_flags(both):
     graph, plain, _ = both
     columns = "node_id", "triangles", "degree", "clustering"
